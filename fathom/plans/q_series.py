@@ -12,9 +12,16 @@ from pyspark.sql import functions as F
 
 from fathom.operators.series import describe_series, masked_diff, night_day_masks, series_features
 from fathom.plans.registry import query
-from fathom.plans.tables import round_doubles, table
+from fathom.plans.tables import rnd, round_doubles, table
 
 KEYS = ["value", "k"]
+
+
+def _expand(sql: str) -> str:
+    """Expand ``RND<<expr>>`` markers into the engine-stable rounding expression."""
+    import re
+    return re.sub(r"RND<<(.*?)>>", lambda m: rnd(m.group(1)), sql)
+
 MASKS = ["all", "night", "day"]
 ACTIVE = 25.0
 
@@ -66,21 +73,21 @@ def _diff_sql() -> str:
 
 
 def _features_sql() -> str:
-    aggs = ["ROUND(ROUND(CAST(avg(flag) AS DOUBLE), 9), 6) AS flag_mean",
-            f"ROUND(ROUND(CAST(coalesce(sum(CASE WHEN value >= {ACTIVE} THEN value END), 0.0) AS DOUBLE), 9), 6) AS active_sum"]
+    aggs = ["RND<<avg(flag)>> AS flag_mean",
+            f"RND<<coalesce(sum(CASE WHEN value >= {ACTIVE} THEN value END), 0.0)>> AS active_sum"]
     for c in KEYS:
         for mk in MASKS:
             v = f"CASE WHEN m_{mk} THEN {c} END"
             dv = f"d_{c}_{mk}"
-            aggs += [f"ROUND(ROUND(CAST(avg({v}) AS DOUBLE), 9), 6) AS {c}_{mk}_mean", f"ROUND(ROUND(CAST(stddev_samp({v}) AS DOUBLE), 9), 6) AS {c}_{mk}_std",
-                     f"ROUND(ROUND(CAST(max({v}) AS DOUBLE), 9), 6) AS {c}_{mk}_max", f"ROUND(ROUND(CAST(min({v}) AS DOUBLE), 9), 6) AS {c}_{mk}_min",
-                     f"ROUND(ROUND(CAST(avg({dv}) AS DOUBLE), 9), 6) AS {c}_{mk}_diff_mean",
-                     f"ROUND(ROUND(CAST(stddev_samp({dv}) AS DOUBLE), 9), 6) AS {c}_{mk}_diff_std"]
+            aggs += [f"RND<<avg({v})>> AS {c}_{mk}_mean", f"RND<<stddev_samp({v})>> AS {c}_{mk}_std",
+                     f"RND<<max({v})>> AS {c}_{mk}_max", f"RND<<min({v})>> AS {c}_{mk}_min",
+                     f"RND<<avg({dv})>> AS {c}_{mk}_diff_mean",
+                     f"RND<<stddev_samp({dv})>> AS {c}_{mk}_diff_std"]
     return (f"WITH {_E},\nd AS (SELECT *, {_diff_sql()} FROM m)\n"
             f"SELECT user_id, {', '.join(aggs)} FROM d GROUP BY user_id")
 
 
-SERIES_FEATURES_SQL = _features_sql()
+SERIES_FEATURES_SQL = _expand(_features_sql())
 
 
 @query("series_time_features", SERIES_FEATURES_SQL)
@@ -114,12 +121,12 @@ def _describe_sql() -> str:
             e = {"count": f"CAST(count({c}) AS DOUBLE)", "mean": f"avg({c})", "std": f"stddev_samp({c})",
                  "min": f"min({c})", "q25": f"quantile_cont({c}, 0.25)", "q50": f"quantile_cont({c}, 0.5)",
                  "q75": f"quantile_cont({c}, 0.75)", "max": f"max({c})"}[s]
-            stats.append(f"ROUND(ROUND(CAST({e} AS DOUBLE), 9), 6) AS Stat_{i}")
+            stats.append(f"RND<<{e}>> AS Stat_{i}")
             i += 1
     return f"WITH {_E}\nSELECT {', '.join(stats)}, user_id FROM e GROUP BY user_id"
 
 
-@query("series_describe", _describe_sql())
+@query("series_describe", _expand(_describe_sql()))
 def q_series_describe(spark, sf_dir):
     ev = events_prepared(spark, sf_dir)
     return round_doubles(describe_series(ev, "user_id", _DESCRIBE_COLS))
@@ -129,12 +136,12 @@ def _masked_diff_sql() -> str:
     cols = []
     for c in KEYS:
         for mk in MASKS:
-            cols.append(f"ROUND(ROUND(CAST(d_{c}_{mk} AS DOUBLE), 9), 6) AS {c}__{mk}__diff")
+            cols.append(f"RND<<d_{c}_{mk}>> AS {c}__{mk}__diff")
     return (f"WITH {_E},\nd AS (SELECT *, {_diff_sql()} FROM m)\n"
             f"SELECT event_id, user_id, {', '.join(cols)} FROM d")
 
 
-@query("masked_diff", _masked_diff_sql())
+@query("masked_diff", _expand(_masked_diff_sql()))
 def q_masked_diff(spark, sf_dir):
     ev = events_prepared(spark, sf_dir)
     d = masked_diff(ev, "user_id", ["ts", "event_id"], _chunk(), KEYS, _masks())
@@ -142,10 +149,10 @@ def q_masked_diff(spark, sf_dir):
     return round_doubles(d.select("event_id", "user_id", *cols))
 
 
-@query("thresholded_sum",
-       f"SELECT user_id, ROUND(ROUND(CAST(coalesce(sum(CASE WHEN value >= {ACTIVE} THEN value END), 0.0) AS DOUBLE), 9), 6) AS active_sum, "
-       "ROUND(ROUND(CAST(avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END) AS DOUBLE), 9), 6) AS flag_mean "
-       "FROM events GROUP BY user_id")
+@query("thresholded_sum", _expand(
+       f"SELECT user_id, RND<<coalesce(sum(CASE WHEN value >= {ACTIVE} THEN value END), 0.0)>> AS active_sum, "
+       "RND<<avg(CASE WHEN event_type = 'error' THEN 1.0 ELSE 0.0 END)>> AS flag_mean "
+       "FROM events GROUP BY user_id"))
 def q_thresholded_sum(spark, sf_dir):
     ev = events_prepared(spark, sf_dir)
     v = F.col("value")

@@ -18,6 +18,7 @@ _CORE_CONF = {
     # keep hive-style partition values (series ids) as strings
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
 }
 
 
@@ -38,7 +39,7 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
 def apply_core_conf(spark: SparkSession) -> None:
     """Apply the runtime-settable part of the core configuration to an existing session."""
     for k, v in _CORE_CONF.items():
-        if k in ("spark.ui.enabled",):
+        if k in ("spark.ui.enabled", "spark.ui.showConsoleProgress"):
             continue
         try:
             spark.conf.set(k, v)

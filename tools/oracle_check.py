@@ -19,10 +19,12 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 def _norm(v):
     if v is None:
         return ("", "")
-    if isinstance(v, float):
-        if math.isnan(v):
+    if isinstance(v, bool):
+        return ("i", str(int(v)))
+    if isinstance(v, (int, float)) and not isinstance(v, bool):
+        if isinstance(v, float) and math.isnan(v):
             return ("n", "nan")
-        return ("f", repr(round(v, 9) + 0.0))
+        return ("f", repr(round(float(v), 9) + 0.0))
     if hasattr(v, "tolist"):
         v = v.tolist()
     if isinstance(v, (list, tuple)):
@@ -34,6 +36,20 @@ def _norm(v):
     return ("s", str(v))
 
 
+def _scalar(x):
+    import pandas as pd
+    if x is None or isinstance(x, (list, tuple)) or hasattr(x, "__len__") and not isinstance(x, str):
+        return x
+    try:
+        if pd.isna(x):
+            return None
+    except (TypeError, ValueError):
+        pass
+    if hasattr(x, "item"):
+        return x.item()
+    return x
+
+
 def compare(sp, dd):
     sc = sorted(sp.columns)
     dc = sorted(dd.columns)
@@ -46,7 +62,7 @@ def compare(sp, dd):
     def rows(df):
         out = []
         for rec in df[sc].itertuples(index=False, name=None):
-            out.append(tuple(_norm(None if (not isinstance(x, (list, tuple)) and not hasattr(x, "tolist") and x is not None and x != x) else x) for x in rec))
+            out.append(tuple(_norm(_scalar(x)) for x in rec))
         return sorted(out)
 
     a, b = rows(sp), rows(dd)
