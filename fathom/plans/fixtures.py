@@ -25,17 +25,20 @@ def _season(src: str, shift: int) -> str:
     return f"CASE ({src} + {shift}) % 5 {cases} ELSE NULL END"
 
 
+# unique row key: (orderkey, linenumber) alone repeats in the generated lineitem
+ID_EXPR = "(l_orderkey * 100000000000 + l_linenumber * 10000000000 + l_partkey * 100000 + l_suppkey)"
+
 PARTICIPANT_COLUMNS: list[tuple[str, str]] = [
-    ("id", "l_orderkey * 10 + l_linenumber"),
+    ("id", ID_EXPR),
     ("split", "CASE WHEN l_orderkey % 2 = 0 THEN 'train' ELSE 'test' END"),
     ("Basic_Demos-Age", "CAST(p_size AS DOUBLE) / 2.0"),
-    ("Physical-BMI", "CASE WHEN (l_orderkey * 10 + l_linenumber) % 7 = 0 THEN NULL ELSE l_quantity END"),
+    ("Physical-BMI", "CASE WHEN " + ID_EXPR + " % 7 = 0 THEN NULL ELSE l_quantity END"),
     ("Physical-Weight", "l_extendedprice / 1000.0"),
     ("Physical-Height", "p_retailprice / 10.0"),
     ("Physical-HeartRate", "l_quantity + p_size"),
     ("PreInt_EduHx-computerinternet_hoursday", "CAST(l_linenumber % 4 AS DOUBLE)"),
     ("BIA-BIA_Fat", "l_discount * 700.0"),
-    ("BIA-BIA_BMI", "CASE WHEN (l_orderkey * 10 + l_linenumber) % 11 = 0 THEN NULL ELSE l_tax * 100.0 + 10.0 END"),
+    ("BIA-BIA_BMI", "CASE WHEN " + ID_EXPR + " % 11 = 0 THEN NULL ELSE l_tax * 100.0 + 10.0 END"),
     ("BIA-BIA_FFMI", "l_quantity / 2.0"),
     ("BIA-BIA_FMI", "l_discount * 50.0 - 1.0"),
     ("BIA-BIA_LST", "l_extendedprice / 300.0"),
@@ -53,11 +56,11 @@ PARTICIPANT_COLUMNS: list[tuple[str, str]] = [
     ("FGC-FGC_PU", "CAST(p_size % 20 AS DOUBLE)"),
     ("FGC-FGC_TL", "CAST(p_size % 12 AS DOUBLE)"),
     ("FGC-FGC_SRL", "l_quantity / 3.0"),
-    ("FGC-FGC_SRR", "CASE WHEN (l_orderkey * 10 + l_linenumber) % 5 = 0 THEN NULL ELSE l_quantity / 4.0 END"),
+    ("FGC-FGC_SRR", "CASE WHEN " + ID_EXPR + " % 5 = 0 THEN NULL ELSE l_quantity / 4.0 END"),
     ("FGC-FGC_GSND", "l_quantity * 1.5"),
-    ("FGC-FGC_GSD", "CASE WHEN (l_orderkey * 10 + l_linenumber) % 3 = 0 THEN NULL ELSE l_quantity * 1.3 END"),
+    ("FGC-FGC_GSD", "CASE WHEN " + ID_EXPR + " % 3 = 0 THEN NULL ELSE l_quantity * 1.3 END"),
 ] + [
-    (z, f"CASE WHEN (l_orderkey * 10 + l_linenumber) % {m} = {r} THEN NULL "
+    (z, "CASE WHEN " + ID_EXPR + f" % {m} = {r} THEN NULL "
         f"ELSE CAST((l_linenumber + {i}) % 3 AS DOUBLE) END")
     for i, (z, (m, r)) in enumerate(zip(K.ZONE_COLUMNS, _ZONE_NULL_MOD))
 ] + [
