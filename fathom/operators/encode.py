@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fathom.functions.exprs import col_of
+from fathom.operators.ordered import exact_quantiles
 
 
 # ------------------------------------------------------------------ codes
@@ -73,32 +74,36 @@ def distinct_union(a: DataFrame, b: DataFrame, column: str) -> DataFrame:
 
 
 # ------------------------------------------------------------------ quantile bins
-def quantile_edges_frame(df: DataFrame, columns: Sequence[str], n_bins: int = 10,
-                         exact: bool = True, accuracy: int = 100000) -> DataFrame:
-    """One row per column: ``(feature, edges)``; duplicate edges dropped.
+def fit_quantile_edges(df: DataFrame, columns: Sequence[str], n_bins: int = 10,
+                       exact: bool = True, accuracy: int = 100000) -> dict[str, list[float]]:
+    """Quantile edges (``n_bins + 1`` probabilities, duplicates dropped) per
+    column -- at most ``n_bins + 1`` numbers each, inlined later as literals.
 
-    All columns in one aggregate pass. ``exact`` uses ``percentile`` (linear
-    interpolation, as the reference); on unbounded domains use
-    ``exact=False`` (``percentile_approx``, mergeable, bounded memory).
+    ``exact`` ranks each column with chunked windows (no task holds a whole
+    column); otherwise the mergeable ``percentile_approx`` sketch is used.
     """
-    probs = F.array(*[F.lit(i / n_bins) for i in range(n_bins + 1)])
-    aggs = []
+    probs = [i / n_bins for i in range(n_bins + 1)]
+    if exact:
+        qs = exact_quantiles(df, columns, probs)
+    else:
+        r = df.agg(*[F.percentile_approx(col_of(c).cast("double"), probs, accuracy).alias(f"q{i}")
+                     for i, c in enumerate(columns)]).first()
+        qs = {c: list(r[f"q{i}"] or []) for i, c in enumerate(columns)}
+    out = {}
     for c in columns:
-        x = col_of(c).cast("double")
-        e = F.percentile(x, probs) if exact else F.percentile_approx(x, probs, accuracy).cast("array<double>")
-        aggs.append(F.array_distinct(e).alias(c))
-    one = df.agg(*aggs)
-    stacked = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("edges"))
-                                  for c in columns]))
-    return one.select(stacked.alias("s")).select("s.feature", "s.edges")
+        edges: list[float] = []
+        for v in qs[c]:
+            if v is not None and (not edges or v != edges[-1]):
+                edges.append(float(v))
+        out[c] = edges
+    return out
 
 
-def fit_quantile_edges(df: DataFrame, columns: Sequence[str], n_bins: int = 10,
-                       exact: bool = True) -> dict[str, list[float]]:
-    """Fitted edges (<= n_bins + 1 numbers per column) brought to the driver
-    to be inlined as literals by ``apply_edges``."""
-    rows = quantile_edges_frame(df, columns, n_bins, exact).collect()
-    return {r.feature: [float(x) for x in r.edges] if r.edges is not None else [] for r in rows}
+def quantile_edges_frame(df: DataFrame, columns: Sequence[str], n_bins: int = 10,
+                         exact: bool = True) -> DataFrame:
+    """The fitted edges as a table ``(feature, edges)`` (one row per column)."""
+    edges = fit_quantile_edges(df, columns, n_bins, exact)
+    return df.sparkSession.createDataFrame([(c, edges[c]) for c in columns], "feature string, edges array<double>")
 
 
 def bin_index(x: Column, edges: Column) -> Column:

@@ -18,6 +18,7 @@ All results are exact; the chunking only changes where the work runs.
 
 from __future__ import annotations
 
+import math
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -139,3 +140,60 @@ def nth(arr: str | Column, i: int, field: str | None = None) -> Column:
     """i-th (0-based) element of a neighbour array (NULL when absent), optionally one field."""
     e = F.try_element_at(col_of(arr), F.lit(i + 1))
     return e.getField(field) if field else e
+
+
+def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                    n_chunks: int = 256) -> dict[str, list[float | None]]:
+    """Exact linear-interpolation quantiles of whole columns, without a single
+    task holding a column.
+
+    Spark's ``percentile`` merges one value->count map per column in a single
+    final task; here each column is ranked with ``chunked_row_number`` (chunks
+    from ``percentile_approx`` boundaries, so every window task holds about
+    1/n_chunks of a column), only the rows at the needed ranks are kept, and
+    ``v_lo + (v_hi - v_lo) * frac`` is formed from them. The fit result (a few
+    numbers per column) is returned to the driver.
+    """
+    cols = list(columns)
+    if not cols:
+        return {}
+    cells = F.array(*[F.struct(F.lit(c).alias("feature"), col_of(c).cast("double").alias("x")) for c in cols])
+    long = df.select(F.explode(cells).alias("s")).select("s.feature", "s.x").filter(F.col("x").isNotNull())
+    inner = [i / n_chunks for i in range(1, n_chunks)]
+    stats = df.agg(*[F.count(col_of(c)).alias(f"n{i}") for i, c in enumerate(cols)],
+                   *[F.percentile_approx(col_of(c).cast("double"), inner, 10 * n_chunks).alias(f"b{i}")
+                     for i, c in enumerate(cols)]).first()
+    chunk = None
+    wanted = None
+    plan: dict[str, list[tuple[int, int, float]]] = {}
+    for i, c in enumerate(cols):
+        n = int(stats[f"n{i}"])
+        bounds = sorted(set(v for v in (stats[f"b{i}"] or []) if v is not None))
+        e = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("x"))) if bounds else F.lit(0)
+        chunk = F.when(F.col("feature") == c, e) if chunk is None else chunk.when(F.col("feature") == c, e)
+        entries = []
+        for p in probs:
+            if n == 0:
+                entries.append((0, 0, 0.0))
+                continue
+            h = (n - 1) * float(p)
+            lo = int(math.floor(h))
+            hi = min(lo + 1, n - 1) if h > lo else lo
+            entries.append((lo + 1, hi + 1, h - lo))
+        plan[c] = entries
+        pos = sorted({r for a, b, _ in entries for r in (a, b) if r > 0})
+        cond = (F.col("feature") == c) & F.col("rn").isin(*pos) if pos else F.lit(False)
+        wanted = cond if wanted is None else (wanted | cond)
+    ranked = chunked_row_number(long, ["feature"], [F.col("x")], chunk.otherwise(F.lit(0)), out="rn")
+    got = {(r.feature, int(r.rn)): r.x for r in ranked.filter(wanted).select("feature", "rn", "x").collect()}
+    out: dict[str, list[float | None]] = {}
+    for c in cols:
+        vals = []
+        for lo, hi, frac in plan[c]:
+            if lo == 0:
+                vals.append(None)
+                continue
+            a, b = got[(c, lo)], got[(c, hi)]
+            vals.append(a if frac == 0 else a + (b - a) * frac)
+        out[c] = vals
+    return out
