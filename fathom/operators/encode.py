@@ -49,23 +49,29 @@ def apply_codes(df: DataFrame, column: str, codes: DataFrame, out: str | None =
 
 
 def shared_codes(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
-    """Integer codes shared by train and test over the union of their values."""
+    """Integer codes shared by train and test over the union of their values.
+
+    All code tables are built from the untouched inputs before any is applied
+    (a code table built from an already-coded frame would repeat that frame's
+    plan once per column)."""
+    tables = {c: code_table(train.select(col_of(c).alias(c)).union(test.select(col_of(c).alias(c))), c)
+              for c in columns}
     for c in columns:
-        values = train.select(col_of(c).alias(c)).union(test.select(col_of(c).alias(c)))
-        codes = code_table(values, c)
-        train = apply_codes(train, c, codes)
-        test = apply_codes(test, c, codes)
+        train = apply_codes(train, c, tables[c])
+        test = apply_codes(test, c, tables[c])
     return train, test
 
 
 def first_seen_codes(df: DataFrame, columns: Sequence[str], order_key: Column,
                      missing: str = "Missing") -> DataFrame:
     """Fill NULL with ``missing`` and code values by first appearance along ``order_key``."""
+    filled = df.select(*[F.coalesce(col_of(x), F.lit(missing)).alias(x) if x in columns else col_of(x)
+                         for x in df.columns])
+    tables = {c: code_table(filled, c, order="first_seen", first_seen=order_key) for c in columns}
+    out = filled
     for c in columns:
-        d = df.withColumn(c, F.coalesce(col_of(c), F.lit(missing)))
-        codes = code_table(d, c, order="first_seen", first_seen=order_key)
-        df = apply_codes(d, c, codes)
-    return df
+        out = apply_codes(out, c, tables[c])
+    return out
 
 
 def distinct_union(a: DataFrame, b: DataFrame, column: str) -> DataFrame:

@@ -93,20 +93,27 @@ def _pchip_columns(d: DataFrame, x: Column, out: str) -> DataFrame:
 
 def interpolate(df: DataFrame, columns: Sequence[str], method: str, partition_by: Sequence[str],
                 order_by: Sequence[str | Column], chunk: Column) -> DataFrame:
-    """Fill NULLs of ``columns`` by interpolation within each partition."""
+    """Fill NULLs of ``columns`` by interpolation within each partition.
+
+    All columns share one row numbering and one neighbour pass (one sort, one
+    chunk aggregate, one join), whatever the number of columns."""
     if method not in METHODS:
         raise ValueError(f"unknown interpolation method {method!r}")
     k = 3 if method == "pchip" else 2
+    cols = list(columns)
     d = chunked_row_number(df, partition_by, order_by, chunk, out="__pos")
     x = F.col("__pos").cast("double")
-    for c in columns:
+    vals = {f"c{i}": col_of(c).cast("double") for i, c in enumerate(cols)}
+    d = chunked_neighbors(d, partition_by, order_by, chunk,
+                          preds={f"__kn{i}": v.isNotNull() for i, v in enumerate(vals.values())},
+                          payload={"pos": x, **vals}, k_prev=k, k_next=k)
+    for i, c in enumerate(cols):
         v = col_of(c).cast("double")
-        d = chunked_neighbors(d, partition_by, order_by, chunk, preds={"__kn": v.isNotNull()},
-                              payload={"pos": x, "v": v}, k_prev=k, k_next=k)
-        P = [_pt("__kn__prev", i) for i in range(k)]
-        N = [_pt("__kn__next", i) for i in range(k)]
+        pa, na = f"__kn{i}__prev", f"__kn{i}__next"
+        P = [(nth(pa, j, "pos"), nth(pa, j, f"c{i}")) for j in range(k)]
+        N = [(nth(na, j, "pos"), nth(na, j, f"c{i}")) for j in range(k)]
         has_p, has_n = P[0][0].isNotNull(), N[0][0].isNotNull()
-        enough = (F.size("__kn__prev") + F.size("__kn__next")) >= 2
+        enough = (F.size(pa) + F.size(na)) >= 2
         if method == "linear":
             est = (F.when(has_p & has_n, _linear(x, P[0], N[0]))
                     .when(has_n, _linear(x, N[0], N[1]))
@@ -125,7 +132,7 @@ def interpolate(df: DataFrame, columns: Sequence[str], method: str, partition_by
                 d = d.withColumn(f"__y{name}", F.when(inner, a_in[1]).when(left, a_left[1]).otherwise(a_right[1]))
             d = _pchip_columns(d, x, "__est")
             est = F.col("__est")
-        d = d.withColumn(c, F.when(v.isNotNull() | ~enough, v).otherwise(est)).drop("__kn__prev", "__kn__next")
+        d = d.withColumn(c, F.when(v.isNotNull() | ~enough, v).otherwise(est))
         if method == "pchip":
             d = d.drop("__est")
-    return d.drop("__pos")
+    return d.drop("__pos", *[f"__kn{i}__prev" for i in range(len(cols))], *[f"__kn{i}__next" for i in range(len(cols))])

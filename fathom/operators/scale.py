@@ -128,10 +128,15 @@ def quantile_uniform(x: Column, bucket: Column, quantiles: Sequence[float], refs
 
 def quantile_transform(df: DataFrame, columns: Sequence[str], n_quantiles: int = 1000,
                        fit_on: DataFrame | None = None) -> DataFrame:
-    """Uniform quantile transform; the interval lookup is a JVM binary search
-    (``Bucketizer``) instead of a scan of the reference quantiles per row."""
-    from pyspark.ml.feature import Bucketizer
+    """Uniform quantile transform fitted on ``fit_on`` (default ``df``)."""
     fit = fit_quantile_transform(fit_on if fit_on is not None else df, columns, n_quantiles)
+    return apply_quantile_transform(df, columns, fit)
+
+
+def apply_quantile_transform(df: DataFrame, columns: Sequence[str], fit: dict) -> DataFrame:
+    """Apply fitted reference quantiles; the interval lookup is a JVM binary
+    search (``Bucketizer``) instead of a scan of the quantiles per row."""
+    from pyspark.ml.feature import Bucketizer
     refs = fit["__refs__"]
     cols = [c for c in columns if fit[c] and len(_quantile_lookup(fit[c], refs)[0]) >= 1]
     tmp = [f"__qx{i}" for i in range(len(cols))]

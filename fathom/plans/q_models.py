@@ -1 +1,145 @@
-"""(bindings added below)"""
+"""Bindings for model-based operators (rows-only checks: their results depend
+on iterative fits that SQL cannot express). Inputs: the participant fixture
+(labelled rows for training, unlabelled ones as the pseudo-label pool),
+``embeddings`` for PCA, ``events`` for the series embedding."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fathom import constants as K
+from fathom.operators import clean
+from fathom.operators.series import describe_series
+from fathom.plans import workflows as W
+from fathom.plans.fixtures import participants
+from fathom.plans.q_series import events_prepared
+from fathom.plans.registry import query
+from fathom.plans.tables import round_doubles, table
+from fathom.session import ensure_checkpoint_dir
+from fathom.sources.materialize import materialize
+
+FEATS = ["Physical-BMI", "Physical-HeartRate", "BIA-BIA_Fat", "BIA-BIA_FFMI", "BIA-BIA_ICW", "FGC-FGC_CU",
+         "FGC-FGC_SRR", "PAQ_A-PAQ_A_Total", "Basic_Demos-Age", "BIA-BIA_BMC"]
+
+
+def _data(spark, sf_dir):
+    p = participants(spark, sf_dir)
+    return p.select("id", *[F.col(f"`{c}`") for c in FEATS], F.col(K.SII), F.col(f"`{K.PCIAT_TOTAL}`"))
+
+
+@query("preprocess_chain")
+def q_preprocess_chain(spark, sf_dir):
+    p = participants(spark, sf_dir)
+    tr, te = p.filter(F.col("split") == "train"), p.filter(F.col("split") == "test")
+    a, b = W.preprocess(tr, te, K.BINNED_COLUMNS, K.SEASON_COLUMNS)
+    return a.unionByName(b, allowMissingColumns=True)
+
+
+@query("feature_select_chain")
+def q_feature_select_chain(spark, sf_dir):
+    d = _data(spark, sf_dir)
+    kept = W.select_features(d, FEATS, corr_threshold=0.01)
+    return spark.createDataFrame([(i, f) for i, f in enumerate(kept)], "pos int, feature string") \
+        if kept else spark.createDataFrame([], "pos int, feature string")
+
+
+@query("train_ordinal")
+def q_train_ordinal(spark, sf_dir):
+    scores, cuts, _ = W.train_regressor(_data(spark, sf_dir), W.Recipe(FEATS, "linear_regression"))
+    return scores.withColumn("cuts", F.array(*[F.lit(float(c)) for c in cuts]))
+
+
+@query("train_ordinal_pseudo")
+def q_train_ordinal_pseudo(spark, sf_dir):
+    scores, cuts, _ = W.train_regressor(_data(spark, sf_dir), W.Recipe(FEATS, "ridge", {"alpha": 1.0}), pseudo=True)
+    return scores.withColumn("cuts", F.array(*[F.lit(float(c)) for c in cuts]))
+
+
+@query("train_classifier")
+def q_train_classifier(spark, sf_dir):
+    r = W.Recipe(FEATS, "extra_trees_classifier", {"n_estimators": 20, "max_depth": 6})
+    scores, _, _ = W.train_classifier(_data(spark, sf_dir), r)
+    return scores
+
+
+@query("cv_ordinal")
+def q_cv_ordinal(spark, sf_dir):
+    return W.cross_validate(_data(spark, sf_dir), W.Recipe(FEATS, "linear_regression"), "regressor", parallelism=2)
+
+
+@query("cv_classifier")
+def q_cv_classifier(spark, sf_dir):
+    r = W.Recipe(FEATS, "extra_trees_classifier", {"n_estimators": 10, "max_depth": 5})
+    return W.cross_validate(_data(spark, sf_dir), r, "classifier", parallelism=2)
+
+
+@query("rfe_log")
+def q_rfe_log(spark, sf_dir):
+    log, sel = W.rfe_cv(_data(spark, sf_dir), W.Recipe(FEATS, "linear_regression"), step=K.RFE_STEP)
+    n_sel = sel.count()   # selected feature list: schema-sized
+    return log.withColumn("chosen", F.col("n_features") == F.lit(n_sel))
+
+
+@query("hpo_log")
+def q_hpo_log(spark, sf_dir):
+    trials = W.random_search(_data(spark, sf_dir), FEATS, "ridge", n_trials=2, seed=0)
+    return trials
+
+
+@query("hpo_best")
+def q_hpo_best(spark, sf_dir):
+    return W.best_trial(W.random_search(_data(spark, sf_dir), FEATS, "lasso", n_trials=2, seed=1))
+
+
+@query("stacking")
+def q_stacking(spark, sf_dir):
+    out = W.stacking(_data(spark, sf_dir), FEATS, ["linear_regression", "decision_tree"], "linear_regression")
+    return round_doubles(out.select("id", "oof_linear_regression", "oof_decision_tree", "stacked"))
+
+
+@query("voting_models")
+def q_voting_models(spark, sf_dir):
+    out = W.voting(_data(spark, sf_dir), FEATS, ["linear_regression", "decision_tree"], [0.7, 0.3])
+    return round_doubles(out.select("id", "voted"))
+
+
+@query("impute_model")
+def q_impute_model(spark, sf_dir):
+    d = _data(spark, sf_dir)
+    cols = ["Physical-BMI", "FGC-FGC_SRR", "BIA-BIA_Fat", "BIA-BIA_FFMI", "Physical-HeartRate"]
+    tr, te = d.filter(F.col("id") % 2 == 0), d.filter(F.col("id") % 2 == 1)
+    a, b = W.impute_with_model(tr, te, cols)
+    return round_doubles(a.unionByName(b).select("id", *[F.col(f"`{c}`") for c in cols]))
+
+
+@query("pca_embed")
+def q_pca_embed(spark, sf_dir):
+    emb = table(spark, sf_dir, "embeddings")
+    cols = [f"e{i}" for i in range(64)]
+    wide = emb.select(F.col("vec_id").alias("id"), *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    tr, te = wide.filter(F.col("id") % 2 == 0), wide.filter(F.col("id") % 2 == 1)
+    a, b = W.pca_embed(tr, te, cols, 15)
+    return round_doubles(a.unionByName(b))
+
+
+@query("series_pca_join")
+def q_series_pca_join(spark, sf_dir):
+    desc = describe_series(events_prepared(spark, sf_dir), "user_id", ["value", "k"])
+    stat_cols = [c for c in desc.columns if c.startswith("Stat_")]
+    desc = desc.withColumnRenamed("user_id", "id")
+    tr, te = desc.filter(F.col("id") % 2 == 0), desc.filter(F.col("id") % 2 == 1)
+    a, b = W.pca_embed(tr, te, stat_cols, 5)
+    cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_name")
+    return round_doubles(cust.join(a.unionByName(b), "id", "left"))
+
+
+@query("materialize")
+def q_materialize(spark, sf_dir):
+    """Keyed materialisation of the series summary under the shared checkpoint
+    folder; a second call with the same inputs reads the stored table."""
+    ev = events_prepared(spark, sf_dir)
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    path = f"{base}/fathom-materialized/series_describe_{abs(hash(sf_dir)) % 10**8}"
+    params = {"op": "describe_series", "columns": ["value", "k"], "key": "user_id"}
+    out = materialize(spark, path, params, ev, lambda: describe_series(ev, "user_id", ["value", "k"]))
+    return round_doubles(out)
