@@ -191,8 +191,8 @@ _MS_FEATS = ["Physical-BMI", "BIA-BIA_BMI", "FGC-FGC_SRR", "FGC-FGC_GSD"] + K.ZO
 def _missing_sql():
     arr = ", ".join(f"CASE WHEN {q(c)} IS NULL THEN '{c}' END" for c in _MS_FEATS)
     return (f"WITH {_P}, nl AS (SELECT id, list_filter([{arr}], lambda v: v IS NOT NULL) AS l FROM participants), "
-            "f AS (SELECT id, unnest(l) AS feature FROM nl), "
-            "pairs AS (SELECT a.feature, b.feature AS other FROM f a JOIN f b ON a.id = b.id), "
+            "f AS (SELECT l, unnest(l) AS feature FROM nl), "
+            "pairs AS (SELECT feature, unnest(l) AS other FROM f), "
             "both_ AS (SELECT feature, other, count(*) AS n_both FROM pairs GROUP BY 1, 2), "
             "base AS (SELECT feature, n_both AS n_f FROM both_ WHERE feature = other)\n"
             f"SELECT b.feature, b.other, {rnd('CAST(b.n_both AS DOUBLE) / base.n_f')} AS share FROM both_ b "
