@@ -15,6 +15,10 @@ _CORE_CONF = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # wide feature projections generate methods above the JVM's 8000-bytecode
+    # JIT limit; past it Spark falls back to split (JIT-compiled) expression code
+    # instead of running one huge interpreted whole-stage method
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     # keep hive-style partition values (series ids) as strings
     "spark.sql.sources.partitionColumnTypeInference.enabled": "false",
     "spark.ui.enabled": "false",
