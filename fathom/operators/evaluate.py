@@ -112,9 +112,11 @@ def tune_cuts(df: DataFrame, y: str, pred: str, n_cuts: int = 3, n_candidates: i
     spark = df.sparkSession
     d = df.filter(col_of(y).isNotNull() & col_of(pred).isNotNull())
     cands = list(candidates) if candidates is not None else cut_candidates(d, pred, n_candidates)
-    C = len(cands)
-    if C < n_cuts:
-        raise ValueError("not enough distinct candidates")
+    if not cands:
+        cands = [0.0]
+    if len(cands) < n_cuts:
+        # degenerate (near-constant) predictions: pad with cuts that never fire
+        cands = cands + [float("inf")] * (n_cuts - len(cands))
     cand_arr = F.array(*[F.lit(c) for c in cands])
     p = col_of(pred).cast("double")
     idx = F.size(F.filter(cand_arr, lambda t: t <= p))
