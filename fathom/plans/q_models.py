@@ -139,7 +139,9 @@ def q_materialize(spark, sf_dir):
     folder; a second call with the same inputs reads the stored table."""
     ev = events_prepared(spark, sf_dir)
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/fathom-materialized/series_describe_{abs(hash(sf_dir)) % 10**8}"
+    import hashlib
+    tag = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:12]   # stable across processes
+    path = f"{base}/fathom-materialized/series_describe_{tag}"
     params = {"op": "describe_series", "columns": ["value", "k"], "key": "user_id"}
     out = materialize(spark, path, params, ev, lambda: describe_series(ev, "user_id", ["value", "k"]))
     return round_doubles(out)
