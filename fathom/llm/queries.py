@@ -9,8 +9,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, token_counts
+from . import bpe, line_windows, token_counts, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,6 +33,63 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query
+def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_windows.remove_repeated_lines(docs, width=3, wrap=16, counts=("n_lines", "n_removed")).select(
+        "doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
+ORACLE["op4_line_windows"] = r"""
+WITH d AS (
+  SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '@LINE@') AS l FROM documents),
+n AS (SELECT DISTINCT doc_id, text, list_transform(l, lambda x: trim(translate(x, chr(9) || chr(10) || chr(13), '   '))) AS l FROM d),
+w AS (
+  SELECT doc_id, text, p, l[p:p + 2] AS win FROM (SELECT *, unnest(range(1, len(l) - 1)) AS p FROM n WHERE len(l) >= 3)
+  WHERE array_to_string(l[p:p + 2], '') <> ''),
+later AS (SELECT doc_id, text, p FROM (SELECT *, row_number() OVER (PARTITION BY win ORDER BY doc_id, p) AS k FROM w) WHERE k > 1),
+gone AS (SELECT doc_id, text, list(DISTINCT q) AS g FROM (SELECT doc_id, text, unnest(range(p, p + 3)) AS q FROM later) GROUP BY doc_id, text)
+SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(len(g), 0) AS BIGINT) AS n_removed,
+       sha256(CASE WHEN g IS NULL THEN coalesce(d.text, '') ELSE coalesce(array_to_string(list_transform(
+         list_filter(range(1, len(l) + 1), lambda i: NOT list_contains(g, i)), lambda i: l[i]), ''), '') END) AS text_sha256
+FROM d LEFT JOIN gone ON d.doc_id = gone.doc_id AND d.text = gone.text
+""".replace("@LINE@", line_windows.line_pattern(16))
+
+
+@query
+def op5_winnow_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnow.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), span=10)
+    return found.select("doc_id", "n_words", F.size("hit_words").cast("long").alias("n_hit"),
+                        F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                        (F.size("hit_words") > 0).alias("contaminated"))
+
+
+ORACLE["op5_winnow_decontamination"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bw AS (
+  SELECT DISTINCT item, least(len(w), 10) AS l, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2),
+         lambda s: array_to_string(w[s:s + least(len(w), 10) - 1], ' '))) AS win FROM b WHERE len(w) > 0),
+ls AS (SELECT DISTINCT l FROM bw),
+dw AS (
+  SELECT doc_id, l, unnest(range(1, len(w) - l + 2)) AS s,
+         unnest(list_transform(range(1, len(w) - l + 2), lambda s: array_to_string(w[s:s + l - 1], ' '))) AS win
+  FROM d, ls WHERE len(w) >= l),
+hit AS (SELECT DISTINCT doc_id, s, dw.l, item FROM dw JOIN bw ON dw.win = bw.win AND dw.l = bw.l),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(s, s + l)) AS p FROM hit) GROUP BY doc_id),
+its AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(pos.n, 0) AS BIGINT) AS n_hit,
+       CAST(coalesce(its.n, 0) AS BIGINT) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(pos.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
+"""
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), token_counts.public_vocabulary(), limit=512)
