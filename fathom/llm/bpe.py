@@ -4,7 +4,8 @@ Every match of the split pattern is merged on its own. A segment tree over the b
 positions of the match holds, at its root, the leftmost pair of least rank; a merge
 touches three leaves (the merged pair and its two live neighbours), each a point
 update along one path of the tree, so a match of n bytes costs O(n log n) however
-long it is.
+long it is. Matches of up to 64 bytes are merged many at a time, as rows of one array of
+trees (:class:`Forest`); a longer match gets a tree of its own (:func:`merge_ranks`).
 
 Words repeat, so the ids of a run "white space + word" are remembered per worker in
 a table of bounded size. Such a run may be encoded on its own: a match of the
@@ -22,6 +23,7 @@ import hashlib
 import re
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,9 +33,10 @@ from .common import out_batch, ship, slices, texts_of
 
 _NONE = 1 << 62
 _KEEP_CHARS = 48          # runs up to this long are remembered
-_KEEP_RUNS = 300_000      # and so many of them in each of two generations
+_KEEP_RUNS = 500_000      # and so many of them in each of two generations
 # white space as Unicode has it (Python's \s also takes U+001C..U+001F)
-_RUN = re.compile(r"(?:(?![\x1c-\x1f])\s)*(?:\S|[\x1c-\x1f])+|\s+")
+_SPACE = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_RUN = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 
 
 def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
@@ -44,57 +47,139 @@ def merge_ranks(piece: bytes, ranks: dict[bytes, int]) -> tuple[int, ...]:
     n = len(piece)
     if n < 2:
         return tuple(ranks[piece[i:i + 1]] for i in range(n))
-    size = 1 << (n - 2).bit_length() if n > 2 else 1
+    last = n - 1
+    size = 1 << (last - 1).bit_length() if last > 1 else 1
     mask, shift = size - 1, size.bit_length() - 1
     # leaf i: rank of the pair whose left part begins at byte i, and i itself, so
     # that the minimum is the leftmost of the least rank
-    tree = [_NONE] * (2 * size)
     get = ranks.get
-    for i in range(n - 1):
-        r = get(piece[i:i + 2])
-        if r is not None:
-            tree[size + i] = (r << shift) | i
-    for p in range(size - 1, 0, -1):
-        a, b = tree[2 * p], tree[2 * p + 1]
-        tree[p] = a if a < b else b
+    level = [_NONE if (r := get(piece[i:i + 2])) is None else (r << shift) | i for i in range(last)]
+    level += [_NONE] * (size - last)
+    tree = level
+    while len(level) > 1:
+        level = list(map(min, level[::2], level[1::2]))
+        tree = level + tree
+    tree = [_NONE, *tree]
     after = list(range(1, n + 2))     # start of the next live part
     before = list(range(-1, n))       # start of the previous live part
-    while tree[1] != _NONE:
-        i = tree[1] & mask
+    least = tree[1]
+    while least != _NONE:
+        i = least & mask
         j = after[i]
         k = after[j]
         after[i] = k
+        h = before[i]
+        # point updates: the merged part's own pair, the pair before it, the pair that is gone
         if k < n:
             before[k] = i
-        left = before[i]
-        for at, lo, hi in ((j, -1, 0), (i, i, after[k] if k < n else -1), (left, left, k)):
-            if at < 0 or at >= n - 1:
-                continue
-            value = _NONE
-            if lo >= 0 and hi >= 0:
-                r = get(piece[lo:hi])
-                if r is not None:
-                    value = (r << shift) | at
+            r = get(piece[i:after[k]])
+            changes = ((i, _NONE if r is None else (r << shift) | i), (j, _NONE))
+        else:
+            changes = ((i, _NONE),) if j >= last else ((i, _NONE), (j, _NONE))
+        if h >= 0:
+            r = get(piece[h:k])
+            changes += ((h, _NONE if r is None else (r << shift) | h),)
+        for at, value in changes:
             p = size + at
             if tree[p] == value:
                 continue
             tree[p] = value
-            p >>= 1
-            while p:
-                a, b = tree[2 * p], tree[2 * p + 1]
-                if b < a:
-                    a = b
-                if tree[p] == a:
-                    break
-                tree[p] = a
+            while p > 1:
+                other = tree[p ^ 1]
+                if other < value:
+                    value = other
                 p >>= 1
+                if tree[p] == value:
+                    break
+                tree[p] = value
+        least = tree[1]
     out, i = [], 0
     while i < n:
-        out.append(ranks[piece[i:after[i]]])
-        i = after[i]
+        k = after[i]
+        out.append(ranks[piece[i:k]])
+        i = k
     return tuple(out)
 
 
+class Forest:
+    """The same merges for many short matches at once."""
+
+    longest = 64
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.bytes = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        pairs = {(ranks[t[:c]] << 32) | ranks[t[c:]]: r for t, r in ranks.items()
+                 for c in range(1, len(t)) if t[:c] in ranks and t[c:] in ranks}
+        self.pairs = np.array(sorted(pairs), np.int64)
+        self.merged = np.array([pairs[p] for p in self.pairs.tolist()], np.int64)
+
+    def leaf(self, left: np.ndarray, right: np.ndarray, at: np.ndarray, shift: int) -> np.ndarray:
+        """Leaf values of the pairs of parts (-1: no part) that begin at ``at``."""
+        pair = (left << 32) | right
+        k = np.minimum(np.searchsorted(self.pairs, pair), len(self.pairs) - 1)
+        known = (self.pairs[k] == pair) & (left >= 0) & (right >= 0)
+        return np.where(known, (self.merged[k] << shift) | at, _NONE)
+
+    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
+        """Ids of matches of 2 to ``longest`` bytes."""
+        out: list = [None] * len(pieces)
+        lengths = np.array([len(p) for p in pieces])
+        size = 1
+        while size <= self.longest:
+            of = np.flatnonzero((lengths - 1 <= size) & (lengths - 1 > size // 2 * (size > 1)))
+            for lo in range(0, len(of), 8192):
+                some = of[lo:lo + 8192]
+                for at, ids in zip(some.tolist(), self._merge([pieces[x] for x in some.tolist()], size)):
+                    out[at] = ids
+            size *= 2
+        return out
+
+    def _merge(self, pieces: list[bytes], size: int) -> list[tuple[int, ...]]:
+        m, width, shift = len(pieces), size + 1, size.bit_length() - 1
+        n = np.array([len(p) for p in pieces])
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(m, width)
+        place = np.arange(width + 1)
+        part = np.full((m, width + 1), -1, np.int64)        # id of the part that begins here
+        part[:, :width] = np.where(place[:width] < n[:, None], self.bytes[raw], -1)
+        after = np.minimum(np.tile(place + 1, (m, 1)), n[:, None])
+        before = np.tile(place - 1, (m, 1))
+        tree = np.full((m, 2 * size), _NONE, np.int64)
+        tree[:, size:] = self.leaf(part[:, :size], part[:, 1:width], place[:size], shift)
+        for p in range(size - 1, 0, -1):
+            tree[:, p] = np.minimum(tree[:, 2 * p], tree[:, 2 * p + 1])
+
+        def update(rows, at, value):
+            p = size + at
+            tree[rows, p] = value
+            for _ in range(shift):
+                p = p >> 1
+                tree[rows, p] = np.minimum(tree[rows, 2 * p], tree[rows, 2 * p + 1])
+
+        rows = np.arange(m)
+        while True:
+            least = tree[rows, 1]
+            rows, least = rows[least != _NONE], least[least != _NONE]
+            if not len(rows):
+                break
+            i = least & (size - 1)
+            j = after[rows, i]
+            k = after[rows, j]
+            part[rows, i] = least >> shift
+            part[rows, j] = -1
+            after[rows, i] = k
+            before[rows, k] = i
+            here = part[rows, i]
+            gone = j < size
+            update(rows[gone], j[gone], _NONE)
+            update(rows, i, self.leaf(here, part[rows, k], i, shift))
+            h = before[rows, i]
+            left = h >= 0
+            update(rows[left], h[left], self.leaf(part[rows[left], h[left]], here[left], h[left], shift))
+        live = part >= 0
+        ids, ends = part[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
+        return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
+
+
 class Codec:
     """Encoder and decoder for one rank file and split pattern."""
 
@@ -104,29 +189,46 @@ class Codec:
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             self.tokens[rank] = token
-        # \s as Unicode's White_Space property, whatever the regex library's default
-        self.pattern = regex.compile(pattern)
         self.decimal = [str(i) for i in range(len(self.tokens))]
+        self.pattern = regex.compile(pattern)
+        self.forest = Forest(self.ranks)
         self.runs: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}
 
-    def encode_run(self, run: str) -> tuple[int, ...]:
-        ids = self.older.get(run)
-        if ids is None:
-            ids = tuple(chain.from_iterable(merge_ranks(m.encode(), self.ranks) for m in self.pattern.findall(run)))
-        if len(run) <= _KEEP_CHARS:
-            self.runs[run] = ids
-        return ids
-
-    def encode(self, text: str) -> list[int]:
+    def _encode_runs(self, runs: list[str]) -> list[tuple[int, ...]]:
+        """Ids of runs, each on its own."""
+        pieces = [[m.encode() for m in self.pattern.findall(r)] for r in runs]
+        ids: dict[bytes, tuple[int, ...]] = {}
+        short = []
+        for p in set(chain.from_iterable(pieces)):
+            rank = self.ranks.get(p)
+            if rank is not None:
+                ids[p] = (rank,)
+            elif len(p) <= self.forest.longest:
+                short.append(p)
+            else:
+                ids[p] = merge_ranks(p, self.ranks)
+        ids.update(zip(short, self.forest.merge(short)))
+        return [ids[p[0]] if len(p) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, p))) for p in pieces]
+
+    def encode_batch(self, texts: list[str]) -> list[list[int]]:
         if len(self.runs) >= _KEEP_RUNS:
             self.runs, self.older = {}, self.runs
-        get, encode_run, ids = self.runs.get, self.encode_run, []
-        extend = ids.extend
-        for run in _RUN.findall(text):
-            known = get(run)
-            extend(encode_run(run) if known is None else known)
-        return ids
+        runs = [_RUN.findall(t) for t in texts]
+        known, older = self.runs, self.older
+        missing = set().union(*runs).difference(known)
+        again = {r: older[r] for r in missing if r in older}
+        known.update(again)
+        fresh = [r for r in missing if r not in again]
+        known.update(zip(fresh, self._encode_runs(fresh)))
+        out = [list(chain.from_iterable(map(known.__getitem__, r))) for r in runs]
+        for r in fresh:
+            if len(r) > _KEEP_CHARS:
+                del known[r]
+        return out
+
+    def encode(self, text: str) -> list[int]:
+        return self.encode_batch([text])[0]
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -163,8 +265,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         c = codec(path, pattern)
         for b in slices(batches):
             cols = {o: [] for o in outputs}
-            for text in texts_of(b.column(1)):
-                ids = c.encode(text)
+            for ids in c.encode_batch(texts_of(b.column(1))):
                 for o, to in cols.items():
                     to.append(_output(c, o, ids))
             yield out_batch(arrow, [b.column(0), *cols.values()])

@@ -26,8 +26,9 @@ from pyspark.sql import types as T
 
 from .common import out_batch, ship, slices, texts_of
 
-# white space as the library's split has it: Python's \s without U+001C..U+001F
-_PART = re.compile(r"(?:(?![\x1c-\x1f])\s)*(?:\S|[\x1c-\x1f])+|\s+")
+# white space as Unicode has it (Python's \s also takes U+001C..U+001F)
+_SPACE = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_PART = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 _KEEP_CHARS = 64          # parts up to this long are remembered
 _KEEP_PARTS = 400_000     # and so many of them in each of two generations
 _CALL_BYTES = 1 << 20     # text of one call of the batch encoder
