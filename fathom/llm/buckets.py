@@ -18,11 +18,11 @@ from .common import checkpoint
 _BROADCAST_KEYS = 100_000      # hot keys that are broadcast at most; more are joined by shuffle
 
 
-def deal(members: DataFrame, key: str, member: str, block_rows: int) -> DataFrame:
-    """``members`` with ``own`` (block of the member), ``lo`` and ``hi`` (the pair of blocks the row
+def deal(members: DataFrame, key: str, member: str, block_rows: int, keys: DataFrame | None = None) -> DataFrame:
+    """``keys``: the keys of all members, if they are cheaper to make alone. ``members`` with ``own`` (block of the member), ``lo`` and ``hi`` (the pair of blocks the row
     takes part in). Within a group (key, lo, hi) compare all pairs if lo = hi, else the
     pairs of members of different blocks."""
-    hot = checkpoint(members.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block_rows)
+    hot = checkpoint((members if keys is None else keys).groupBy(key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > block_rows)
                      .select(key, F.ceil(F.col("c") / block_rows).cast("int").alias("blocks")))
     n_hot = hot.count()
     if n_hot == 0:
