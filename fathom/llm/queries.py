@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cap_filters, golay_simhash, line_windows, token_counts, winnow
+from . import bpe, cap_filters, chat_tree, golay_simhash, line_windows, notices, token_counts, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -95,6 +95,25 @@ FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
 
+@query
+def op6_license_notices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = notices.scan_licenses(_table(spark, sf_dir, "documents"))
+    base = F.array_sort(F.array_distinct(F.col("base.label")))
+    every = F.array_sort(F.array_distinct(F.concat("base.label", "spans.label")))
+    return found.select("doc_id", "n_words", F.size("base").cast("long").alias("n_base"),
+                        F.array_min("base.word").alias("first_word"), F.array_max("base.word").alias("last_word"),
+                        F.array_join(base, ",").alias("base_labels"), F.array_join(every, ",").alias("labels"), "score")
+
+
+@query
+def op7_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    nodes, paths = chat_tree.prefix_tree(turns.unionByName(more))
+    return chat_tree.read_back(nodes, paths).withColumnRenamed("conv", "conv_id")
+
+
 @query
 def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, max_bits=4)
