@@ -11,7 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cap_filters, chat_tree, golay_simhash, line_windows, notices, token_counts, winnow
+from . import (bpe, cap_filters, chat_tree, golay_simhash, line_crf, line_windows, notices, subword_toxicity,
+               token_counts, winnow)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,6 +39,15 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 outputs=("n_tokens", "ids_sha256", "decoded_sha256"))
 
 
+@query
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = line_crf.held_out(F.col("doc_id"), 4, 2)
+    model = line_crf.fit(docs, _table(spark, sf_dir, "labels").where(~out), "quality")
+    return line_crf.score(docs, model).select("doc_id", out.alias("held_out"), "score",
+                                              (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -119,6 +129,15 @@ def op8_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golay_simhash.near_duplicates(_table(spark, sf_dir, "documents"), width=4, max_bits=4)
 
 
+@query
+def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    out = line_crf.held_out(F.col("doc_id"), 3, 1)
+    model = subword_toxicity.fit(docs, _table(spark, sf_dir, "labels").where(~out), "toxic")
+    return subword_toxicity.score(docs, model).select("doc_id", out.alias("held_out"), "score",
+                                                      (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), token_counts.public_vocabulary(), limit=512)
