@@ -58,7 +58,7 @@ def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 ORACLE["op4_line_windows"] = r"""
 WITH d AS (
   SELECT doc_id, text, regexp_extract_all(coalesce(text, ''), '@LINE@') AS l FROM documents),
-n AS (SELECT DISTINCT doc_id, text, list_transform(l, lambda x: trim(translate(x, chr(9) || chr(10) || chr(13), '   '))) AS l FROM d),
+n AS (SELECT DISTINCT doc_id, text, list_transform(l, lambda x: trim(x, ' ' || chr(9) || chr(10))) AS l FROM d),
 w AS (
   SELECT doc_id, text, p, l[p:p + 2] AS win FROM (SELECT *, unnest(range(1, len(l) - 1)) AS p FROM n WHERE len(l) >= 3)
   WHERE array_to_string(l[p:p + 2], '') <> ''),
