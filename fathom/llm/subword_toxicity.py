@@ -11,7 +11,7 @@ As the softmax is linear, a word's contribution to the difference of the two log
 scoring looks these up, computing them once per distinct word and worker.
 
 Training reads a bounded sample: of each class at most ``max_docs`` labelled documents, the least by
-a hash of their id, at most ``max_words`` words of each (defaults 3000 and 2000; the bound of what the driver
+a hash of their id, at most ``max_words`` words of each (defaults 2000 and 1500; the bound of what the driver
 holds), reweighted to the classes' shares. Scoring covers every word of every document.
 
 Defined results: null and wordless texts are one window of one empty word; without labelled
@@ -21,6 +21,8 @@ count; extra columns are ignored.
 
 from __future__ import annotations
 
+from array import array
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,8 +50,15 @@ def normal(token: str) -> str:
     return token.strip(_EDGE).lower()
 
 
-def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: list[str], chunk: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
     """Embedding rows of every word, one after the other, and where each word's begin (and the end)."""
+    parts = [_subwords(words[at:at + chunk]) for at in range(0, len(words), chunk)]
+    rows = np.concatenate([r for r, _ in parts]) if parts else np.zeros(0, np.int32)
+    return rows, np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in parts]) if parts else [])]).astype(np.int64)
+
+
+def _subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Embedding rows of the words, and how many each has."""
     marked = [f"<{w}>" for w in words]
     size = np.array([len(w) for w in marked])
     chars = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -72,12 +81,12 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     mixed = (chars + np.uint64(1)) * (at.astype(np.uint64) * np.uint64(2) + np.uint64(1)) * _MIX
     mixed ^= mixed >> np.uint64(31)
     starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-    whole = np.add.reduceat(mixed * _MIX, starts) if len(words) else np.zeros(0, np.uint64)
+    whole = np.add.reduceat(mixed * _MIX, starts)
     rows.append((whole >> np.uint64(20)) % np.uint64(_BUCKETS))
     owner.append(np.arange(len(words)))
-    rows, owner = np.concatenate(rows).astype(np.int64), np.concatenate(owner)
+    rows, owner = np.concatenate(rows).astype(np.int32), np.concatenate(owner)
     order = np.argsort(owner, kind="stable")
-    return rows[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(words)))])
+    return rows[order], np.bincount(owner, minlength=len(words))
 
 
 def _means(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -128,18 +137,23 @@ class Model:
         return -np.expm1(-np.add.reduceat(np.logaddexp(0, z), texts_at[:-1]))
 
 
-def train(docs: list[list[str]], labels: np.ndarray, weights: np.ndarray, steps: int = 200, rate: float = 0.1,
+def train(docs: Iterable[list[str]], labels: np.ndarray, weights: np.ndarray, steps: int = 200, rate: float = 0.1,
           decay: float = 1e-5, seed: int = 1) -> Model:
     """Embeddings and softmax by Adam on the weighted likelihood of the documents' labels."""
-    words = [normal(t) for d in docs for t in d]
-    distinct = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    word = np.array([distinct[w] for w in words])
+    distinct: dict[str, int] = {}
+    numbers, sizes = array("i"), []
+    for d in docs:
+        numbers.extend(distinct.setdefault(normal(t), len(distinct)) for t in d)
+        sizes.append(len(d))
+    word = np.frombuffer(numbers, np.int32)
     rows, bounds = subwords(list(distinct))
+    n_words, n_docs = len(distinct), len(sizes)
+    del distinct
     per_word = np.diff(bounds)
-    windows, texts = window_bounds(np.array([len(d) for d in docs]))
+    windows, texts = window_bounds(np.array(sizes))
     per_window = np.diff(windows)
-    of_window = np.repeat(np.arange(len(per_window)), per_window)
-    of_text = np.repeat(np.arange(len(docs)), np.diff(texts))
+    of_window = np.repeat(np.arange(len(per_window), dtype=np.int32), per_window)
+    of_text = np.repeat(np.arange(n_docs, dtype=np.int32), np.diff(texts))
     rng = np.random.default_rng(seed)
     params = [rng.normal(0, 0.1, (_BUCKETS, _DIM)), rng.normal(0, 0.1, (_DIM, 2)), np.array([0.0, -4.0])]
     m, v = ([np.zeros_like(p) for p in params] for _ in range(2))
@@ -147,13 +161,13 @@ def train(docs: list[list[str]], labels: np.ndarray, weights: np.ndarray, steps:
     for step in range(1, steps + 1):
         table, soft, bias = params
         u = soft[:, 1] - soft[:, 0]
-        word_value = _means((table @ u)[rows], bounds)
+        word_value = _means((table @ u).astype(np.float32)[rows], bounds)
         z = _means(word_value[word], windows) + bias[1] - bias[0]
         total = np.add.reduceat(np.logaddexp(0, z), texts[:-1])          # -log(1 - p) of the text
         toxic = -np.exp(-total) / np.maximum(-np.expm1(-total), 1e-6)
         slope = weights * np.where(labels > 0, np.maximum(toxic, -50), 1.0)
         dz = slope[of_text] / (1 + np.exp(-z))
-        dword = np.bincount(word, (dz / per_window)[of_window], minlength=len(distinct))
+        dword = np.bincount(word, (dz / per_window)[of_window], minlength=n_words)
         drow = np.bincount(rows, np.repeat(dword / per_word, per_word), minlength=_BUCKETS)
         du = table.T @ drow
         grads = [drow[:, None] * u, np.stack([-du, du], axis=1), np.array([-dz.sum(), dz.sum()])]
@@ -168,7 +182,7 @@ def train(docs: list[list[str]], labels: np.ndarray, weights: np.ndarray, steps:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-        max_docs: int = 3000, max_words: int = 2000) -> Model | None:
+        max_docs: int = 2000, max_words: int = 1500) -> Model | None:
     """Model learnt from ``labels`` (id and 0/1 label; the caller leaves the held-out ones out)."""
     ship(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
@@ -193,7 +207,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     got = got.sort_values(["label", "words"])                # one order, however the tasks end
     y = got.label.to_numpy()
     seen = {k: (y == k).sum() for k in share}
-    return train([tokens(w) for w in got.words], y, np.array([share[k] / seen[k] for k in y.tolist()]))
+    return train(map(tokens, got.words), y, np.array([share[k] / seen[k] for k in y.tolist()]))
 
 
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
