@@ -106,7 +106,7 @@ def tune_cuts(df: DataFrame, y: str, pred: str, n_cuts: int = 3, n_candidates: i
        ``groupBy`` (classes x (C+1) cells);
     2. the cell counts (bounded by parameters) are inlined as a literal array;
     3. the ordered subsets are generated with ``sequence``/``explode`` and each
-       is scored with a higher-order ``aggregate`` over the cells -- no join.
+       is scored from tail totals per candidate -- no join, two lookups per cut.
     Returns one row ``cut_1..cut_k, Kappa``.
     """
     spark = df.sparkSession
@@ -127,43 +127,47 @@ def tune_cuts(df: DataFrame, y: str, pred: str, n_cuts: int = 3, n_candidates: i
 
 
 def _search(spark: SparkSession, cells: list[tuple[float, int, int]], cands: list[float], n_cuts: int) -> DataFrame:
+    """Best ordered subset of the candidates.
+
+    A row's class is the number of chosen cuts at or below it, so every sum kappa
+    needs is a sum over the chosen cuts of two tail totals: the rows at or above a
+    candidate, and the sum of their labels. A subset is scored with two lookups per cut.
+    """
     C = len(cands)
-    cell_arr = F.array(*[F.struct(F.lit(yv).alias("y"), F.lit(i).alias("i"), F.lit(float(n)).alias("n"))
-                         for yv, i, n in cells])
-    # ordered index subsets i1 < i2 < ... < ik over the candidate grid
-    t = spark.range(C).select(F.col("id").cast("int").alias("c1"))
+    above = [0.0] * (C + 1)
+    label = [0.0] * (C + 1)
+    for y, i, n in cells:
+        above[i] += n
+        label[i] += n * y
+    for i in range(C - 1, -1, -1):
+        above[i] += above[i + 1]
+        label[i] += label[i + 1]
+    n, sy = above[0], label[0]
+    syy = sum(k * y * y for y, _, k in cells)
+    tail_n = F.array(*[F.lit(v) for v in above[1:]])
+    tail_y = F.array(*[F.lit(v) for v in label[1:]])
+
+    def cut(k: int, index: Column) -> list[Column]:
+        return [index.alias(f"c{k}"), F.element_at(tail_n, index + 1).alias(f"n{k}"), F.element_at(tail_y, index + 1).alias(f"y{k}")]
+
+    t = spark.range(C).select(*cut(1, F.col("id").cast("int")))
     for k in range(2, n_cuts + 1):
-        t = t.select("*", F.explode(F.sequence(F.col(f"c{k - 1}") + 1, F.lit(C - 1))).alias(f"c{k}"))
-    for k in range(2, n_cuts + 1):  # sequence() counts down when start > stop
-        t = t.filter((F.col(f"c{k}") > F.col(f"c{k - 1}")) & (F.col(f"c{k}") <= C - 1))
-
-    def pcls(i):
-        # predicted class of a cell: number of chosen cuts at or below its interval
-        s = None
-        for k in range(1, n_cuts + 1):
-            term = F.when(i >= F.col(f"c{k}") + 1, F.lit(1.0)).otherwise(F.lit(0.0))
-            s = term if s is None else s + term
-        return s
-
-    zero = F.struct(*[F.lit(0.0).alias(n) for n in ("n", "sy", "sp", "syy", "spp", "sd")])
-
-    def step(acc, c):
-        pc = pcls(c["i"])
-        return F.struct((acc["n"] + c["n"]).alias("n"), (acc["sy"] + c["n"] * c["y"]).alias("sy"),
-                        (acc["sp"] + c["n"] * pc).alias("sp"), (acc["syy"] + c["n"] * c["y"] * c["y"]).alias("syy"),
-                        (acc["spp"] + c["n"] * pc * pc).alias("spp"),
-                        (acc["sd"] + c["n"] * (c["y"] - pc) * (c["y"] - pc)).alias("sd"))
-
-    s = t.select("*", F.aggregate(cell_arr, zero, step).alias("s"))
+        t = (t.where(F.col(f"c{k - 1}") < C - 1)
+             .select("*", F.explode(F.sequence(F.col(f"c{k - 1}") + 1, F.lit(C - 1))).alias("next"))
+             .select(*t.columns, *cut(k, F.col("next"))))
+    ks = range(1, n_cuts + 1)
+    total = lambda cols: sum(cols[1:], cols[0])
+    sp = total([F.col(f"n{k}") for k in ks])
+    spp = total([F.lit(2.0 * k - 1.0) * F.col(f"n{k}") for k in ks])
+    syp = total([F.col(f"y{k}") for k in ks])
+    sd = F.lit(syy) - F.lit(2.0) * syp + spp
     # kappa = 1 - sd / (syy + spp - 2 sy sp / n) = 1 - n sd / (n (syy + spp) - 2 sy sp): exact integer
     # numerator and denominator, one IEEE division -> identical ordering in every engine
-    num = F.col("s.n") * F.col("s.sd")
-    den = F.col("s.n") * (F.col("s.syy") + F.col("s.spp")) - F.lit(2.0) * F.col("s.sy") * F.col("s.sp")
-    s = s.select("*", F.try_divide(num, den).alias("ratio"))
-    order = [F.col("ratio").asc_nulls_last()] + [F.col(f"c{k}") for k in range(1, n_cuts + 1)]
-    best = s.orderBy(*order).limit(1)
+    ratio = F.try_divide(F.lit(n) * sd, F.lit(n) * (F.lit(syy) + spp) - F.lit(2.0 * sy) * sp)
+    s = t.withColumn("ratio", ratio)
+    best = s.orderBy(F.col("ratio").asc_nulls_last(), *[F.col(f"c{k}") for k in ks]).limit(1)
     cand_arr = F.array(*[F.lit(c) for c in cands])
-    return best.select(*[F.element_at(cand_arr, F.col(f"c{k}") + 1).alias(f"cut_{k}") for k in range(1, n_cuts + 1)],
+    return best.select(*[F.element_at(cand_arr, F.col(f"c{k}") + 1).alias(f"cut_{k}") for k in ks],
                        (F.lit(1.0) - F.col("ratio")).alias(K.KAPPA))
 
 

@@ -106,7 +106,8 @@ def interpolate(df: DataFrame, columns: Sequence[str], method: str, partition_by
     vals = {f"c{i}": col_of(c).cast("double") for i, c in enumerate(cols)}
     d = chunked_neighbors(d, partition_by, order_by, chunk,
                           preds={f"__kn{i}": v.isNotNull() for i, v in enumerate(vals.values())},
-                          payload={"pos": x, **vals}, k_prev=k, k_next=k)
+                          payload={"pos": x, **vals}, k_prev=k, k_next=k,
+                          payload_of={f"__kn{i}": ["pos", f"c{i}"] for i in range(len(cols))})
     for i, c in enumerate(cols):
         v = col_of(c).cast("double")
         pa, na = f"__kn{i}__prev", f"__kn{i}__next"

@@ -60,67 +60,72 @@ def _empty_of(element_type) -> Column:
 
 def chunked_neighbors(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column],
                       chunk: Column, preds: Mapping[str, Column], payload: Mapping[str, Column],
-                      k_prev: int = 1, k_next: int = 0) -> DataFrame:
+                      k_prev: int = 1, k_next: int = 0,
+                      payload_of: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """For every row and every named predicate ``name``, the payload of the
     nearest ``k_prev`` earlier rows and ``k_next`` later rows (strictly before /
     after, within the partition) for which the predicate holds.
 
     Adds array columns ``{name}__prev`` and ``{name}__next`` (nearest first) of
-    ``struct(payload)``. Exact; per-task work is bounded by the chunk size.
+    ``struct(payload)``; ``payload_of`` names the payload columns a predicate needs
+    (default: all), so wide calls do not carry columns x columns values. Exact; the
+    work is linear in the rows and per-task work is bounded by the chunk size: both
+    directions use a running frame (``unboundedPreceding`` to ``-1``), the following
+    side over the descending order.
     """
     P = list(partition_by)
     O = _cols(order_by)
     d = df.withColumn(_CH, chunk)
-    d = d.withColumn("__self", F.struct(*[c.alias(n) for n, c in payload.items()]))
+    fields = {name: list((payload_of or {}).get(name, payload)) for name in preds}
+    d = d.withColumns({f"{name}__self": F.struct(*[payload[n].alias(n) for n in fields[name]]) for name in preds})
     d = d.withColumn("__ord", F.struct(*[c for c in O]))
-    for name, p in preds.items():
-        d = d.withColumn(f"{name}__is", F.coalesce(p, F.lit(False)))
-    w = Window.partitionBy(*_cols(P), F.col(_CH)).orderBy(*O)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    after = w.rowsBetween(1, Window.unboundedFollowing)
-    empty = _empty_of(d.schema["__self"].dataType)
+    d = d.withColumns({f"{name}__is": F.coalesce(p, F.lit(False)) for name, p in preds.items()})
+    w = Window.partitionBy(*_cols(P), F.col(_CH))
+    before = w.orderBy(*O).rowsBetween(Window.unboundedPreceding, -1)
+    after = w.orderBy(*[c.desc() for c in O]).rowsBetween(Window.unboundedPreceding, -1)
+    empty_of = {name: _empty_of(d.schema[f"{name}__self"].dataType) for name in preds}
     one = lambda s: F.filter(F.array(s), lambda e: e.isNotNull())
 
-    # ---- 1. in-chunk chains: chain_j(r) = the j nearest earlier (later) pred rows
-    for name in preds:
-        is_p = F.col(f"{name}__is")
-        for direction, k, frame, pick in (("prev", k_prev, before, F.last), ("next", k_next, after, F.first)):
-            if k <= 0:
-                continue
-            c = f"{name}__{direction}_in"
-            d = d.withColumn(c, one(pick(F.when(is_p, F.col("__self")), ignorenulls=True).over(frame)))
-            for _ in range(1, k):
-                grown = F.when(is_p, F.slice(F.concat(F.array(F.col("__self")), F.col(c)), 1, k))
-                d = d.withColumn(c, F.coalesce(pick(grown, ignorenulls=True).over(frame), empty))
+    # ---- 1. in-chunk chains: chain_j(r) = the j nearest earlier (later) pred rows.
+    # All predicates of one direction and level share one window pass.
+    for direction, k, frame in (("prev", k_prev, before), ("next", k_next, after)):
+        for level in range(k):
+            grown = {}
+            for name in preds:
+                own, c = F.col(f"{name}__self"), f"{name}__{direction}_in"
+                if level == 0:
+                    grown[c] = one(F.last(F.when(F.col(f"{name}__is"), own), ignorenulls=True).over(frame))
+                else:
+                    chain = F.when(F.col(f"{name}__is"), F.slice(F.concat(F.array(own), F.col(c)), 1, k))
+                    grown[c] = F.coalesce(F.last(chain, ignorenulls=True).over(frame), empty_of[name])
+            d = d.withColumns(grown)
 
     # ---- 2. chunk summaries: the last k_prev / first k_next pred rows of each chunk
     aggs = []
     for name in preds:
-        is_p = F.col(f"{name}__is")
+        is_p, own, empty = F.col(f"{name}__is"), F.col(f"{name}__self"), empty_of[name]
         if k_prev > 0:
-            tail = F.slice(F.concat(F.array(F.col("__self")), F.col(f"{name}__prev_in")), 1, k_prev)
+            tail = F.slice(F.concat(F.array(own), F.col(f"{name}__prev_in")), 1, k_prev)
             aggs.append(F.coalesce(F.max_by(tail, F.when(is_p, F.col("__ord"))), empty).alias(f"{name}__tail"))
         if k_next > 0:
-            head = F.slice(F.concat(F.array(F.col("__self")), F.col(f"{name}__next_in")), 1, k_next)
+            head = F.slice(F.concat(F.array(own), F.col(f"{name}__next_in")), 1, k_next)
             aggs.append(F.coalesce(F.min_by(head, F.when(is_p, F.col("__ord"))), empty).alias(f"{name}__head"))
     chunks = d.groupBy(*_cols(P), F.col(_CH)).agg(*aggs)
 
     # ---- 3. carry across chunks (window over the small chunk table)
-    wc = Window.partitionBy(*_cols(P)).orderBy(F.col(_CH))
-    cb = wc.rowsBetween(Window.unboundedPreceding, -1)
-    ca = wc.rowsBetween(1, Window.unboundedFollowing)
+    wc = Window.partitionBy(*_cols(P))
+    cb = wc.orderBy(F.col(_CH)).rowsBetween(Window.unboundedPreceding, -1)
+    ca = wc.orderBy(F.col(_CH).desc()).rowsBetween(Window.unboundedPreceding, -1)
     carry_cols = []
-    for name in preds:
-        for direction, k, frame, pick, src in (("prev", k_prev, cb, F.last, "tail"), ("next", k_next, ca, F.first, "head")):
-            if k <= 0:
-                continue
-            arr = F.col(f"{name}__{src}")
-            c = f"{name}__{direction}_carry"
-            chunks = chunks.withColumn(c, F.coalesce(pick(F.when(F.size(arr) > 0, arr), ignorenulls=True).over(frame), empty))
-            for _ in range(1, k):
-                grown = F.when(F.size(arr) > 0, F.slice(F.concat(arr, F.col(c)), 1, k))
-                chunks = chunks.withColumn(c, F.coalesce(pick(grown, ignorenulls=True).over(frame), empty))
-            carry_cols.append(c)
+    for direction, k, frame, src in (("prev", k_prev, cb, "tail"), ("next", k_next, ca, "head")):
+        for level in range(k):
+            grown = {}
+            for name in preds:
+                arr, c = F.col(f"{name}__{src}"), f"{name}__{direction}_carry"
+                chain = arr if level == 0 else F.slice(F.concat(arr, F.col(c)), 1, k)
+                grown[c] = F.coalesce(F.last(F.when(F.size(arr) > 0, chain), ignorenulls=True).over(frame), empty_of[name])
+            chunks = chunks.withColumns(grown)
+        carry_cols += [f"{name}__{direction}_carry" for name in preds if k > 0]
     chunks = chunks.select(*_cols(P), F.col(_CH), *[F.col(c) for c in carry_cols])
 
     # ---- 4. join the carry back and merge with the in-chunk chains
@@ -133,7 +138,7 @@ def chunked_neighbors(df: DataFrame, partition_by: Sequence[str], order_by: Sequ
                              F.slice(F.concat(F.col(f"{name}__{direction}_in"), F.col(f"{name}__{direction}_carry")), 1, k))
             d = d.drop(f"{name}__{direction}_in", f"{name}__{direction}_carry")
         d = d.drop(f"{name}__is")
-    return d.drop("__self", "__ord", _CH)
+    return d.drop("__ord", _CH, *[f"{name}__self" for name in preds])
 
 
 def nth(arr: str | Column, i: int, field: str | None = None) -> Column:
@@ -143,57 +148,71 @@ def nth(arr: str | Column, i: int, field: str | None = None) -> Column:
 
 
 def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
-                    n_chunks: int = 256) -> dict[str, list[float | None]]:
+                    rows_per_chunk: int = 1_000_000) -> dict[str, list[float | None]]:
     """Exact linear-interpolation quantiles of whole columns, without a single
     task holding a column.
 
-    Spark's ``percentile`` merges one value->count map per column in a single
-    final task; here each column is ranked with ``chunked_row_number`` (chunks
-    from ``percentile_approx`` boundaries, so every window task holds about
-    1/n_chunks of a column), only the rows at the needed ranks are kept, and
-    ``v_lo + (v_hi - v_lo) * frac`` is formed from them. The fit result (a few
-    numbers per column) is returned to the driver.
+    Cells are counted per (column, value) with map-side combining, so ties -- also
+    one value on half of the rows -- are a single row from then on. The distinct
+    values of a column are cut into chunks of about ``rows_per_chunk`` rows (bounds
+    from ``percentile_approx``; a column that fits one chunk needs none); chunk
+    totals tell which chunks hold a wanted rank, and only these are sorted for their
+    prefix counts. The fit result (a few numbers per column) goes to the driver.
     """
     cols = list(columns)
     if not cols:
         return {}
-    cells = F.array(*[F.struct(F.lit(c).alias("feature"), col_of(c).cast("double").alias("x")) for c in cols])
-    long = df.select(F.explode(cells).alias("s")).select("s.feature", "s.x").filter(F.col("x").isNotNull())
-    inner = [i / n_chunks for i in range(1, n_chunks)]
-    stats = df.agg(*[F.count(col_of(c)).alias(f"n{i}") for i, c in enumerate(cols)],
-                   *[F.percentile_approx(col_of(c).cast("double"), inner, 10 * n_chunks).alias(f"b{i}")
-                     for i, c in enumerate(cols)]).first()
-    chunk = None
-    wanted = None
-    plan: dict[str, list[tuple[int, int, float]]] = {}
-    for i, c in enumerate(cols):
-        n = int(stats[f"n{i}"])
-        bounds = sorted(set(v for v in (stats[f"b{i}"] or []) if v is not None))
-        e = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("x"))) if bounds else F.lit(0)
-        chunk = F.when(F.col("feature") == c, e) if chunk is None else chunk.when(F.col("feature") == c, e)
-        entries = []
-        for p in probs:
-            if n == 0:
-                entries.append((0, 0, 0.0))
-                continue
-            h = (n - 1) * float(p)
-            lo = int(math.floor(h))
-            hi = min(lo + 1, n - 1) if h > lo else lo
-            entries.append((lo + 1, hi + 1, h - lo))
-        plan[c] = entries
-        pos = sorted({r for a, b, _ in entries for r in (a, b) if r > 0})
-        cond = (F.col("feature") == c) & F.col("rn").isin(*pos) if pos else F.lit(False)
-        wanted = cond if wanted is None else (wanted | cond)
-    ranked = chunked_row_number(long, ["feature"], [F.col("x")], chunk.otherwise(F.lit(0)), out="rn")
-    got = {(r.feature, int(r.rn)): r.x for r in ranked.filter(wanted).select("feature", "rn", "x").collect()}
+    cells = F.array(*[F.struct(F.lit(i).alias("f"), col_of(c).cast("double").alias("x")) for i, c in enumerate(cols)])
+    counts = (df.select(F.explode(cells).alias("s")).select("s.f", "s.x").where(F.col("x").isNotNull())
+              .groupBy("f", "x").agg(F.count(F.lit(1)).alias("n")))
+    rows = df.agg(*[F.count(col_of(c).cast("double")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
+    n = [int(rows[f"n{i}"]) for i in range(len(cols))]
+    n_chunks = [-(-k // rows_per_chunk) for k in n]
+    split = [i for i in range(len(cols)) if n_chunks[i] > 1]
+    chunk = F.lit(0)
+    if split:
+        inner = {i: [k / n_chunks[i] for k in range(1, n_chunks[i])] for i in split}
+        bounds = df.agg(*[F.percentile_approx(col_of(cols[i]).cast("double"), inner[i], 10 * n_chunks[i]).alias(f"b{i}")
+                          for i in split]).first()
+        for i in split:
+            at = F.array(*[F.lit(float(b)) for b in sorted(set(bounds[f"b{i}"]))])
+            chunk = F.when(F.col("f") == i, F.size(F.filter(at, lambda b: b <= F.col("x")))).otherwise(chunk)
+    counts = counts.withColumn("chunk", chunk)
+    wanted: dict[int, list[tuple[int, int, float]]] = {}
+    for i in range(len(cols)):
+        h = [(n[i] - 1) * float(p) for p in probs] if n[i] else []
+        wanted[i] = [(math.floor(x) + 1, min(math.floor(x) + 2, n[i]) if x > math.floor(x) else math.floor(x) + 1,
+                      x - math.floor(x)) for x in h]
+    ranks = {i: sorted({r for a, b, _ in w for r in (a, b)}) for i, w in wanted.items() if w}
+    if not ranks:
+        return {c: [None] * len(probs) for c in cols}
+    keep: dict[int, dict[int, tuple[int, list[int]]]] = {i: {0: (0, r)} for i, r in ranks.items()}
+    if split:
+        totals: dict[int, list[tuple[int, int]]] = {}
+        for r in counts.groupBy("f", "chunk").agg(F.sum("n").alias("n")).collect():      # one row per chunk
+            totals.setdefault(r["f"], []).append((r["chunk"], int(r["n"])))
+        for i in ranks:
+            keep[i], ahead = {}, 0
+            for at, total in sorted(totals[i]):
+                here = [r - ahead for r in ranks[i] if ahead < r <= ahead + total]
+                if here:
+                    keep[i][at] = (ahead, here)
+                ahead += total
+    picks = [(i, at, here) for i, chunks in keep.items() for at, (_, here) in chunks.items()]
+    hit = F.create_map(*[x for i, at, here in picks for x in (
+        F.lit(f"{i}/{at}"), F.array(*[F.lit(r) for r in here]).cast("array<bigint>"))])
+    place = F.concat_ws("/", F.col("f").cast("string"), F.col("chunk").cast("string"))
+    upto = F.sum("n").over(Window.partitionBy("f", "chunk").orderBy("x"))
+    found = (counts.withColumn("hit", F.try_element_at(hit, place)).where(F.col("hit").isNotNull())
+             .withColumn("upto", upto)
+             .withColumn("hit", F.filter("hit", lambda r: (r > F.col("upto") - F.col("n")) & (r <= F.col("upto"))))
+             .where(F.size("hit") > 0).select("f", "chunk", "x", "hit").collect())
+    value = {(r["f"], keep[r["f"]][r["chunk"]][0] + k): r["x"] for r in found for k in r["hit"]}
     out: dict[str, list[float | None]] = {}
-    for c in cols:
-        vals = []
-        for lo, hi, frac in plan[c]:
-            if lo == 0:
-                vals.append(None)
-                continue
-            a, b = got[(c, lo)], got[(c, hi)]
+    for i, c in enumerate(cols):
+        vals: list[float | None] = []
+        for lo, hi, frac in wanted[i]:
+            a, b = value[(i, lo)], value[(i, hi)]
             vals.append(a if frac == 0 else a + (b - a) * frac)
-        out[c] = vals
+        out[c] = vals or [None] * len(probs)
     return out
