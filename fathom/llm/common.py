@@ -74,14 +74,14 @@ def out_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
-def slices(batches, max_bytes: int = 4 << 20):
-    """Cut incoming record batches (id, text, ...) into slices of about
-    ``max_bytes`` of text; a slice holds one row at least."""
+def slices(batches, max_bytes: int = 4 << 20, text: int = 1):
+    """Cut incoming record batches, whose column ``text`` is the text, into slices of
+    about ``max_bytes`` of text; a slice holds one row at least."""
     import numpy as np
     for b in batches:
         if b.num_rows == 0:
             continue
-        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(1)), 0), dtype=np.int64)
+        size = np.asarray(pa.compute.fill_null(pa.compute.binary_length(b.column(text)), 0), dtype=np.int64)
         block = np.cumsum(size) // max_bytes
         cuts = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), b.num_rows]
         for lo, hi in zip(cuts, cuts[1:]):

@@ -43,6 +43,7 @@ def _class_table() -> np.ndarray:
 
 _TABLE = _class_table()
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+_SLICE = 1 << 20                           # bytes of text whose features are held at once
 _OWN = 22                                   # features of a line itself
 N_FEATURES = 3 * _OWN + 3
 
@@ -177,7 +178,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
     def run(batches):
-        for b in slices(batches):
+        for b in slices(batches, _SLICE):
             features, first, _ = line_features(texts_of(b.column(1)))
             for i, label in enumerate(b.column(2).to_pylist()):
                 some = features[first[i]:min(first[i + 1], first[i] + max_lines)]
@@ -193,34 +194,44 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
     return train(np.concatenate(blocks).astype(np.float64), first, got.label.to_numpy())
 
 
-def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text",
-          keep: tuple[Column, ...] = ()) -> DataFrame:
-    """One row per row of ``docs``: ``id_col``, the ``keep`` columns, ``score`` and ``line_scores`` (marginals of good)."""
+def _document_scores(texts: list[str], model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Scores of the texts, marginals of all their lines, and the first line of every text (and the end)."""
+    features, first, length = line_features(texts)
+    if model is None:
+        good = np.full(len(features), 0.5)
+    else:
+        good, _, _ = forward_backward(model.unary(features), model.transitions, first)
+    weight = length + 1.0
+    scores = np.add.reduceat(weight * good, first[:-1]) / np.add.reduceat(weight, first[:-1])
+    return np.clip(scores, 0, 1), good, first
+
+
+def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``id_col``, ``score`` and ``line_scores`` (marginals of good)."""
     ship(docs.sparkSession)
-    rows = docs.select(id_col, text_col, *keep)
-    schema = T.StructType([rows.schema[0], *rows.schema[2:], T.StructField("score", T.DoubleType()),
+    rows = docs.select(id_col, text_col)
+    schema = T.StructType([rows.schema[0], T.StructField("score", T.DoubleType()),
                            T.StructField("line_scores", T.ArrayType(T.FloatType()))])
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for b in slices(batches):
-            features, first, length = line_features(texts_of(b.column(1)))
-            if model is None:
-                good = np.full(len(features), 0.5)
-            else:
-                good, _, _ = forward_backward(model.unary(features), model.transitions, first)
-            weight = length + 1.0
-            total = np.add.reduceat(weight, first[:-1])
-            out = np.clip(np.add.reduceat(weight * good, first[:-1]) / total, 0, 1)
+        for b in slices(batches, _SLICE):
+            out, good, first = _document_scores(texts_of(b.column(1)), model)
             lines = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(good.astype(np.float32)))
-            yield out_batch(arrow, [b.column(0), *b.columns[2:], pa.array(out), lines])
+            yield out_batch(arrow, [b.column(0), pa.array(out), lines])
 
     return rows.mapInArrow(run, schema)
 
 
-def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.7, id_col: str = "doc_id",
-              text_col: str = "text") -> DataFrame:
+def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that score below ``threshold``."""
-    whole = F.struct(*(F.col(c) for c in docs.columns)).alias("_doc")
-    return score(docs, model, id_col, text_col, keep=(whole,)).where(F.col("score") >= threshold).select("_doc.*")
+    ship(docs.sparkSession)
+    text = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in slices(batches, _SLICE, text):
+            scores, _, _ = _document_scores(texts_of(b.column(text)), model)
+            yield b.filter(pa.array(scores >= threshold))
+
+    return docs.mapInArrow(run, docs.schema)
