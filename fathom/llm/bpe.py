@@ -21,6 +21,7 @@ import base64
 import functools
 import hashlib
 import re
+import sys
 from itertools import chain
 
 import numpy as np
@@ -32,8 +33,9 @@ from pyspark.sql import types as T
 from .common import out_batch, ship, slices, texts_of
 
 _NONE = 1 << 62
+_SLICE = 2 << 20          # bytes of text encoded at once
 _KEEP_CHARS = 48          # runs up to this long are remembered
-_KEEP_RUNS = 500_000      # and so many of them in each of two generations
+_KEEP_RUNS = 250_000      # and so many of them in each of two generations
 # white space as Unicode has it (Python's \s also takes U+001C..U+001F)
 _SPACE = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -120,8 +122,8 @@ class Forest:
         known = (self.pairs[k] == pair) & (left >= 0) & (right >= 0)
         return np.where(known, (self.merged[k] << shift) | at, _NONE)
 
-    def merge(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
-        """Ids of matches of 2 to ``longest`` bytes."""
+    def merge(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (as bytes of 32-bit integers) of matches of 2 to ``longest`` bytes."""
         out: list = [None] * len(pieces)
         lengths = np.array([len(p) for p in pieces])
         size = 1
@@ -134,7 +136,7 @@ class Forest:
             size *= 2
         return out
 
-    def _merge(self, pieces: list[bytes], size: int) -> list[tuple[int, ...]]:
+    def _merge(self, pieces: list[bytes], size: int) -> list[bytes]:
         m, width, shift = len(pieces), size + 1, size.bit_length() - 1
         n = np.array([len(p) for p in pieces])
         raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), np.uint8).reshape(m, width)
@@ -176,8 +178,8 @@ class Forest:
             left = h >= 0
             update(rows[left], h[left], self.leaf(part[rows[left], h[left]], here[left], h[left], shift))
         live = part >= 0
-        ids, ends = part[live].tolist(), np.cumsum(live.sum(axis=1)).tolist()
-        return [tuple(ids[a:b]) for a, b in zip([0, *ends], ends)]
+        ids, ends = part[live].astype(np.uint32).tobytes(), (4 * np.cumsum(live.sum(axis=1))).tolist()
+        return [ids[a:b] for a, b in zip([0, *ends], ends)]
 
 
 class Codec:
@@ -192,26 +194,28 @@ class Codec:
         self.decimal = [str(i) for i in range(len(self.tokens))]
         self.pattern = regex.compile(pattern)
         self.forest = Forest(self.ranks)
-        self.runs: dict[str, tuple[int, ...]] = {}
-        self.older: dict[str, tuple[int, ...]] = {}
+        # ids as bytes of 32-bit integers: small to keep, and joined without a loop
+        self.runs: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
-    def _encode_runs(self, runs: list[str]) -> list[tuple[int, ...]]:
+    def _encode_runs(self, runs: list[str]) -> list[bytes]:
         """Ids of runs, each on its own."""
         pieces = [[m.encode() for m in self.pattern.findall(r)] for r in runs]
-        ids: dict[bytes, tuple[int, ...]] = {}
+        ids: dict[bytes, bytes] = {}
         short = []
         for p in set(chain.from_iterable(pieces)):
             rank = self.ranks.get(p)
             if rank is not None:
-                ids[p] = (rank,)
+                ids[p] = rank.to_bytes(4, sys.byteorder)
             elif len(p) <= self.forest.longest:
                 short.append(p)
             else:
-                ids[p] = merge_ranks(p, self.ranks)
+                ids[p] = np.array(merge_ranks(p, self.ranks), np.uint32).tobytes()
         ids.update(zip(short, self.forest.merge(short)))
-        return [ids[p[0]] if len(p) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, p))) for p in pieces]
+        return [ids[p[0]] if len(p) == 1 else b"".join(map(ids.__getitem__, p)) for p in pieces]
 
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+    def encode_batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin (and the end)."""
         if len(self.runs) >= _KEEP_RUNS:
             self.runs, self.older = {}, self.runs
         runs = [_RUN.findall(t) for t in texts]
@@ -221,14 +225,15 @@ class Codec:
         known.update(again)
         fresh = [r for r in missing if r not in again]
         known.update(zip(fresh, self._encode_runs(fresh)))
-        out = [list(chain.from_iterable(map(known.__getitem__, r))) for r in runs]
+        parts = [b"".join(map(known.__getitem__, r)) for r in runs]
         for r in fresh:
             if len(r) > _KEEP_CHARS:
                 del known[r]
-        return out
+        ends = np.cumsum([0, *map(len, parts)]) // 4
+        return np.frombuffer(b"".join(parts), np.uint32), ends
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_batch([text])[0]
+        return self.encode_batch([text])[0].tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -263,12 +268,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
 
     def run(batches):
         c = codec(path, pattern)
-        for b in slices(batches):
-            cols = {o: [] for o in outputs}
-            for ids in c.encode_batch(texts_of(b.column(1))):
-                for o, to in cols.items():
-                    to.append(_output(c, o, ids))
-            yield out_batch(arrow, [b.column(0), *cols.values()])
+        for b in slices(batches, _SLICE):
+            ids, ends = c.encode_batch(texts_of(b.column(1)))
+            yield out_batch(arrow, [b.column(0), *_outputs(c, outputs, ids, ends)])
 
     return rows.mapInArrow(run, schema)
 
@@ -278,15 +280,24 @@ def _arrow(schema: T.StructType) -> pa.Schema:
     return to_arrow_schema(schema)
 
 
-def _output(c: Codec, kind: str, ids: list[int]):
-    if kind == "ids":
-        return ids
-    if kind == "n_tokens":
-        return len(ids)
-    if kind == "ids_sha256":
-        return hashlib.sha256(",".join(map(c.decimal.__getitem__, ids)).encode()).hexdigest()
-    data = c.decode(ids)
-    return data if kind == "decoded" else hashlib.sha256(data).hexdigest()
+def _outputs(c: Codec, kinds: tuple[str, ...], ids: np.ndarray, ends: np.ndarray) -> list:
+    made: dict[str, list | pa.Array] = {"n_tokens": pa.array(np.diff(ends))}
+    if "ids" in kinds:
+        made["ids"] = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids.astype(np.int32)))
+    if set(kinds) - set(made):
+        for k in kinds:
+            made.setdefault(k, [])
+        for a, b in zip(ends.tolist(), ends[1:].tolist()):
+            own = ids[a:b].tolist()
+            if "ids_sha256" in kinds:
+                made["ids_sha256"].append(hashlib.sha256(",".join(map(c.decimal.__getitem__, own)).encode()).hexdigest())
+            if "decoded" in kinds or "decoded_sha256" in kinds:
+                data = c.decode(own)
+                if "decoded" in kinds:
+                    made["decoded"].append(data)
+                if "decoded_sha256" in kinds:
+                    made["decoded_sha256"].append(hashlib.sha256(data).hexdigest())
+    return [made[k] for k in kinds]
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",

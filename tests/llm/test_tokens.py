@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from fathom.llm import bpe, token_counts
@@ -27,17 +28,22 @@ def library():
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}), ranks
 
 
+def batch(c, texts):
+    ids, ends = c.encode_batch(texts)
+    return [ids[a:b].tolist() for a, b in zip(ends, ends[1:])]
+
+
 def test_ids_equal_the_librarys(library):
     c = bpe.codec(*bpe.public_vocabulary())
     some = texts()
-    assert c.encode_batch(some) == [library[0].encode_ordinary(t) for t in some]
+    assert batch(c, some) == [library[0].encode_ordinary(t) for t in some]
     assert [c.encode(t) for t in some[:200]] == [library[0].encode_ordinary(t) for t in some[:200]]
 
 
 def test_decoding_is_an_exact_round_trip():
     c = bpe.codec(*bpe.public_vocabulary())
     some = texts(seed=4)
-    assert [c.decode(i) for i in c.encode_batch(some)] == [t.encode() for t in some]
+    assert [c.decode(i) for i in batch(c, some)] == [t.encode() for t in some]
 
 
 def test_one_tree_and_the_array_of_trees_agree(library):
@@ -45,7 +51,8 @@ def test_one_tree_and_the_array_of_trees_agree(library):
     rnd = random.Random(5)
     pieces = [bytes(rnd.choice(b"abre th\xc3\xa9") for _ in range(rnd.randint(2, 64))) for _ in range(1500)]
     pieces = [p for p in pieces if p not in library[1]]
-    assert c.forest.merge(pieces) == [bpe.merge_ranks(p, library[1]) for p in pieces]
+    assert [tuple(np.frombuffer(x, np.uint32).tolist()) for x in c.forest.merge(pieces)] == [
+        bpe.merge_ranks(p, library[1]) for p in pieces]
 
 
 def test_encode_documents_takes_awkward_rows(spark, library):
