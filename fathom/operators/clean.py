@@ -17,11 +17,15 @@ def drop_columns(df: DataFrame, columns: Iterable[str]) -> DataFrame:
     return df.select(*[col_of(c) for c in df.columns if c not in drop])
 
 
+def nonfinite_to_null(df: DataFrame) -> DataFrame:
+    """NaN and +-inf become NULL in every floating column."""
+    floats = {f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
+    return df.select(*[null_if_nonfinite(c).alias(c) if c in floats else col_of(c) for c in df.columns])
+
+
 def drop_leakage(df: DataFrame, columns: Sequence[str] = K.LEAKAGE_COLUMNS) -> DataFrame:
     """Drop the leakage columns and turn NaN/+-inf into NULL in every floating column."""
-    d = drop_columns(df, columns)
-    floats = {f.name for f in d.schema.fields if f.dataType.typeName() in ("double", "float")}
-    return d.select(*[null_if_nonfinite(c).alias(c) if c in floats else col_of(c) for c in d.columns])
+    return nonfinite_to_null(drop_columns(df, columns))
 
 
 def subset_of_features(df: DataFrame, features: Sequence[str], keep: Sequence[str] = (),

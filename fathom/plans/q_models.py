@@ -15,7 +15,7 @@ from fathom.plans.fixtures import participants
 from fathom.plans.q_series import events_prepared
 from fathom.plans.registry import query
 from fathom.plans.tables import round_doubles, table
-from fathom.session import ensure_checkpoint_dir
+from fathom.session import shared_folder
 from fathom.sources.materialize import materialize
 
 FEATS = ["Physical-BMI", "Physical-HeartRate", "BIA-BIA_Fat", "BIA-BIA_FFMI", "BIA-BIA_ICW", "FGC-FGC_CU",
@@ -138,7 +138,7 @@ def q_materialize(spark, sf_dir):
     """Keyed materialisation of the series summary under the shared checkpoint
     folder; a second call with the same inputs reads the stored table."""
     ev = events_prepared(spark, sf_dir)
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+    base = shared_folder(spark)
     import hashlib
     tag = hashlib.md5(sf_dir.rstrip("/").encode()).hexdigest()[:12]   # stable across processes
     path = f"{base}/fathom-materialized/series_describe_{tag}"

@@ -15,17 +15,18 @@ from functools import reduce
 from typing import Any, Sequence
 
 from pyspark.ml.feature import PCA, VectorAssembler
+from pyspark.errors import AnalysisException
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom import constants as K
 from fathom.functions.exprs import col_of, ordinal_round
-from fathom.operators import clean, combine, encode, evaluate, folds, scale, stats
+from fathom.operators import clean, combine, encode, evaluate, folds, lasso, scale, stats
 from fathom.operators.interpolate import interpolate
 from fathom.operators.ordered import exact_quantiles
-from fathom.plans.models import FEATURES, LABEL, PRED, WEIGHT, SPACES, IMPUTER_SPACE, SCALER_SPACE, \
-    importance_vector, make_estimator, sample_params
+from fathom.plans.models import FEATURES, IMPUTER_SPACE, LABEL, PRED, REGISTRY, SCALER_SPACE, SPACES, WEIGHT, \
+    effective, importance_vector, make_estimator, sample_params
 
 
 # ------------------------------------------------------------------ preprocessing
@@ -49,23 +50,41 @@ class Fitted:
     kind: str
 
 
+#: Cut candidates of every cut-point search (training, CV, elimination).
+N_CANDIDATES = 64
+ROWS_PER_CHUNK = 1_000_000
+
+
 def _impute_fit(train: DataFrame, r: Recipe):
     if r.imputer in ("mean", "median", "most_frequent"):
         return ("simple", scale.fit_impute(train, r.features, r.imputer))
+    if r.imputer == "lasso":
+        return ("lasso", fit_model_imputer(train, r.features, na_frac=0.4))
     return ("interp", r.imputer)
 
 
+def _key_chunk(df: DataFrame, key: str) -> Column:
+    """A chunk number that does not fall along the order of ``key`` (of any orderable type):
+    bounds are keys of a hashed sample, about one per ``ROWS_PER_CHUNK`` rows."""
+    n = df.count()
+    chunks = -(-n // ROWS_PER_CHUNK)
+    if chunks <= 1:
+        return F.lit(0)
+    bounds = sorted(r[0] for r in df.where(col_of(key).isNotNull()).select(col_of(key).alias("k"))
+                    .where(F.pmod(F.xxhash64("k"), F.lit(ROWS_PER_CHUNK // 8)) == 0).collect())[7::8]
+    at = F.array(*[F.lit(b) for b in bounds])
+    return F.when(col_of(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(at, lambda b: b <= col_of(key))))
+
+
 def _impute_apply(df: DataFrame, r: Recipe, fit, means: dict) -> DataFrame:
     kind, p = fit
     if kind == "simple":
         d = stats.fill_with(df, p)
+    elif kind == "lasso":
+        d = apply_model_imputer(df, p)
     else:
-        # interpolate down the rows in key order (one global series, chunked by key range)
-        # chunks: ~256 equal key ranges, so each window task holds ~1/256 of the rows
-        lo, hi = df.agg(F.min(col_of(r.key)), F.max(col_of(r.key))).first()
-        width = max(1, ((hi or 0) - (lo or 0)) // 256 + 1)
-        d = df.withColumn("__one", F.lit(0))
-        d = interpolate(d, r.features, p, ["__one"], [col_of(r.key)], F.floor((col_of(r.key) - F.lit(lo or 0)) / F.lit(width)))
+        # interpolate down the rows in key order (one global series, chunked by key bounds)
+        d = interpolate(df.withColumn("__one", F.lit(0)), r.features, p, ["__one"], [col_of(r.key)], _key_chunk(df, r.key))
         d = d.drop("__one")
     return stats.fill_with(d, means)     # anything still missing: train mean
 
@@ -115,7 +134,8 @@ def fit(train: DataFrame, r: Recipe, label: str, weight: str | None = None) -> F
             _scale_apply(filled, r, sc))
         d = d.withColumn(LABEL, col_of(label).cast("double"))
         d = d.withColumn(WEIGHT, col_of(weight).cast("double") if weight else F.lit(1.0))
-        est, kind = make_estimator(r.estimator, r.params, n_features=len(r.features))
+        params = {**r.params, "n_rows": d.count()} if r.estimator == "ridge" else r.params
+        est, kind = make_estimator(r.estimator, params, n_features=len(r.features))
         model = est.fit(d)
     finally:
         filled.unpersist()
@@ -144,60 +164,75 @@ def _scores(pred: DataFrame, y: str, p: str, **tags) -> DataFrame:
     return s
 
 
+def _ordinal(pred: DataFrame, cls: str, n_candidates: int) -> list[float]:
+    row = evaluate.tune_cuts(pred, cls, "pred", n_candidates=n_candidates).first()
+    return [row[f"cut_{i}"] for i in (1, 2, 3)]
+
+
 def train_regressor(df: DataFrame, r: Recipe, cls: str = K.SII, score: str = K.PCIAT_TOTAL,
-                    pseudo: bool = False, n_candidates: int = 64):
-    """Fit the score with inverse-frequency weights, tune cut points on the
-    training predictions, evaluate the rounded classes. Returns (scores, cuts, model)."""
+                    pseudo: bool = False, n_candidates: int = N_CANDIDATES):
+    """Fit the score with inverse-frequency weights, tune cut points on the training predictions and
+    evaluate the rounded classes; with ``pseudo`` the model is refitted after that on the pseudo-labelled
+    union. Returns (scores, cuts, model)."""
     lab = _weights(clean.keep_labelled(df, cls), score)
     fm = fit(lab, r, score, "w")
+    pred = predict(fm, lab).persist()
+    try:
+        cuts = _ordinal(pred, cls, n_candidates)
+        scores = _collected(_scores(pred.withColumn("pc", ordinal_round("pred", cuts)), cls, "pc",
+                                    estimator=r.estimator, split="train"))
+    finally:
+        pred.unpersist()
     if pseudo:
         fm = pseudo_label_regressor(df, fm, r, cls, score)
-    pred = predict(fm, lab).persist()
-    cut_row = evaluate.tune_cuts(pred, cls, "pred", n_candidates=n_candidates).first()
-    cuts = [cut_row[f"cut_{i}"] for i in (1, 2, 3)]
-    rounded = pred.withColumn("pc", ordinal_round("pred", cuts))
-    return _scores(rounded, cls, "pc", estimator=r.estimator, split="train"), cuts, fm
+    return scores, cuts, fm
+
+
+def _collected(scores: DataFrame) -> DataFrame:
+    """A score table (one row per split) as data, so the frames behind it can be released."""
+    return scores.sparkSession.createDataFrame(scores.collect(), scores.schema)
 
 
 def train_classifier(df: DataFrame, r: Recipe, cls: str = K.SII, pseudo: bool = False):
     lab = _weights(clean.keep_labelled(df, cls), cls)
     fm = fit(lab, r, cls, "w")
+    scores = _collected(_scores(predict(fm, lab), cls, "pred", estimator=r.estimator, split="train"))
     if pseudo:
         fm = pseudo_label_classifier(df, fm, r, cls)
-    pred = predict(fm, lab)
-    return _scores(pred, cls, "pred", estimator=r.estimator, split="train"), None, fm
+    return scores, None, fm
+
+
+def _reseeded(r: Recipe, seed: int) -> Recipe:
+    return Recipe(r.features, r.estimator, {**r.params, "seed": seed}, r.imputer, r.scaler, r.key)
 
 
 def pseudo_label_regressor(df: DataFrame, fm: Fitted, r: Recipe, cls: str, score: str,
-                           runs: int = K.PSEUDO_REFITS, q: float = K.PSEUDO_STD_QUANTILE) -> Fitted:
-    """Refit on bootstrap resamples, keep unlabelled rows whose prediction
-    spread is within the lower quartile, label them |first prediction|, refit
-    on the union (weighted)."""
-    lab = _weights(clean.keep_labelled(df, cls), score)
-    unl = clean.keep_unlabelled(df, cls)
-    base = predict(fm, unl, "p0")
-    cols = ["p0"]
-    for i in range(1, runs):
-        boot = lab.sample(withReplacement=True, fraction=1.0, seed=1000 + i)
-        fi = fit(boot, r, score, "w")
-        base = predict(fi, base, f"p{i}")
-        cols.append(f"p{i}")
-    spread = base.select(combine.prediction_spread(cols).alias("s"))
-    cut = exact_quantiles(spread, ["s"], [q])["s"][0]
-    if cut is None:
+                           runs: int = K.PSEUDO_REFITS, q: float = K.PSEUDO_STD_QUANTILE,
+                           labelled: DataFrame | None = None) -> Fitted:
+    """Refit ``runs`` times on the same rows with other seeds; keep the unlabelled rows whose predictions
+    spread within the lower quartile, label them with the absolute prediction of the model from
+    before, and refit (unweighted) on the union."""
+    lab = labelled if labelled is not None else clean.keep_labelled(df, cls)
+    base = predict(fm, clean.keep_unlabelled(df, cls), "p0")
+    weighted = _weights(lab, score)
+    cols = [f"p{i}" for i in range(1, runs + 1)]
+    for i, c in enumerate(cols):
+        base = predict(fit(weighted, _reseeded(r, i), score, "w"), base, c)
+    cut = exact_quantiles(base.select(combine.prediction_spread(cols).alias("s")), ["s"], [q])["s"][0]
+    if cut is None:                                     # no unlabelled rows
         return fm
-    conf = combine.confident_by_spread(base, cols, "p0", cut, label=score).drop(*cols, "spread")
-    ext = lab.drop("w").unionByName(conf, allowMissingColumns=True)
-    return fit(_weights(ext, score), r, score, "w")
+    conf = combine.confident_by_spread(base, cols, "p0", cut, label=score).drop("p0", *cols, "spread")
+    return fit(lab.unionByName(conf, allowMissingColumns=True), r, score)
 
 
-def pseudo_label_classifier(df: DataFrame, fm: Fitted, r: Recipe, cls: str,
-                            threshold: float = K.PSEUDO_CONFIDENCE) -> Fitted:
-    lab = clean.keep_labelled(df, cls)
-    unl = clean.keep_unlabelled(df, cls).drop(cls)
-    p = predict(fm, unl)
+def pseudo_label_classifier(df: DataFrame, fm: Fitted, r: Recipe, cls: str, threshold: float = K.PSEUDO_CONFIDENCE,
+                            labelled: DataFrame | None = None) -> Fitted:
+    """Unlabelled rows whose most likely class reaches ``threshold``, and a refit on the union. Raises
+    for a model that gives no probabilities."""
+    lab = labelled if labelled is not None else clean.keep_labelled(df, cls)
+    p = predict(fm, clean.keep_unlabelled(df, cls).drop(cls))
     if "probs" not in p.columns:
-        return fm
+        raise ValueError(f"{r.estimator} gives no class probabilities to pseudo-label by")
     conf = combine.confident_by_probability(p, "probs", threshold, label=cls).drop("probs", "max_prob", "pred")
     ext = lab.unionByName(conf.withColumn(cls, F.col(cls).cast("double")), allowMissingColumns=True)
     return fit(_weights(ext, cls), r, cls, "w")
@@ -205,32 +240,39 @@ def pseudo_label_classifier(df: DataFrame, fm: Fitted, r: Recipe, cls: str,
 
 def cross_validate(df: DataFrame, r: Recipe, kind: str = "regressor", k: int = K.N_FOLDS, seed: int = 0,
                    cls: str = K.SII, score: str = K.PCIAT_TOTAL, parallelism: int = 1,
-                   n_candidates: int = 32) -> DataFrame:
-    """Stratified k-fold CV; regressors tune cut points on the training folds
-    and apply them to the validation fold. One score row per (fold, split)."""
+                   n_candidates: int = N_CANDIDATES, pseudo: bool = False) -> DataFrame:
+    """Stratified k-fold CV; regressors tune cut points on the training folds and apply them to
+    the validation fold. With ``pseudo`` each fold's model is refitted with pseudo labels before it
+    predicts. One score row per (fold, split)."""
     lab = folds.stratified_folds(clean.keep_labelled(df, cls), cls, r.key, k, seed).persist()
 
     def one(f: int) -> DataFrame:
         tr, va = lab.filter(F.col(K.FOLD) != f), lab.filter(F.col(K.FOLD) == f)
         if kind == "regressor":
-            trw = _weights(tr, score)
-            fm = fit(trw, r, score, "w")
+            fm = fit(_weights(tr, score), r, score, "w")
+            if pseudo:
+                fm = pseudo_label_regressor(df, fm, r, cls, score, labelled=tr)
             pt = predict(fm, tr).persist()
-            row = evaluate.tune_cuts(pt, cls, "pred", n_candidates=n_candidates).first()
-            cuts = [row[f"cut_{i}"] for i in (1, 2, 3)]
-            pt = pt.withColumn("pc", ordinal_round("pred", cuts))
-            pv = predict(fm, va).withColumn("pc", ordinal_round("pred", cuts)).persist()
-            a, b = _scores(pt, cls, "pc", fold=f, split="train"), _scores(pv, cls, "pc", fold=f, split="val")
-        else:
-            fm = fit(_weights(tr, cls), r, cls, "w")
-            a = _scores(predict(fm, tr), cls, "pred", fold=f, split="train")
-            b = _scores(predict(fm, va), cls, "pred", fold=f, split="val")
-        return a.unionByName(b)
-
-    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
-        parts = list(ex.map(one, range(k)))
-    out = reduce(lambda a, b: a.unionByName(b), parts)
-    return df.sparkSession.createDataFrame(out.collect(), out.schema).withColumn(K.ESTIMATOR, F.lit(r.estimator))
+            try:
+                cuts = _ordinal(pt, cls, n_candidates)
+                a = _scores(pt.withColumn("pc", ordinal_round("pred", cuts)), cls, "pc", fold=f, split="train")
+                b = _scores(predict(fm, va).withColumn("pc", ordinal_round("pred", cuts)), cls, "pc", fold=f, split="val")
+                return _collected(a.unionByName(b))
+            finally:
+                pt.unpersist()
+        fm = fit(_weights(tr, cls), r, cls, "w")
+        if pseudo:
+            fm = pseudo_label_classifier(df, fm, r, cls, labelled=tr)
+        a = _scores(predict(fm, tr), cls, "pred", fold=f, split="train")
+        b = _scores(predict(fm, va), cls, "pred", fold=f, split="val")
+        return _collected(a.unionByName(b))
+
+    try:
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as ex:
+            parts = list(ex.map(one, range(k)))
+    finally:
+        lab.unpersist()
+    return reduce(lambda a, b: a.unionByName(b), parts).withColumn(K.ESTIMATOR, F.lit(r.estimator))
 
 
 def mean_scores(cv: DataFrame, split: str = "val") -> DataFrame:
@@ -239,38 +281,57 @@ def mean_scores(cv: DataFrame, split: str = "val") -> DataFrame:
 
 
 # ------------------------------------------------------------------ search
+def _imputer_of(p: dict) -> str:
+    return {"SimpleImputer": p["imputer_strategy"], "InterpolationTransformer": p["interpolation_method"],
+            "LassoImputer": "lasso"}[p["imputer"]]
+
+
+_PREPARATION = ("imputer", "imputer_strategy", "interpolation_method", "scaler")
+_TRIAL_SCHEMA = "trial int, estimator string, params string, value double, features array<string>"
+
+
+def _stored_trials(spark: SparkSession, store: str | None, estimator: str) -> DataFrame | None:
+    """Trials of the estimator in the store; None where there is no store yet."""
+    if store is None:
+        return None
+    try:
+        return spark.read.schema(_TRIAL_SCHEMA).parquet(store).where(F.col(K.ESTIMATOR) == estimator)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
 def random_search(df: DataFrame, features: Sequence[str], estimator: str, n_trials: int, seed: int = 0,
-                  store: str | None = None, k: int = K.N_FOLDS) -> DataFrame:
-    """Seeded random search over the declared space (imputer, scaler and model
-    parameters). Each trial is a Spark CV; trials already in ``store`` are skipped
-    (resumable). Returns the trial table ``trial, estimator, params, value, features``."""
+                  store: str | None = None, k: int = K.N_FOLDS, rfe: bool = False, parallelism: int = 1) -> DataFrame:
+    """Seeded random search over the declared space (imputer, scaler and model parameters). Each trial is
+    a Spark CV and is appended to ``store`` as soon as it ends, so an interrupted search goes on where
+    it stopped. With ``rfe`` every trial first eliminates features with its own parameters, and its row keeps
+    them. Returns the trial table ``trial, estimator, params, value, features``; ``params`` also holds the
+    values the stage really uses and the sampled ones it has no counterpart for."""
     spark = df.sparkSession
-    kind = make_estimator(estimator, {}, len(features))[1]
-    done: set[int] = set()
-    if store:
-        try:
-            done = {r.trial for r in spark.read.parquet(store).filter(F.col(K.ESTIMATOR) == estimator)
-                    .select("trial").collect()}
-        except Exception:  # empty store
-            done = set()
+    if estimator not in REGISTRY:
+        raise ValueError(f"no estimator {estimator!r} to search")
+    kind = REGISTRY[estimator][1]
+    stored = _stored_trials(spark, store, estimator)
+    done = {r.trial for r in stored.select("trial").collect()} if stored is not None else set()
     rows = []
     for t in range(n_trials):
-        rng = random.Random(f"{seed}:{estimator}:{t}")
-        p = sample_params({**IMPUTER_SPACE, **SCALER_SPACE, **SPACES.get(estimator, {})}, rng)
         if t in done:
             continue
-        r = Recipe(list(features), estimator, {k2: v for k2, v in p.items() if k2 not in ("imputer", "scaler")},
-                   p["imputer"], p["scaler"])
-        cv = cross_validate(df, r, kind, k=k, seed=seed)
-        value = mean_scores(cv).first()[K.KAPPA]
-        rows.append((t, estimator, json.dumps(p, sort_keys=True, default=str), value, list(features)))
-    schema = "trial int, estimator string, params string, value double, features array<string>"
-    new = spark.createDataFrame(rows, schema)
-    if store:
-        if rows:
-            new.write.mode("append").parquet(store)
-        return spark.read.parquet(store).filter(F.col(K.ESTIMATOR) == estimator)
-    return new
+        p = sample_params({**IMPUTER_SPACE, **SCALER_SPACE, **SPACES[estimator]}, random.Random(f"{seed}:{estimator}:{t}"))
+        own = {n: v for n, v in p.items() if n not in _PREPARATION}
+        r = Recipe(list(features), estimator, own, _imputer_of(p), p["scaler"])
+        if rfe:
+            _, selected = rfe_cv(df, r, k=k, seed=seed)
+            r.features = [x.feature for x in selected.orderBy("pos").collect()]
+        value = mean_scores(cross_validate(df, r, kind, k=k, seed=seed, parallelism=parallelism)).first()[K.KAPPA]
+        row = (t, estimator, json.dumps({**p, **effective(estimator, own)}, sort_keys=True, default=str), value, r.features)
+        rows.append(row)
+        if store:
+            spark.createDataFrame([row], _TRIAL_SCHEMA).coalesce(1).write.mode("append").parquet(store)
+    stored = _stored_trials(spark, store, estimator)
+    return stored if stored is not None else spark.createDataFrame(rows, _TRIAL_SCHEMA)
 
 
 def best_trial(trials: DataFrame) -> DataFrame:
@@ -280,9 +341,8 @@ def best_trial(trials: DataFrame) -> DataFrame:
 def recipe_from_trial(row, key: str = K.ID) -> Recipe:
     """Rebuild the typed recipe from a stored trial row."""
     p = json.loads(row["params"])
-    return Recipe(list(row["features"]), row["estimator"],
-                  {k: v for k, v in p.items() if k not in ("imputer", "scaler")},
-                  p.get("imputer", "mean"), p.get("scaler", "standard"), key)
+    own = {n: v for n, v in p.items() if n not in (*_PREPARATION, "effective", "ignored")}
+    return Recipe(list(row["features"]), row["estimator"], own, _imputer_of(p), p["scaler"], key)
 
 
 # ------------------------------------------------------------------ recursive feature elimination
@@ -303,9 +363,7 @@ def rfe_cv(df: DataFrame, r: Recipe, step: int = K.RFE_STEP, k: int = K.N_FOLDS,
             rr = Recipe(feats, r.estimator, r.params, r.imputer, r.scaler, r.key)
             fm = fit(_weights(train, score), rr, score, "w")
             if val is not None:
-                pt = predict(fm, train).persist()
-                row = evaluate.tune_cuts(pt, cls, "pred", n_candidates=16).first()
-                cuts = [row[f"cut_{i}"] for i in (1, 2, 3)]
+                cuts = _ordinal(predict(fm, train), cls, N_CANDIDATES)
                 pv = predict(fm, val).withColumn("pc", ordinal_round("pred", cuts))
                 kap = evaluate.quadratic_weighted_kappa(pv, cls, "pc").first()[K.KAPPA]
                 log.append((fold, len(feats), float(kap) if kap is not None else None))
@@ -323,36 +381,48 @@ def rfe_cv(df: DataFrame, r: Recipe, step: int = K.RFE_STEP, k: int = K.N_FOLDS,
     means = log_df.groupBy("n_features").agg(F.avg("score").alias("mean_score")).collect()
     best_n = sorted(means, key=lambda m: (-(m.mean_score if m.mean_score is not None else -1e300), m.n_features))[0].n_features
     selected = eliminate(lab, None, -1, best_n)
+    lab.unpersist()
     sel_df = spark.createDataFrame([(i, f) for i, f in enumerate(selected)], "pos int, feature string")
     return log_df, sel_df
 
 
 # ------------------------------------------------------------------ stacking / voting
 def stacking(df: DataFrame, features: Sequence[str], bases: Sequence[str], final: str = "linear_regression",
-             k: int = K.N_FOLDS, seed: int = 0, cls: str = K.SII, score: str = K.PCIAT_TOTAL) -> DataFrame:
-    """Out-of-fold predictions of each base model become the features of a
-    final regressor; returns per-row OOF base predictions and the final
-    prediction (trained on the OOF table)."""
+             k: int = K.N_FOLDS, seed: int = 0, cls: str = K.SII, score: str = K.PCIAT_TOTAL,
+             test: DataFrame | None = None) -> DataFrame:
+    """Out-of-fold predictions of each base are the features of a final regressor; then the bases are
+    refitted on all labelled rows. Returns the rows of ``test`` (default: the labelled rows) with
+    ``oof_<base>`` and ``stacked``: for ``test`` the base columns come from the refitted bases, for the
+    labelled rows they are the out-of-fold predictions."""
     lab = folds.stratified_folds(clean.keep_labelled(df, cls), cls, K.ID, k, seed).persist()
-    oof = None
-    for b in bases:
-        parts = []
-        for f in range(k):
-            tr, va = lab.filter(F.col(K.FOLD) != f), lab.filter(F.col(K.FOLD) == f)
-            fm = fit(_weights(tr, score), Recipe(list(features), b), score, "w")
-            parts.append(predict(fm, va, f"oof_{b}").select(K.ID, f"oof_{b}"))
-        pb = reduce(lambda a, c: a.unionByName(c), parts)
-        oof = pb if oof is None else oof.join(pb, K.ID)
-    table = lab.select(K.ID, cls, score).join(oof, K.ID)
-    base_cols = [f"oof_{b}" for b in bases]
-    fm = fit(_weights(table, score), Recipe(base_cols, final, scaler="standard"), score, "w")
-    return predict(fm, table, "stacked")
+    try:
+        oof, refitted = None, []
+        for b in bases:
+            recipe = Recipe(list(features), b)
+            parts = []
+            for f in range(k):
+                tr, va = lab.filter(F.col(K.FOLD) != f), lab.filter(F.col(K.FOLD) == f)
+                parts.append(predict(fit(_weights(tr, score), recipe, score, "w"), va, f"oof_{b}").select(K.ID, f"oof_{b}"))
+            pb = reduce(lambda a, c: a.unionByName(c), parts)
+            oof = pb if oof is None else oof.join(pb, K.ID)
+            if test is not None:
+                refitted.append((b, fit(_weights(lab, score), recipe, score, "w")))
+        table = lab.select(K.ID, cls, score).join(oof, K.ID)
+        fm = fit(_weights(table, score), Recipe([f"oof_{b}" for b in bases], final, scaler="standard"), score, "w")
+    finally:
+        lab.unpersist()
+    if test is None:
+        return predict(fm, table, "stacked")
+    for b, model in refitted:
+        test = predict(model, test, f"oof_{b}")
+    return predict(fm, test, "stacked")
 
 
 def voting(df: DataFrame, features: Sequence[str], bases: Sequence[str], weights: Sequence[float],
-           score: str = K.PCIAT_TOTAL, cls: str = K.SII) -> DataFrame:
+           score: str = K.PCIAT_TOTAL, cls: str = K.SII, test: DataFrame | None = None) -> DataFrame:
+    """Weighted mean of the bases fitted on the labelled rows, for ``test`` (default: those rows)."""
     lab = clean.keep_labelled(df, cls)
-    out = lab
+    out = lab if test is None else test
     cols = []
     for b in bases:
         fm = fit(_weights(lab, score), Recipe(list(features), b), score, "w")
@@ -386,47 +456,50 @@ def pca_embed(train: DataFrame, test: DataFrame, columns: Sequence[str], k: int,
 
 
 # ------------------------------------------------------------------ model-based imputation
-def impute_with_model(train: DataFrame, test: DataFrame, columns: Sequence[str], na_frac: float = 0.5,
-                      min_samples: int = 0, reg_param: float = 0.01) -> tuple[DataFrame, DataFrame]:
-    """Per column with missing values: a lasso-type linear model on the rows
-    where it is present, inputs = the other columns that are missing in at most
-    ``na_frac`` of its missing rows, mean-filled; otherwise the column mean.
-    Columns are filled in order, later ones seeing earlier imputations."""
-    from pyspark.ml.regression import LinearRegression
+def fit_model_imputer(train: DataFrame, columns: Sequence[str], na_frac: float = 0.5, min_samples: int = 0,
+                      k: int = 5) -> dict:
+    """Per column with missing values: a lasso on the rows where it is present, its inputs the other columns
+    that are missing in at most ``na_frac`` of its missing rows (mean-filled), its penalty chosen by
+    ``k``-fold CV; else the column mean. Returns ``column -> (intercept, {input: coefficient})``."""
     cols = list(columns)
     means = stats.column_means(train, cols)
-    share = stats.missing_share(train, cols)
-    usable = stats.conditional_features(share, cols, na_frac).collect()
-    inputs: dict[str, list[str]] = {}
+    usable = stats.conditional_features(stats.missing_share(train, cols), cols, na_frac).collect()
+    inputs: dict[str, set[str]] = {}
     for r in usable:
-        inputs.setdefault(r.feature, []).append(r.other)
-    nulls = train.agg(*[F.sum(F.when(col_of(c).isNull(), 1).otherwise(0)).alias(c) for c in cols]).first()
-    models = {}
-    for c in cols:
-        if not nulls[c]:
+        inputs.setdefault(r.feature, set()).add(r.other)
+    nulls = train.agg(*[F.sum(F.when(col_of(c).isNull(), 1).otherwise(0)).alias(f"n{i}") for i, c in enumerate(cols)],
+                      F.count(F.lit(1)).alias("rows")).first()
+    xs = {c: [x for x in cols if x in inputs.get(c, ())] for i, c in enumerate(cols)
+          if nulls[f"n{i}"] and nulls["rows"] - nulls[f"n{i}"] > min_samples}
+    fitted = [c for c, x in xs.items() if x]
+    moments = lasso.fold_moments(train, cols, fitted, means, k) if fitted else {}
+    models: dict[str, tuple[float | None, dict[str, float]]] = {}
+    for i, c in enumerate(cols):
+        if not nulls[f"n{i}"]:
             continue
-        xs = [x for x in cols if x in inputs.get(c, [])]
-        present = train.filter(col_of(c).isNotNull())
-        if xs and present.count() > min_samples:
-            d = VectorAssembler(inputCols=xs, outputCol="__x").transform(stats.fill_with(present, means))
-            m = LinearRegression(featuresCol="__x", labelCol=c, elasticNetParam=1.0, regParam=reg_param).fit(d)
-            models[c] = ("model", xs, m)
-        else:
-            models[c] = ("mean", None, means[c])
-
-    def apply(df: DataFrame) -> DataFrame:
-        d = df
-        for c, (kind, xs, m) in models.items():
-            if kind == "mean":
-                d = d.withColumn(c, F.coalesce(col_of(c), F.lit(m)))
-                continue
-            coef = m.coefficients.toArray()
-            pred = reduce(lambda a, b: a + b, [F.lit(float(w)) * F.coalesce(col_of(x), F.lit(means[x]))
-                                               for w, x in zip(coef, xs)], F.lit(float(m.intercept)))
-            d = d.withColumn(c, F.coalesce(col_of(c), pred))
-        return d
-
-    return apply(train), apply(test)
+        if c not in moments:
+            models[c] = (means[c], {})
+            continue
+        intercept, w, _ = lasso.fit_lasso_cv(moments[c], i, [cols.index(x) for x in xs[c]])
+        shift = sum(float(v) * (means[x] or 0.0) for v, x in zip(w, xs[c]))
+        models[c] = (intercept + (means[c] or 0.0) - shift, dict(zip(xs[c], map(float, w))))
+    return {"means": means, "models": models}
+
+
+def apply_model_imputer(df: DataFrame, fitted: dict) -> DataFrame:
+    """Columns are filled in order, later ones seeing earlier imputations."""
+    means = fitted["means"]
+    for c, (intercept, weights) in fitted["models"].items():
+        value = reduce(lambda a, b: a + b, [F.lit(w) * F.coalesce(col_of(x), F.lit(means[x])) for x, w in weights.items()],
+                       F.lit(intercept))
+        df = df.withColumn(c, F.coalesce(col_of(c), value))
+    return df
+
+
+def impute_with_model(train: DataFrame, test: DataFrame, columns: Sequence[str], na_frac: float = 0.5,
+                      min_samples: int = 0) -> tuple[DataFrame, DataFrame]:
+    fitted = fit_model_imputer(train, columns, na_frac, min_samples)
+    return apply_model_imputer(train, fitted), apply_model_imputer(test, fitted)
 
 
 # ------------------------------------------------------------------ preprocessing chain
@@ -436,6 +509,7 @@ def preprocess(train: DataFrame, test: DataFrame, binned: Sequence[str], seasons
     shared season codes; leakage columns dropped and non-finite values nulled
     (train and test alike)."""
     from fathom.operators import derive
+    train, test = clean.nonfinite_to_null(train), clean.nonfinite_to_null(test)    # before any rule sees NaN
     tr, te = clean.clean_features(train), clean.clean_features(test)
     tr, te = derive.add_pair_features(tr), derive.add_pair_features(te)
     tr, te = derive.add_group_features(tr), derive.add_group_features(te)

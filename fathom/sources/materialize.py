@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 from typing import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,33 +34,33 @@ def materialize_key(df: DataFrame, params: dict) -> str:
     return hashlib.md5(payload.encode()).hexdigest()
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table of a finished write; None where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def materialize(spark: SparkSession, path: str, params: dict, inputs: DataFrame,
                 compute: Callable[[], DataFrame]) -> DataFrame:
-    """Return the stored result at ``path`` when the key matches, else compute,
-    write (parquet + ``_meta``) and return the written table."""
+    """Return the result stored for this key, else compute it, write it and return the written table.
+
+    Each key has a folder of its own, and its ``_meta`` is written after the data: a crash in between
+    leaves data that no key points to, never an old key over new data."""
     key = materialize_key(inputs, params)
-    meta_path = f"{path.rstrip('/')}/_meta"
-    data_path = f"{path.rstrip('/')}/data"
-    try:
-        stored = spark.read.parquet(meta_path).first()
-        if stored is not None and stored["key"] == key:
-            return spark.read.parquet(data_path)
-    except Exception:  # nothing stored yet
-        pass
-    result = compute()
-    result.write.mode("overwrite").parquet(data_path)
-    spark.createDataFrame([(key, json.dumps(params, sort_keys=True, default=str))],
-                          "key string, params string").coalesce(1) \
-        .write.mode("overwrite").parquet(meta_path)
-    return spark.read.parquet(data_path)
+    base = f"{path.rstrip('/')}/{key}"
+    if _stored(spark, f"{base}/_meta") is None:
+        compute().write.mode("overwrite").parquet(f"{base}/data")
+        spark.createDataFrame([(key, json.dumps(params, sort_keys=True, default=str))], "key string, params string") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{base}/_meta")
+    return spark.read.parquet(f"{base}/data")
 
 
 def materialize_status(spark: SparkSession, path: str, params: dict, inputs: DataFrame) -> DataFrame:
     """One row: the computed key and whether a stored result with this key exists."""
     key = materialize_key(inputs, params)
-    try:
-        stored = spark.read.parquet(f"{path.rstrip('/')}/_meta").first()
-        hit = stored is not None and stored["key"] == key
-    except Exception:
-        hit = False
+    hit = _stored(spark, f"{path.rstrip('/')}/{key}/_meta") is not None
     return spark.createDataFrame([(key, hit)], "key string, hit boolean")

@@ -32,8 +32,9 @@ def save_model(model, path: str) -> None:
 
 
 def load_model(path: str):
-    from pyspark.ml import PipelineModel
-    return PipelineModel.load(path)
+    """The fitted model that was saved at ``path``, of whatever class it is."""
+    from pyspark.ml.util import DefaultParamsReader
+    return DefaultParamsReader.loadParamsInstance(path, SparkSession.active().sparkContext)
 
 
 def save_feature_list(spark: SparkSession, features: Iterable[str], path: str) -> None:
