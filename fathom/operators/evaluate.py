@@ -17,12 +17,19 @@ from fathom.functions.exprs import col_of, ordinal_round
 from fathom.operators.ordered import exact_quantiles
 
 
+MAX_LABELS = 1000
+
+
 def label_index(df: DataFrame, y: str, p: str) -> Column | None:
     """Map labels to their position in the sorted union of seen labels (as the
     confusion-matrix definition does). Returns None when the labels are
-    already contiguous (kappa is shift-invariant), else a mapping function."""
-    vals = sorted({r[0] for r in df.select(col_of(y).alias("v")).union(df.select(col_of(p).alias("v")))
-                   .filter(F.col("v").isNotNull()).distinct().collect()})
+    already contiguous (kappa is shift-invariant), else a mapping function. Raises
+    where there are more than ``MAX_LABELS``: such columns are no labels."""
+    seen = (df.select(col_of(y).alias("v")).union(df.select(col_of(p).alias("v")))
+            .filter(F.col("v").isNotNull()).distinct().limit(MAX_LABELS + 1).collect())
+    if len(seen) > MAX_LABELS:
+        raise ValueError(f"{y} and {p} hold more than {MAX_LABELS} values; kappa is defined on labels")
+    vals = sorted({r[0] for r in seen})
     if not vals or all(b - a == 1 for a, b in zip(vals, vals[1:])):
         return None
     return F.create_map(*[e for i, v in enumerate(vals) for e in (F.lit(v), F.lit(float(i)))])
@@ -58,8 +65,8 @@ def regression_metrics(df: DataFrame, y: str, p: str) -> DataFrame:
     both = col_of(y).isNotNull() & col_of(p).isNotNull()
     yy, pp = F.when(both, col_of(y).cast("double")), F.when(both, col_of(p).cast("double"))
     a = df.agg(F.count(yy).alias("n"), F.avg((yy - pp) * (yy - pp)).alias("mse"), F.avg(F.abs(yy - pp)).alias("mae"),
-               F.sum(yy).alias("sy"), F.sum(yy * yy).alias("syy"), F.sum((yy - pp) * (yy - pp)).alias("sse"))
-    sst = F.col("syy") - F.col("sy") * F.col("sy") / F.col("n")
+               F.var_pop(yy).alias("var"), F.sum((yy - pp) * (yy - pp)).alias("sse"))
+    sst = F.col("var") * F.col("n")                   # centred sums: no cancellation for large means
     r2 = (F.when(sst > 0, F.lit(1.0) - F.col("sse") / sst)
            .when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return a.select(F.sqrt("mse").alias(K.RMSE), F.col("mae").alias(K.MAE), r2.alias(K.R2))
@@ -74,8 +81,8 @@ def evaluate(df: DataFrame, y: str, p: str, decimals: int = K.METRIC_DECIMALS) -
     yy, pp = F.when(both, yc.cast("double")), F.when(both, pc.cast("double"))
     a = df.agg(*kappa_column_sums(ky, kp),
                F.avg((yy - pp) * (yy - pp)).alias("mse"), F.avg(F.abs(yy - pp)).alias("mae"),
-               F.sum(yy).alias("sy2"), F.sum(yy * yy).alias("syy2"), F.sum((yy - pp) * (yy - pp)).alias("sse"))
-    sst = F.col("syy2") - F.col("sy2") * F.col("sy2") / F.col("__n")
+               F.var_pop(yy).alias("var"), F.sum((yy - pp) * (yy - pp)).alias("sse"))
+    sst = F.col("var") * F.col("__n")
     r2 = (F.when(sst > 0, F.lit(1.0) - F.col("sse") / sst)
            .when(F.col("sse") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return a.select(F.bround(kappa_from_sums(), decimals).alias(K.KAPPA), F.bround(F.sqrt("mse"), decimals).alias(K.RMSE),

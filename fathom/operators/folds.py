@@ -9,6 +9,8 @@ over many tasks.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,12 +25,14 @@ def fold_hash(key: str, seed: int = 0) -> Column:
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int = K.N_FOLDS, seed: int = 0,
-                     out: str = K.FOLD, chunk_hex_digits: int = 3) -> DataFrame:
-    """Adds ``fold`` in [0, k). Rows with a NULL label are left out of the folds (NULL)."""
+                     out: str = K.FOLD, rows_per_chunk: int = 1_000_000) -> DataFrame:
+    """Adds ``fold`` in [0, k). Rows with a NULL label are left out of the folds (NULL). Rows are
+    numbered in chunks of the hash, as many as keep a chunk at about ``rows_per_chunk`` rows."""
     h = fold_hash(key, seed)
     d = df.withColumn("__h", h)
     lab = d.filter(col_of(label).isNotNull())
-    chunk = F.conv(F.substring(F.col("__h"), 1, chunk_hex_digits), 16, 10).cast("int")
+    digits = max(1, math.ceil(math.log(max(1, df.count()) / rows_per_chunk, 16)))
+    chunk = F.conv(F.substring(F.col("__h"), 1, digits), 16, 10).cast("long")
     ranked = chunked_row_number(lab, [label], [F.col("__h"), col_of(key)], chunk, out="__rn")
     ranked = ranked.withColumn(out, ((F.col("__rn") - 1) % k).cast("int")).drop("__rn", "__h")
     unl = d.filter(col_of(label).isNull()).drop("__h").withColumn(out, F.lit(None).cast("int"))

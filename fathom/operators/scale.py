@@ -164,46 +164,42 @@ def yeo_johnson(x: Column, lam: float) -> Column:
     return F.when(x >= 0, pos).otherwise(neg)
 
 
-def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], grid: Sequence[float] | None = None,
-                    refine: bool = True) -> dict[str, float]:
-    """Maximum-likelihood lambda per column over a grid (one aggregate pass
-    computing, for every grid value, n, sum t, sum t^2 and sum sign*log1p|x|),
-    then one refinement pass on a finer grid around the best value."""
-    grid = list(grid or [i / 10.0 for i in range(-30, 31)])
-
-    def best_of(lams_by_col: dict[str, list[float]]) -> dict[str, float]:
+def fit_yeo_johnson(df: DataFrame, columns: Sequence[str], tol: float = 1e-4) -> dict[str, float]:
+    """Maximum-likelihood lambda per column.
+
+    Each pass is one aggregate: the variance of the transformed column at every candidate, and the
+    sum of the log-Jacobian. The candidates start as a coarse grid; the grid moves outwards
+    while the best one is at its edge, and narrows around it otherwise, until its step is below
+    ``tol``. A column without two different finite likelihoods keeps lambda 1."""
+    cols = list(columns)
+    grid = {c: [i / 2.0 for i in range(-8, 13)] for c in cols}
+    best = {c: 1.0 for c in cols}
+    open_cols = list(cols)
+    while open_cols:
         aggs = []
-        for i, c in enumerate(columns):
+        for i, c in enumerate(open_cols):
             x = col_of(c).cast("double")
-            aggs += [F.count(x).alias(f"n{i}"),
-                     F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"g{i}")]
-            for j, lam in enumerate(lams_by_col[c]):
-                t = yeo_johnson(x, lam)
-                aggs += [F.sum(t).alias(f"s{i}_{j}"), F.sum(t * t).alias(f"q{i}_{j}")]
+            aggs += [F.count(x).alias(f"n{i}"), F.sum(F.signum(x) * F.log1p(F.abs(x))).alias(f"g{i}")]
+            aggs += [F.var_pop(yeo_johnson(x, lam)).alias(f"v{i}_{j}") for j, lam in enumerate(grid[c])]
         r = df.agg(*aggs).first()
-        out = {}
-        for i, c in enumerate(columns):
-            n = r[f"n{i}"] or 0
-            best, best_ll = None, None
-            for j, lam in enumerate(lams_by_col[c]):
-                if n == 0:
-                    continue
-                s, q = r[f"s{i}_{j}"], r[f"q{i}_{j}"]
-                var = q / n - (s / n) ** 2
-                if var is None or var <= 0:
-                    continue
-                ll = -n / 2.0 * math.log(var) + (lam - 1.0) * r[f"g{i}"]
-                if best_ll is None or ll > best_ll:
-                    best, best_ll = lam, ll
-            out[c] = 1.0 if best is None else best
-        return out
-
-    first = best_of({c: grid for c in columns})
-    if not refine:
-        return first
-    step = (grid[1] - grid[0]) if len(grid) > 1 else 0.1
-    fine = {c: [first[c] + step * k / 10.0 for k in range(-10, 11)] for c in columns}
-    return best_of(fine)
+        still = []
+        for i, c in enumerate(open_cols):
+            lams, n = grid[c], r[f"n{i}"] or 0
+            var = [r[f"v{i}_{j}"] for j in range(len(lams))]
+            score = [-n / 2.0 * math.log(v) + (lam - 1.0) * r[f"g{i}"]
+                     if v is not None and 0 < v < math.inf else -math.inf for lam, v in zip(lams, var)]
+            at = max(range(len(lams)), key=lambda k: score[k])
+            if n == 0 or score[at] == -math.inf:
+                continue
+            best[c], step = lams[at], lams[1] - lams[0]
+            if at in (0, len(lams) - 1) and abs(best[c]) < 100:
+                grid[c] = [best[c] + step * (k - 10) for k in range(21)]
+                still.append(c)
+            elif step > tol:
+                grid[c] = [best[c] + step * (k - 10) / 10.0 for k in range(21)]
+                still.append(c)
+        open_cols = still
+    return best
 
 
 def power_transform(df: DataFrame, columns: Sequence[str], lambdas: Mapping[str, float] | None = None,

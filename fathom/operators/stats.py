@@ -8,6 +8,7 @@ tables whose size is the number of features, or over chunked prefix sums.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -129,7 +130,19 @@ def _chunk_of(x: Column, bounds: list[float]) -> Column:
     return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= x))
 
 
-def kendall_tau(df: DataFrame, target: str, features: Sequence[str], n_chunks: int = 64) -> DataFrame:
+#: Classes that a target may have where its values are handled one by one.
+MAX_CLASSES = 1000
+
+
+def _classes(df: DataFrame, y: Column) -> list:
+    """Distinct values of an ordinal target; raises where it is no such target."""
+    seen = [r[0] for r in df.filter(y.isNotNull()).select(y).distinct().limit(MAX_CLASSES + 1).collect()]
+    if len(seen) > MAX_CLASSES:
+        raise ValueError(f"the target has more than {MAX_CLASSES} values; it is not ordinal")
+    return sorted(seen)
+
+
+def kendall_tau(df: DataFrame, target: str, features: Sequence[str], rows_per_chunk: int = 1_000_000) -> DataFrame:
     """Kendall's tau-b of every feature with a discrete (ordinal) target, with
     the tie-corrected asymptotic two-sided p-value.
 
@@ -141,18 +154,20 @@ def kendall_tau(df: DataFrame, target: str, features: Sequence[str], n_chunks: i
     Rows with a NULL feature or target are skipped (pairwise complete).
     """
     y = col_of(target)
-    classes = sorted(r[0] for r in df.filter(y.isNotNull()).select(y).distinct().collect())
+    classes = _classes(df, y)
     K = len(classes)
     cls_idx = F.lit(None).cast("int")
     for i, c in enumerate(classes):
         cls_idx = F.when(y == F.lit(c), F.lit(i)).otherwise(cls_idx)
     # approximate chunk boundaries per feature (one aggregate pass)
+    # (as many as keep a chunk at about rows_per_chunk rows)
+    n_chunks = -(-df.count() // rows_per_chunk)
     probs = [i / n_chunks for i in range(1, n_chunks)]
-    qrow = df.agg(*[F.percentile_approx(col_of(f).cast("double"), probs, 1000).alias(f"q{i}")
-                    for i, f in enumerate(features)]).first()
+    qrow = df.agg(*[F.percentile_approx(col_of(f).cast("double"), probs, 10 * n_chunks).alias(f"q{i}")
+                    for i, f in enumerate(features)]).first() if probs else {}
     chunk_expr = None
     for i, f in enumerate(features):
-        b = sorted(set(v for v in (qrow[f"q{i}"] or []) if v is not None))
+        b = sorted(set(v for v in ((qrow[f"q{i}"] if probs else None) or []) if v is not None))
         e = _chunk_of(F.col("x"), b)
         chunk_expr = F.when(F.col("feature") == F.lit(f), e) if chunk_expr is None else chunk_expr.when(F.col("feature") == F.lit(f), e)
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), col_of(f).cast("double").alias("x")) for f in features])
@@ -208,25 +223,48 @@ def kendall_tau(df: DataFrame, target: str, features: Sequence[str], n_chunks: i
     return agg.select("feature", tau.alias("tau"), p.alias("p_value"))
 
 
+def ks_binary(df: DataFrame, target: str, features: Sequence[str], terms: int = 100) -> DataFrame:
+    """Two-sample Kolmogorov-Smirnov test of the ordinal target between the two groups of every binary
+    feature: statistic ``D`` and the asymptotic two-sided p-value. A feature without two groups
+    has NULLs. Counts per (feature, class) combine map-side; the cumulative step is over classes."""
+    y = col_of(target)
+    classes = _classes(df, y)
+    xs = [col_of(f).cast("double") for f in features]
+    ends = df.filter(y.isNotNull()).agg(*[F.min(x).alias(f"a{i}") for i, x in enumerate(xs)],
+                                        *[F.max(x).alias(f"b{i}") for i, x in enumerate(xs)]).first()
+    cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.when(x == F.lit(ends[f"b{i}"]), 1).when(x == F.lit(ends[f"a{i}"]), 0)
+                               .alias("g")) for i, (f, x) in enumerate(zip(features, xs))])
+    counts = (df.filter(y.isNotNull()).select(y.alias("y"), F.explode(cells).alias("s")).select("y", "s.feature", "s.g")
+              .groupBy("feature").agg(*[F.sum(F.when((F.col("g") == g) & (F.col("y") == F.lit(c)), 1).otherwise(0)).cast("double")
+                                        .alias(f"n{g}_{k}") for g in (0, 1) for k, c in enumerate(classes)]))
+    n0, n1 = (reduce(lambda a, b: a + b, [F.col(f"n{g}_{k}") for k in range(len(classes))], F.lit(0.0)) for g in (0, 1))
+    gaps, c0, c1 = [], F.lit(0.0), F.lit(0.0)
+    for k in range(len(classes)):
+        c0, c1 = c0 + F.col(f"n0_{k}"), c1 + F.col(f"n1_{k}")
+        gaps.append(F.abs(F.try_divide(c0, n0) - F.try_divide(c1, n1)))
+    d = reduce(lambda a, b: F.when(b > a, b).otherwise(a), gaps, F.lit(0.0))
+    out = counts.select("feature", F.when((n0 > 0) & (n1 > 0), d).alias("D"), F.try_divide(n0 * n1, n0 + n1).alias("m"))
+    square = F.col("m") * F.col("D") * F.col("D")
+    tail = reduce(lambda a, b: a + b, [F.lit(2.0 * (-1) ** (k - 1)) * F.exp(F.lit(-2.0 * k * k) * square)
+                                       for k in range(1, terms + 1)])
+    p = F.when(F.col("D").isNotNull(), F.when(square < 0.04, F.lit(1.0)).otherwise(
+        F.least(F.lit(1.0), F.greatest(F.lit(0.0), tail))))
+    return out.select("feature", "D", p.alias("p_value"))
+
+
 def fdr_select(pvalues: DataFrame, fdr_level: float = 0.05, independent: bool = False,
                feature: str = "feature", p: str = "p_value") -> DataFrame:
-    """Benjamini-Hochberg / -Yekutieli decision as the feature-selection library
-    applies it: sort by p, threshold ``T_k = q k / (m C_k)`` with ``C_k = 1`` or
-    ``sum_{i<=k} 1/i``; features before the first ``p > T_k`` are relevant.
-    Features with a NULL p-value are not tested and not relevant.
+    """Benjamini-Hochberg / -Yekutieli step-up: with the ``m`` p-values in order, the features up to the
+    last rank ``k`` with ``p <= k q / (m C)`` are relevant; ``C = 1``, or ``sum_{i<=m} 1/i`` under any
+    dependence. Features with a NULL p-value are not tested and not relevant.
     Windows run over one row per feature."""
     tested = pvalues.filter(col_of(p).isNotNull())
-    w = Window.orderBy(col_of(p), col_of(feature))
-    d = tested.withColumn("k", F.row_number().over(w))
-    wall = Window.partitionBy(F.lit(0))
-    d = d.withColumn("m", F.count(F.lit(1)).over(wall))
-    if independent:
-        d = d.withColumn("C", F.lit(1.0))
-    else:
-        d = d.withColumn("C", F.sum(F.lit(1.0) / F.col("k")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    d = d.withColumn("T", F.lit(fdr_level) * F.col("k") / (F.col("m") * F.col("C")))
-    first_fail = F.min(F.when(col_of(p) > F.col("T"), F.col("k"))).over(wall)
-    d = d.withColumn("relevant", F.coalesce(F.col("k") < first_fail, F.lit(True)))
+    d = tested.withColumn("k", F.row_number().over(Window.orderBy(col_of(p), col_of(feature))))
+    every = Window.partitionBy(F.lit(0))
+    d = d.withColumn("m", F.count(F.lit(1)).over(every))
+    c = F.lit(1.0) if independent else F.sum(F.lit(1.0) / F.col("k")).over(every)
+    d = d.withColumn("last", F.max(F.when(col_of(p) <= F.lit(fdr_level) * F.col("k") / (F.col("m") * c), F.col("k"))).over(every))
+    d = d.withColumn("relevant", F.coalesce(F.col("k") <= F.col("last"), F.lit(False)))
     untested = pvalues.filter(col_of(p).isNull()).select(col_of(feature), col_of(p), F.lit(False).alias("relevant"))
     return d.select(col_of(feature), col_of(p), "relevant").unionByName(untested)
 

@@ -20,12 +20,12 @@ _P = participants_cte()
 # ------------------------------------------------------------------ J1 / J2
 @query("left_join_embedding",
        "SELECT c.c_custkey AS id, c.c_acctbal, "
-       + ", ".join(f"{rnd(f'CAST(e.embedding[{i}] AS DOUBLE)')} AS encoded_{i}" for i in (1, 2, 3))
+       + ", ".join(f"{rnd(f'CAST(e.embedding[{i}] AS DOUBLE)')} AS encoded_{i}" for i in range(1, 65))
        + " FROM customer c LEFT JOIN embeddings e ON c.c_custkey = e.vec_id")
 def q_left_join_embedding(spark, sf_dir):
     cust = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_acctbal")
     emb = table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").alias("id"), *[F.col("embedding")[i - 1].cast("double").alias(f"encoded_{i}") for i in (1, 2, 3)])
+        F.col("vec_id").alias("id"), *[F.col("embedding")[i - 1].cast("double").alias(f"encoded_{i}") for i in range(1, 65)])
     return round_doubles(combine.left_join(cust, emb, "id"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fathom import constants as K
 from fathom.operators import clean, encode
-from fathom.plans.fixtures import participants, participants_cte, q
+from fathom.plans.fixtures import PARTICIPANT_COLUMNS, participants, participants_cte, q
 from fathom.plans.registry import query
 from fathom.plans.tables import rnd, round_doubles, table
 
@@ -77,9 +77,8 @@ def q_distinct_union(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ bins
-BINS = [c for c in K.BINNED_COLUMNS if c in {
-    "PAQ_A-PAQ_A_Total", "BIA-BIA_FFMI", "BIA-BIA_BMC", "Physical-HeartRate", "BIA-BIA_ICW",
-    "Fitness_Endurance-Time_Sec", "BIA-BIA_LDM", "BIA-BIA_SMM", "BIA-BIA_TBW"}]
+# the binned columns that are measured; the others are derived from them
+BINS = [c for c in K.BINNED_COLUMNS if c in dict(PARTICIPANT_COLUMNS)]
 _PROBS = "[" + ", ".join(f"CAST({i / K.N_BINS!r} AS DOUBLE)" for i in range(K.N_BINS + 1)) + "]"
 _P = participants_cte()
 

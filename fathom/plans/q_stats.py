@@ -172,19 +172,48 @@ def q_kendall_relevance(spark, sf_dir):
     return round_doubles(stats.kendall_tau(_train(spark, sf_dir), TARGET, _KT_FEATS))
 
 
+# the step-up rule by its definition: a feature is relevant if any feature of no lesser
+# p-value stays under its own line
 @query("fdr_select",
-       f"WITH kt0 AS ({KENDALL_SQL}), r AS (SELECT feature, p_value, row_number() OVER (ORDER BY p_value, feature) AS k "
-       "FROM kt0 WHERE p_value IS NOT NULL), r2 AS (SELECT *, count(*) OVER () AS m, "
-       "sum(1.0 / k) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS c FROM r), "
-       "r3 AS (SELECT *, 0.05 * k / (m * c) AS thr FROM r2), "
-       "ff AS (SELECT min(CASE WHEN p_value > thr THEN k END) AS first_fail FROM r3)\n"
-       f"SELECT feature, {rnd('p_value')} AS p_value, coalesce(k < first_fail, true) AS relevant FROM r3, ff "
+       f"WITH kt0 AS ({KENDALL_SQL}), t AS (SELECT feature, p_value FROM kt0 WHERE p_value IS NOT NULL), "
+       "h AS (SELECT count(*) AS m, list_sum(list_transform(range(1, count(*) + 1), lambda i: 1.0 / i)) AS c FROM t), "
+       "r AS (SELECT a.feature, a.p_value, (SELECT count(*) FROM t b WHERE b.p_value < a.p_value "
+       "OR (b.p_value = a.p_value AND b.feature <= a.feature)) AS k FROM t a)\n"
+       f"SELECT feature, {rnd('p_value')} AS p_value, EXISTS (SELECT 1 FROM r z, h WHERE z.k >= r.k "
+       "AND z.p_value * h.m * h.c <= 0.05 * z.k) AS relevant FROM r "
        f"UNION ALL SELECT feature, {rnd('p_value')} AS p_value, false AS relevant FROM kt0 WHERE p_value IS NULL")
 def q_fdr_select(spark, sf_dir):
     pv = stats.kendall_tau(_train(spark, sf_dir), TARGET, _KT_FEATS)
     return round_doubles(stats.fdr_select(pv.select("feature", "p_value")))
 
 
+# binary features: measurements above a cut, and a constant (no test)
+_KS = {"heavy": "Physical-Weight", "fast": "Physical-HeartRate", "fat": "BIA-BIA_Fat"}
+_KS_CUT = 30.0
+_KS_FEATS = [*_KS, "const"]
+
+
+def _ks_sql():
+    long = " UNION ALL ".join(
+        [f"SELECT '{n}' AS feature, CASE WHEN {q(c)} > {_KS_CUT} THEN 1 ELSE 0 END AS g, {q(TARGET)} AS y FROM participants "
+         f"WHERE split = 'train' AND {q(TARGET)} IS NOT NULL AND {q(c)} IS NOT NULL" for n, c in _KS.items()])
+    return (f"WITH {_P}, kl AS ({long}), n AS (SELECT feature, sum(g) AS n1, count(*) - sum(g) AS n0 FROM kl GROUP BY 1), "
+            "cdf AS (SELECT v.feature, v.y, (SELECT avg(CASE WHEN b.y <= v.y THEN 1.0 ELSE 0.0 END) FROM kl b WHERE b.feature = v.feature AND b.g = 0) "
+            "AS f0, (SELECT avg(CASE WHEN b.y <= v.y THEN 1.0 ELSE 0.0 END) FROM kl b WHERE b.feature = v.feature AND b.g = 1) AS f1 "
+            "FROM (SELECT DISTINCT feature, y FROM kl) v), "
+            "d AS (SELECT feature, max(abs(f0 - f1)) AS d FROM cdf GROUP BY 1), "
+            "z AS (SELECT feature, d, CAST(n0 * n1 AS DOUBLE) / (n0 + n1) * d * d AS sq FROM d JOIN n USING (feature))\n"
+            f"SELECT feature, {rnd('d')} AS \"D\", {rnd('CASE WHEN sq < 0.04 THEN 1.0 ELSE least(1.0, greatest(0.0, 2 * list_sum(list_transform(range(1, 101), lambda k: (CASE WHEN k % 2 = 1 THEN 1.0 ELSE -1.0 END) * exp(-2.0 * k * k * sq))))) END')} AS p_value FROM z "
+            "UNION ALL SELECT 'const' AS feature, CAST(NULL AS DOUBLE) AS \"D\", CAST(NULL AS DOUBLE) AS p_value")
+
+
+@query("ks_relevance", _ks_sql())
+def q_ks_relevance(spark, sf_dir):
+    p = clean.keep_labelled(participants(spark, sf_dir).filter(F.col("split") == "train"), TARGET)
+    p = p.select(TARGET, F.lit(1.0).alias("const"), *[(F.col(f"`{c}`") > _KS_CUT).cast("double").alias(n) for n, c in _KS.items()])
+    return round_doubles(stats.ks_binary(p, TARGET, _KS_FEATS))
+
+
 _MS_FEATS = ["Physical-BMI", "BIA-BIA_BMI", "FGC-FGC_SRR", "FGC-FGC_GSD"] + K.ZONE_COLUMNS[:3]
 
 
