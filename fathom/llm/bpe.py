@@ -30,12 +30,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import out_batch, ship, slices, texts_of
+from .common import out_batch, releasing, ship, slices, texts_of
 
 _NONE = 1 << 62
-_SLICE = 2 << 20          # bytes of text encoded at once
+_SLICE = 1 << 20          # bytes of text encoded at once
 _KEEP_CHARS = 48          # runs up to this long are remembered
-_KEEP_RUNS = 250_000      # and so many of them in each of two generations
+_KEEP_RUNS = 150_000      # and so many of them in each of two generations
 # white space as Unicode has it (Python's \s also takes U+001C..U+001F)
 _SPACE = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
@@ -272,7 +272,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
             ids, ends = c.encode_batch(texts_of(b.column(1)))
             yield out_batch(arrow, [b.column(0), *_outputs(c, outputs, ids, ends)])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def _arrow(schema: T.StructType) -> pa.Schema:
@@ -315,4 +315,4 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, id_col: str =
             texts = [c.decode(ids or ()).decode("utf-8", "replace") for ids in b.column(1).to_pylist()]
             yield out_batch(arrow, [b.column(0), texts])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)

@@ -74,6 +74,17 @@ def out_batch(schema: pa.Schema, columns: list) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
+def releasing(run):
+    """``run`` for ``mapInArrow``, giving freed Arrow memory back when a task ends: Python workers are
+    reused, and an executor's memory is shared by all of them and the JVM."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+    return task
+
+
 def slices(batches, max_bytes: int = 4 << 20, text: int = 1):
     """Cut incoming record batches, whose column ``text`` is the text, into slices of
     about ``max_bytes`` of text; a slice holds one row at least."""

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .buckets import deal, join_labels, offset_pairs, whole_groups
-from .common import LOWER, checkpoint, out_batch, row_key, ship, slices, texts_of
+from .common import LOWER, checkpoint, out_batch, releasing, row_key, ship, slices, texts_of
 from .components import connected_components
 
 #: Generator polynomial of the binary Golay code; segments as (shift, bits).
@@ -127,7 +127,7 @@ def _keyed(prints: DataFrame) -> DataFrame:
                 row, key = bucket_keys(fp.view(np.uint64))
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(fp[row])], names=["key", "fp"])
 
-    return prints.mapInArrow(run, schema)
+    return prints.mapInArrow(releasing(run), schema)
 
 
 def _links(groups: DataFrame, max_bits: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _links(groups: DataFrame, max_bits: int) -> DataFrame:
             if u:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], names=["u", "v"])
 
-    return groups.mapInArrow(run, schema)
+    return groups.mapInArrow(releasing(run), schema)
 
 
 def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,7 +166,7 @@ def fingerprints(docs: DataFrame, width: int = 4, id_col: str = "doc_id", text_c
             fp = np.array([fingerprint(t, width) for t in texts_of(b.column(1))], np.uint64).view(np.int64)
             yield out_batch(arrow, [b.column(0), b.column(2), pa.array(fp)])
 
-    return rows.mapInArrow(run, full)
+    return rows.mapInArrow(releasing(run), full)
 
 
 def classes(prints: DataFrame, max_bits: int = MAX_BITS, block_rows: int = 4096) -> DataFrame:

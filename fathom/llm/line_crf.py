@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import out_batch, ship, slices, texts_of
+from .common import out_batch, releasing, ship, slices, texts_of
 
 _CLASSES = ("upper", "lower", "digit", "space", "bar", "bang", "symbol", "other", "wide")
 
@@ -185,7 +185,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
                 yield pa.RecordBatch.from_arrays([pa.array([some.astype(np.float32).tobytes()]), pa.array([label])],
                                                  names=["features", "label"])
 
-    got = rows.select("id", "text", "label").mapInArrow(run, "features binary, label double").toPandas()
+    got = rows.select("id", "text", "label").mapInArrow(releasing(run), "features binary, label double").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["label", "features"])             # one order, however the tasks end
@@ -221,7 +221,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             lines = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(good.astype(np.float32)))
             yield out_batch(arrow, [b.column(0), pa.array(out), lines])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -234,4 +234,4 @@ def keep_good(docs: DataFrame, model: Model | None, threshold: float = 0.7, text
             scores, _, _ = _document_scores(texts_of(b.column(text)), model)
             yield b.filter(pa.array(scores >= threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(releasing(run), docs.schema)

@@ -27,13 +27,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import out_batch, ship, slices, texts_of
+from .common import out_batch, releasing, ship, slices, texts_of
 
 _KIND = np.zeros(256, np.uint8)              # 0: part of a word
 _KIND[[9, 32]] = 1
 _KIND[10] = 2
 _SENTENCE = np.zeros(256, bool)
 _SENTENCE[[33, 46, 63]] = True
+_SLICE = 3 << 20            # bytes of text laid out at once
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -111,7 +112,7 @@ def _places(docs: DataFrame, width: int, wrap: int, id_col: str, text_col: str)
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for b in slices(batches, 8 << 20):
+        for b in slices(batches, _SLICE):
             text, p, h = Layout(texts_of(b.column(1)), wrap).windows(width)
             ids, mark = b.column(0), b.column(2).to_numpy(zero_copy_only=False)
             # documents of the slice in their order: by id (null first), then by text
@@ -137,7 +138,7 @@ def _places(docs: DataFrame, width: int, wrap: int, id_col: str, text_col: str)
             yield out_batch(arrow, [pa.array(later), pa.array(np.where(later, spread, h).view(np.int64)),
                                     ids.take(pa.array(text)), pa.array(mark[text]), pa.array(p.astype(np.int32))])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
 
 
 def repeated_lines(docs: DataFrame, width: int = 3, wrap: int = 16, id_col: str = "doc_id",
@@ -168,7 +169,7 @@ def remove_repeated_lines(docs: DataFrame, width: int = 3, wrap: int = 16, id_co
     arrow = to_arrow_schema(schema)
 
     def run(batches):
-        for b in slices(batches, 8 << 20):
+        for b in slices(batches, _SLICE):
             layout = Layout(texts_of(b.column(1)), wrap)
             lines = np.diff(layout.first)
             gone = np.zeros(b.num_rows, np.int64)
@@ -190,6 +191,6 @@ def remove_repeated_lines(docs: DataFrame, width: int = 3, wrap: int = 16, id_co
                     texts[i] = t
             yield out_batch(arrow, [texts, pa.array(lines), pa.array(gone), b.column(3)])
 
-    out = rows.mapInArrow(run, schema)
+    out = rows.mapInArrow(releasing(run), schema)
     cols = [F.col("text").alias(c) if c == text_col else F.col(f"rest.`{c}`").alias(c) for c in docs.columns]
     return out.select(*cols, *([F.col("lines").alias(counts[0]), F.col("gone").alias(counts[1])] if counts else []))

@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import WORDS, out_batch, ship, slices, texts_of
+from .common import WORDS, out_batch, releasing, ship, slices, texts_of
 
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
@@ -145,4 +145,4 @@ def scan_licenses(docs: DataFrame, base: dict[str, str] | None = None, notices=N
                 score.append(s.score(places, verified))
             yield out_batch(arrow, [b.column(0), n, found, spans, score])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import out_batch, ship, slices, texts_of
+from .common import out_batch, releasing, ship, slices, texts_of
 
 _BUCKETS = 1 << 17
 _DIM = 8
@@ -201,7 +201,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
             bags = [" ".join(tokens(t)[:max_words]) for t in texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(bags), b.column(2)], names=["words", "label"])
 
-    got = rows.select("id", "text", "label").mapInArrow(run, "words string, label int").toPandas()
+    got = rows.select("id", "text", "label").mapInArrow(releasing(run), "words string, label int").toPandas()
     if not len(got):
         return None
     got = got.sort_values(["label", "words"])                # one order, however the tasks end
@@ -225,4 +225,4 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
             values = np.full(b.num_rows, 0.5) if m is None else m.score(texts_of(b.column(1)))
             yield out_batch(arrow, [b.column(0), pa.array(values)])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)

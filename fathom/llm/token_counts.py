@@ -24,7 +24,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import out_batch, ship, slices, texts_of
+from .common import out_batch, releasing, ship, slices, texts_of
 
 # white space as Unicode has it (Python's \s also takes U+001C..U+001F)
 _SPACE = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -112,4 +112,4 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
             yield out_batch(arrow, [b.column(0), [len(t.encode()) for t in texts], counts,
                                     [n > limit for n in counts]])
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(releasing(run), schema)
