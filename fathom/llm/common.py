@@ -58,10 +58,9 @@ def row_key(id_col: str, text_col: str) -> Column:
 
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage in the shared folder that the session names in
-    ``spark.checkpoint.dir`` (a folder of our own only where none is set)."""
-    from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    ``spark.checkpoint.dir`` (a folder of our own only in a local session without one)."""
+    from ..session import cut_lineage
+    return cut_lineage(df)
 
 
 def texts_of(column: pa.Array) -> list[str]:
