@@ -95,45 +95,61 @@ def interpolate(df: DataFrame, columns: Sequence[str], method: str, partition_by
                 order_by: Sequence[str | Column], chunk: Column) -> DataFrame:
     """Fill NULLs of ``columns`` by interpolation within each partition.
 
-    All columns share one row numbering and one neighbour pass (one sort, one
-    chunk aggregate, one join), whatever the number of columns."""
+    ``order_by`` has to be a total order. All columns share one row numbering and one
+    neighbour pass, whatever their number."""
     if method not in METHODS:
         raise ValueError(f"unknown interpolation method {method!r}")
     k = 3 if method == "pchip" else 2
-    cols = list(columns)
-    d = chunked_row_number(df, partition_by, order_by, chunk, out="__pos")
+    cols, P = list(columns), list(partition_by)
+    d = chunked_row_number(df, P, order_by, chunk, out="__pos")
     x = F.col("__pos").cast("double")
-    vals = {f"c{i}": col_of(c).cast("double") for i, c in enumerate(cols)}
-    d = chunked_neighbors(d, partition_by, order_by, chunk,
-                          preds={f"__kn{i}": v.isNotNull() for i, v in enumerate(vals.values())},
-                          payload={"pos": x, **vals}, k_prev=k, k_next=k,
-                          payload_of={f"__kn{i}": ["pos", f"c{i}"] for i in range(len(cols))})
-    for i, c in enumerate(cols):
-        v = col_of(c).cast("double")
-        pa, na = f"__kn{i}__prev", f"__kn{i}__next"
-        P = [(nth(pa, j, "pos"), nth(pa, j, f"c{i}")) for j in range(k)]
-        N = [(nth(na, j, "pos"), nth(na, j, f"c{i}")) for j in range(k)]
-        has_p, has_n = P[0][0].isNotNull(), N[0][0].isNotNull()
-        enough = (F.size(pa) + F.size(na)) >= 2
-        if method == "linear":
-            est = (F.when(has_p & has_n, _linear(x, P[0], N[0]))
-                    .when(has_n, _linear(x, N[0], N[1]))
-                    .otherwise(_linear(x, P[1], P[0])))
-        elif method == "nearest":
-            est = (F.when(has_p & has_n, F.when((x - P[0][0]) <= (N[0][0] - x), P[0][1]).otherwise(N[0][1]))
-                    .when(has_n, N[0][1]).otherwise(P[0][1]))
-        else:
-            # segment (A, B, C, D): interior, left end piece, or right end piece
-            none = F.lit(None).cast("double")
-            inner, left = has_p & has_n, has_n
-            for name, (a_in, a_left, a_right) in {
-                    "a": (P[1], (none, none), P[2]), "b": (P[0], N[0], P[1]),
-                    "c": (N[0], N[1], P[0]), "d": (N[1], N[2], (none, none))}.items():
-                d = d.withColumn(f"__x{name}", F.when(inner, a_in[0]).when(left, a_left[0]).otherwise(a_right[0]))
-                d = d.withColumn(f"__y{name}", F.when(inner, a_in[1]).when(left, a_left[1]).otherwise(a_right[1]))
-            d = _pchip_columns(d, x, "__est")
-            est = F.col("__est")
-        d = d.withColumn(c, F.when(v.isNotNull() | ~enough, v).otherwise(est))
-        if method == "pchip":
-            d = d.drop("__est")
-    return d.drop("__pos", *[f"__kn{i}__prev" for i in range(len(cols))], *[f"__kn{i}__next" for i in range(len(cols))])
+    if len(cols) <= 2:
+        vals = {f"c{i}": col_of(c).cast("double") for i, c in enumerate(cols)}
+        d = chunked_neighbors(d, P, order_by, chunk, preds={f"__kn{i}": v.isNotNull() for i, v in enumerate(vals.values())},
+                              payload={"pos": x, **vals}, k_prev=k, k_next=k,
+                              payload_of={f"__kn{i}": ["pos", f"c{i}"] for i in range(len(cols))})
+        for i, c in enumerate(cols):
+            d = _fill(d, f"__kn{i}", x, col_of(c).cast("double"), f"c{i}", method, k, c)
+        return d.drop("__pos", *[f"__kn{i}__{side}" for i in range(len(cols)) for side in ("prev", "next")])
+    # many columns: one row per cell, so the plan has one column's size however many there are;
+    # only the filled cells come back
+    d = d.withColumn("__ck", chunk)
+    cells = d.select(*[col_of(p) for p in P], "__pos", "__ck",
+                     F.posexplode(F.array(*[col_of(c).cast("double") for c in cols])).alias("__f", "__v"))
+    cells = chunked_neighbors(cells, [*P, "__f"], ["__pos"], F.col("__ck"), preds={"__kn": F.col("__v").isNotNull()},
+                              payload={"pos": x, "v": F.col("__v")}, k_prev=k, k_next=k)
+    cells = _fill(cells.where(F.col("__v").isNull()), "__kn", x, F.col("__v"), "v", method, k, "__v")
+    filled = cells.groupBy(*[col_of(p) for p in P], "__pos").agg(
+        *[F.max(F.when(F.col("__f") == i, F.col("__v"))).alias(f"__v{i}") for i in range(len(cols))])
+    d = d.join(filled, [*P, "__pos"], "left")
+    keep = [F.coalesce(col_of(c).cast("double"), F.col(f"__v{cols.index(c)}")).alias(c) if c in cols else col_of(c)
+            for c in df.columns]
+    return d.select(*keep)
+
+
+def _fill(d: DataFrame, known: str, x: Column, v: Column, field: str, method: str, k: int, out: str) -> DataFrame:
+    """``out``: ``v``, where NULL interpolated at ``x`` from the neighbours ``{known}__prev`` / ``__next``."""
+    pa, na = f"{known}__prev", f"{known}__next"
+    P = [(nth(pa, j, "pos"), nth(pa, j, field)) for j in range(k)]
+    N = [(nth(na, j, "pos"), nth(na, j, field)) for j in range(k)]
+    has_p, has_n = P[0][0].isNotNull(), N[0][0].isNotNull()
+    enough = (F.size(pa) + F.size(na)) >= 2
+    if method == "linear":
+        est = (F.when(has_p & has_n, _linear(x, P[0], N[0]))
+                .when(has_n, _linear(x, N[0], N[1]))
+                .otherwise(_linear(x, P[1], P[0])))
+    elif method == "nearest":
+        est = (F.when(has_p & has_n, F.when((x - P[0][0]) <= (N[0][0] - x), P[0][1]).otherwise(N[0][1]))
+                .when(has_n, N[0][1]).otherwise(P[0][1]))
+    else:
+        # segment (A, B, C, D): interior, left end piece, or right end piece
+        none = F.lit(None).cast("double")
+        inner, left = has_p & has_n, has_n
+        for name, (a_in, a_left, a_right) in {
+                "a": (P[1], (none, none), P[2]), "b": (P[0], N[0], P[1]),
+                "c": (N[0], N[1], P[0]), "d": (N[1], N[2], (none, none))}.items():
+            d = d.withColumn(f"__x{name}", F.when(inner, a_in[0]).when(left, a_left[0]).otherwise(a_right[0]))
+            d = d.withColumn(f"__y{name}", F.when(inner, a_in[1]).when(left, a_left[1]).otherwise(a_right[1]))
+        d = _pchip_columns(d, x, "__est")
+        est = F.col("__est")
+    return d.withColumn(out, F.when(v.isNotNull() | ~enough, v).otherwise(est)).drop("__est")

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from fathom import constants as K
 from fathom.operators import clean
 from fathom.operators.series import describe_series
+from fathom import ml
 from fathom.plans import workflows as W
-from fathom.plans.fixtures import participants
+from fathom.plans.fixtures import participants, participants_cte, q
 from fathom.plans.q_series import events_prepared
-from fathom.plans.registry import query
+from fathom.plans.registry import ORACLE, query
 from fathom.plans.tables import round_doubles, table
 from fathom.session import shared_folder
+from fathom.sources import readers, sinks
 from fathom.sources.materialize import materialize
 
 FEATS = ["Physical-BMI", "Physical-HeartRate", "BIA-BIA_Fat", "BIA-BIA_FFMI", "BIA-BIA_ICW", "FGC-FGC_CU",
@@ -133,7 +135,7 @@ def q_series_pca_join(spark, sf_dir):
     return round_doubles(cust.join(a.unionByName(b), "id", "left"))
 
 
-@query("materialize")
+@query("materialize", ORACLE.get("series_describe"))
 def q_materialize(spark, sf_dir):
     """Keyed materialisation of the series summary under the shared checkpoint
     folder; a second call with the same inputs reads the stored table."""
@@ -145,3 +147,74 @@ def q_materialize(spark, sf_dir):
     params = {"op": "describe_series", "columns": ["value", "k"], "key": "user_id"}
     out = materialize(spark, path, params, ev, lambda: describe_series(ev, "user_id", ["value", "k"]))
     return round_doubles(out)
+
+
+def _folder(spark, sf_dir, name):
+    """A folder of its own for every call, under the shared one."""
+    import uuid
+    return f"{shared_folder(spark)}/fathom-{name}-{uuid.uuid4().hex}"
+
+
+_LABELLED = f"WITH {participants_cte()} SELECT count(*) AS n_rows, CAST(0 AS BIGINT) AS n_changed, " \
+            f"count(*) AS n_predicted FROM participants WHERE {q(K.SII)} IS NOT NULL"
+
+
+@query("model_roundtrip", _LABELLED)
+def q_model_roundtrip(spark, sf_dir):
+    """A trained pipeline (imputer, scaler, model, cuts) saved and loaded predicts as before."""
+    d = clean.keep_labelled(_data(spark, sf_dir), K.SII)
+    _, cuts, fitted = W.train_regressor(d, W.Recipe(FEATS, "decision_tree", {"max_depth": 4}, "median", "robust"))
+    before = ml.as_pipeline(fitted, cuts)
+    path = _folder(spark, sf_dir, "model")
+    sinks.save_model(before, path)
+    after = sinks.load_model(path)
+    both = ml.predict_classes(before, d).withColumnRenamed(K.SII, "a").join(ml.predict_classes(after, d), "id")
+    return both.agg(F.count(F.lit(1)).alias("n_rows"), F.sum((~F.col("a").eqNullSafe(F.col(K.SII))).cast("long")).alias("n_changed"),
+                    F.count(F.when(F.col(K.SII).between(0, 3), 1)).alias("n_predicted"))
+
+
+@query("search_submission", f"WITH {participants_cte()} SELECT count(*) AS n_rows, count(*) AS n_predicted, CAST(1 AS BIGINT) AS n_scores "
+       "FROM participants WHERE split = 'test'")
+def q_search_submission(spark, sf_dir):
+    """Search, refit, scores, model, features and submission written and read back."""
+    p = participants(spark, sf_dir)
+    p = p.select("id", "split", *[F.col(f"`{c}`") for c in FEATS], F.col(K.SII), F.col(f"`{K.PCIAT_TOTAL}`"))
+    root = _folder(spark, sf_dir, "search")
+    submission, _ = ml.search_and_submit(p.where("split = 'train'").drop("split"), p.where("split = 'test'").drop("split"), FEATS,
+                                         "linear_regression", n_trials=1, root=root, k=2, seed=1)
+    scores = spark.read.parquet(f"{root}/scores/train").count()
+    return submission.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col(K.SII).between(0, 3), 1)).alias("n_predicted"),
+                          F.lit(scores).cast("long").alias("n_scores"))
+
+
+@query("csv_pair", "SELECT CASE WHEN c_custkey % 2 = 0 THEN 'train' ELSE 'test' END AS split, c_custkey AS id, c_name, c_nationkey, c_acctbal, "
+       "CASE WHEN c_custkey % 7 <> 0 THEN c_mktsegment END AS c_mktsegment FROM customer")
+def q_csv_pair(spark, sf_dir):
+    """Header CSVs of a train and a test table, written and scanned back with their schema."""
+    c = table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("id"), "c_name", "c_nationkey", "c_acctbal",
+        F.when(F.col("c_custkey") % 7 != 0, F.col("c_mktsegment")).alias("c_mktsegment"))
+    root = _folder(spark, sf_dir, "csv")
+    sinks.save_csv(c.where("id % 2 = 0"), f"{root}/train.csv")
+    sinks.save_csv(c.where("id % 2 = 1"), f"{root}/test.csv")
+    return readers.with_split(*readers.read_tabular_pair(spark, root, schema=c.schema))
+
+
+@query("series_scan", "SELECT CAST(user_id AS VARCHAR) AS id, count(*) AS n, min(event_id) AS first_event, max(event_id) AS last_event "
+       "FROM events GROUP BY 1")
+def q_series_scan(spark, sf_dir):
+    """Key-partitioned series folders, written and scanned back with the key as a string."""
+    root = _folder(spark, sf_dir, "series")
+    (table(spark, sf_dir, "events").select(F.col("user_id").alias("id"), "event_id", "value").repartition("id")
+     .write.partitionBy("id").parquet(root))
+    s = readers.read_series(spark, root, file_name="part-*.parquet")
+    return s.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
+
+
+@query("feature_list", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(FEATS)) + ") t(pos, feature)")
+def q_feature_list(spark, sf_dir):
+    """A feature list written and read back, projected on the table it came from."""
+    path = _folder(spark, sf_dir, "features")
+    have = [c for c in participants(spark, sf_dir).columns if c in FEATS]
+    sinks.save_feature_list(spark, [f for f in FEATS if f in have], path)
+    return sinks.feature_list_frame(spark, path)

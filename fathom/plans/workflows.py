@@ -115,35 +115,44 @@ def _scale_apply(df: DataFrame, r: Recipe, fit) -> DataFrame:
     return scale._apply(t, std)
 
 
-def prepare(df: DataFrame, r: Recipe, imp, means, sc) -> DataFrame:
-    d = _impute_apply(df, r, imp, means)
-    d = _scale_apply(d, r, sc)
-    return VectorAssembler(inputCols=r.features, outputCol=FEATURES, handleInvalid="keep").transform(d)
+def fit_preparation(train: DataFrame, r: Recipe) -> tuple[dict, Any]:
+    """Fitted imputer and scaler (numbers only). The imputed frame feeds the scaler's passes, so it is
+    persisted meanwhile (recomputed from lineage if an executor is lost)."""
+    means = stats.column_means(train, r.features)
+    fill = {"imp": _impute_fit(train, r), "means": means}
+    filled = _impute_apply(train, r, fill["imp"], means).persist()
+    try:
+        return fill, _scale_fit(filled, r)
+    finally:
+        filled.unpersist()
+
+
+def apply_preparation(df: DataFrame, r: Recipe, fill: dict, scaling) -> DataFrame:
+    return _scale_apply(_impute_apply(df, r, fill["imp"], fill["means"]), r, scaling)
+
+
+def prepare(df: DataFrame, r: Recipe, fill: dict, scaling) -> DataFrame:
+    return VectorAssembler(inputCols=r.features, outputCol=FEATURES, handleInvalid="keep").transform(
+        apply_preparation(df, r, fill, scaling))
 
 
 def fit(train: DataFrame, r: Recipe, label: str, weight: str | None = None) -> Fitted:
-    """Fit imputer, scaler and estimator on ``train``. The imputed frame feeds
-    the scaler fit and every optimiser pass, so it is persisted for the
-    duration of the fit (recomputable from lineage if an executor is lost)."""
-    means = stats.column_means(train, r.features)
-    imp = _impute_fit(train, r)
-    filled = _impute_apply(train, r, imp, means).persist()
+    """Fit imputer, scaler and estimator on ``train``. The prepared frame feeds every optimiser pass, so it is
+    persisted for the duration of the fit."""
+    fill, scaling = fit_preparation(train, r)
+    d = prepare(train, r, fill, scaling).withColumn(LABEL, col_of(label).cast("double"))
+    d = d.withColumn(WEIGHT, col_of(weight).cast("double") if weight else F.lit(1.0)).select(FEATURES, LABEL, WEIGHT).persist()
     try:
-        sc = _scale_fit(filled, r)
-        d = VectorAssembler(inputCols=r.features, outputCol=FEATURES, handleInvalid="keep").transform(
-            _scale_apply(filled, r, sc))
-        d = d.withColumn(LABEL, col_of(label).cast("double"))
-        d = d.withColumn(WEIGHT, col_of(weight).cast("double") if weight else F.lit(1.0))
         params = {**r.params, "n_rows": d.count()} if r.estimator == "ridge" else r.params
         est, kind = make_estimator(r.estimator, params, n_features=len(r.features))
         model = est.fit(d)
     finally:
-        filled.unpersist()
-    return Fitted(r, {"imp": imp, "means": means}, sc, model, kind)
+        d.unpersist()
+    return Fitted(r, fill, scaling, model, kind)
 
 
 def predict(fm: Fitted, df: DataFrame, out: str = "pred") -> DataFrame:
-    d = prepare(df, fm.recipe, fm.fill["imp"], fm.fill["means"], fm.scaling)
+    d = prepare(df, fm.recipe, fm.fill, fm.scaling)
     p = fm.model.transform(d)
     keep = [c for c in df.columns]
     cols = [col_of(c) for c in keep] + [F.col(PRED).cast("double").alias(out)]

@@ -54,7 +54,7 @@ def test_exact_quantiles_match_numpy(spark):
     x = np.round(rng.normal(size=2001), 2)
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
-    got = ordered.exact_quantiles(df, ["x"], probs, n_chunks=16)["x"]
+    got = ordered.exact_quantiles(df, ["x"], probs, rows_per_chunk=400)["x"]
     assert np.allclose(got, np.percentile(x, [p * 100 for p in probs]), atol=1e-12)
 
 
@@ -84,7 +84,7 @@ def test_kendall_tau_b_equals_pairwise_count(spark):
     y = rng.integers(0, 4, n).astype(float)
     x = np.round(y + rng.normal(size=n), 1)
     df = spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double")
-    got = stats.kendall_tau(df, "y", ["x"], n_chunks=8).first()
+    got = stats.kendall_tau(df, "y", ["x"], rows_per_chunk=200).first()
     s = 0.0
     for i in range(n):
         s += np.sum(np.sign(x[i] - x[i + 1:]) * np.sign(y[i] - y[i + 1:]))
