@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 from .common import out_batch, releasing, ship, slices, texts_of
 
 _NONE = 1 << 62
-_SLICE = 1 << 20          # bytes of text encoded at once
+_SLICE = 2 << 20          # bytes of text encoded at once
 _KEEP_CHARS = 48          # runs up to this long are remembered
-_KEEP_RUNS = 150_000      # and so many of them in each of two generations
+_KEEP_RUNS = 350_000      # and so many of them in each of two generations
 # white space as Unicode has it (Python's \s also takes U+001C..U+001F)
 _SPACE = " \t\n\r\x0b\x0c\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _RUN = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
