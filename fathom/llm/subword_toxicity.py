@@ -4,15 +4,17 @@ A word is the bag of its character n-grams (with word ends) and itself, hashed t
 embedding table; its vector is their average, and a window of consecutive words is the
 average of its words. A linear softmax of two classes maps it to a probability. Unseen
 misspellings share n-grams, and so vectors, with the words they come from. Embeddings and
-softmax are trained jointly in numpy from documents' labels: a document is toxic if any of its windows is,
-``1 - prod(1 - p)``, so one word counts in a text of any length.
+softmax are trained jointly in numpy from documents' labels: a document is as toxic as its most toxic window,
+so one word counts in a text of any length, and length alone counts for nothing. The first half of the training
+takes ``1 - prod(1 - p)`` instead, which lets every window be found, the second half the maximum that scoring takes.
 
 As the softmax is linear, a word's contribution to the difference of the two logits is a number;
 scoring looks these up, computing them once per distinct word and worker.
 
 Training reads a bounded sample: of each class at most ``max_docs`` labelled documents, the least by
-a hash of their id, at most ``max_words`` words of each (defaults 2000 and 1500; the bound of what the driver
-holds), reweighted to the classes' shares. Scoring covers every word of every document.
+a hash of their id, with all their windows as long as these are at most ``max_windows`` together (defaults 2000 and
+two million; the bound of what the driver holds), reweighted to the classes' shares. Beyond that bound the longest
+texts are thinned to a common number of windows, drawn over the whole text. Scoring covers every word of every document.
 
 Defined results: null and wordless texts are one window of one empty word; without labelled
 rows the score is 0.5; null labels and null ids are not learnt from; labels that repeat an id each
@@ -21,6 +23,7 @@ count; extra columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from array import array
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -133,8 +136,8 @@ class Model:
         self.known.update(self.word_scores([w for w in missing if w not in again]))
         value = np.fromiter((v for s in split for v in map(self.known.__getitem__, s)), np.float64)
         bounds, texts_at = window_bounds(np.array([len(s) for s in split]))
-        z = _means(value, bounds) + self.bias
-        return -np.expm1(-np.add.reduceat(np.logaddexp(0, z), texts_at[:-1]))
+        z = np.maximum.reduceat(_means(value, bounds), texts_at[:-1]) + self.bias
+        return -np.expm1(-np.logaddexp(0, z))
 
 
 def train(docs: Iterable[list[str]], labels: np.ndarray, weights: np.ndarray, steps: int = 200, rate: float = 0.1,
@@ -163,10 +166,17 @@ def train(docs: Iterable[list[str]], labels: np.ndarray, weights: np.ndarray, st
         u = soft[:, 1] - soft[:, 0]
         word_value = _means((table @ u).astype(np.float32)[rows], bounds)
         z = _means(word_value[word], windows) + bias[1] - bias[0]
-        total = np.add.reduceat(np.logaddexp(0, z), texts[:-1])          # -log(1 - p) of the text
+        if step <= steps // 2:
+            total = np.add.reduceat(np.logaddexp(0, z), texts[:-1])      # -log(1 - p) of the text
+            counts = 1.0
+        else:
+            top = np.maximum.reduceat(z, texts[:-1])
+            total = np.logaddexp(0, top)
+            counts = z == top[of_text]                                   # windows that tie share the slope
+            counts = counts / np.add.reduceat(counts, texts[:-1], dtype=np.int64)[of_text]
         toxic = -np.exp(-total) / np.maximum(-np.expm1(-total), 1e-6)
         slope = weights * np.where(labels > 0, np.maximum(toxic, -50), 1.0)
-        dz = slope[of_text] / (1 + np.exp(-z))
+        dz = slope[of_text] * counts / (1 + np.exp(-z))
         dword = np.bincount(word, (dz / per_window)[of_window], minlength=n_words)
         drow = np.bincount(rows, np.repeat(dword / per_word, per_word), minlength=_BUCKETS)
         du = table.T @ drow
@@ -181,8 +191,29 @@ def train(docs: Iterable[list[str]], labels: np.ndarray, weights: np.ndarray, st
     return Model((table @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
 
 
+def _drawn(text: str, most: int) -> str:
+    """The text's words, or those of ``most`` of its windows, drawn over the whole text."""
+    toks = tokens(text)
+    n = -(-len(toks) // _WINDOW)
+    if n > most:
+        at = np.sort(np.random.default_rng(zlib.crc32(text.encode())).choice(n, most, replace=False))
+        toks = [t for i in at.tolist() for t in toks[i * _WINDOW:(i + 1) * _WINDOW]]
+    return " ".join(toks)
+
+
+def _common_bound(sizes: dict[int, int], most: int) -> int:
+    """The largest c with sum(min(size, c)) <= ``most`` (1 at least), of ``sizes`` and how often each occurs."""
+    left, count = most, sum(sizes.values())
+    for size in sorted(sizes):
+        if size * count > left:
+            return max(1, left // count)
+        left -= size * sizes[size]
+        count -= sizes[size]
+    return max(sizes, default=1)
+
+
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
-        max_docs: int = 2000, max_words: int = 1500) -> Model | None:
+        max_docs: int = 2000, max_windows: int = 2_000_000) -> Model | None:
     """Model learnt from ``labels`` (id and 0/1 label; the caller leaves the held-out ones out)."""
     ship(docs.sparkSession)
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(
@@ -196,9 +227,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
         return None
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
+    def count(batches):
+        for b in slices(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([-(-len(tokens(t)) // _WINDOW) for t in texts_of(b.column(1))])],
+                                             names=["windows"])
+
+    sizes = rows.select("id", "text").mapInArrow(releasing(count), "windows bigint").groupBy("windows").count().collect()
+    most = _common_bound({r["windows"]: r["count"] for r in sizes}, max_windows)
+
     def run(batches):
         for b in slices(batches):
-            bags = [" ".join(tokens(t)[:max_words]) for t in texts_of(b.column(1))]
+            bags = [_drawn(t, most) for t in texts_of(b.column(1))]
             yield pa.RecordBatch.from_arrays([pa.array(bags), b.column(2)], names=["words", "label"])
 
     got = rows.select("id", "text", "label").mapInArrow(releasing(run), "words string, label int").toPandas()

@@ -84,6 +84,38 @@ def test_toxicity_is_learnt_from_planted_words():
     assert np.allclose(model.score([" ".join(d) for d in fresh]), score)        # remembered words score alike
 
 
+def test_length_alone_is_not_toxic():
+    rnd = random.Random(3)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(2000)]
+    text = lambda n: [rnd.choice(words) for _ in range(n)]          # noqa: E731
+    docs, y = [text(60) for _ in range(400)], np.arange(400) % 4 == 0
+    for k in np.flatnonzero(y):
+        docs[k][rnd.randrange(60)] = "zzyzxq"
+    model = subword_toxicity.train(docs, y.astype(int), np.ones(len(y)))
+    clean = text(100_000)
+    # every window a little above the usual: the highest counts, not how many there are
+    nearly = subword_toxicity.Model(model.weight * 0, -6.0)
+    assert nearly.score([" ".join(clean)])[0] < 0.01
+    assert (model.score([" ".join(clean), " ".join([*clean, "zzyzxq"])]) >= 0.7).tolist() == [False, True]
+
+
+def test_training_reads_whole_texts(spark):
+    rnd = random.Random(4)
+    words = ["".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(300)]
+    rows = [(k, " ".join([rnd.choice(words) for _ in range(2400)] + ["zzyzxq"] * (k % 2))) for k in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    model = subword_toxicity.fit(docs, labels, "toxic")
+    fresh = [rnd.choice(words) for _ in range(2400)]
+    assert (model.score([" ".join(fresh), " ".join([*fresh, "zzyzxq"])]) >= 0.7).tolist() == [False, True]
+    assert subword_toxicity._common_bound({2: 3, 10: 1, 50: 2}, 6 + 10 + 60) == 30
+    assert subword_toxicity._common_bound({2: 3, 10: 1, 50: 2}, 116) == 50
+    text = " ".join(map(str, range(3001)))
+    drawn = [int(t) for t in subword_toxicity._drawn(text, 100).split()]
+    assert subword_toxicity._drawn(text, 1001) == text and drawn == sorted(drawn)
+    assert len(drawn) in (298, 300) and drawn[0] < 600 and drawn[-1] > 2400
+
+
 def test_awkward_rows_have_scores(spark):
     docs = documents(spark)
     labels = spark.createDataFrame([(1, 1), (2, 0), (2, 1), (3, 0), (None, 1), (5, None), (7, 1), (99, 0)], "doc_id long, y int")
