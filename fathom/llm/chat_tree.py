@@ -13,9 +13,11 @@ control string can come from a text, and dropping single backslashes restores it
 Turns are chained in streams over partitions sorted by conversation and turn, so a long
 conversation needs no memory of its length; nodes are aggregated with map-side combining,
 so a first turn that a third of all conversations share is one row per task.
-Depth-first order needs no recursion: distinct conversations are sorted by their path of node ids across
-range partitions, a node belongs to the first conversation that has it, and its place is a prefix
-sum, first within partitions, then over the partitions' totals.
+Depth-first order needs neither recursion nor whole paths: a node belongs to the least conversation that
+passes it, so a conversation owns the end of its path, and a subtree's size is the sum, over the
+conversations that pass its root, of the tokens they own from there on. Siblings are ordered by node id; the
+sizes of those before a node are a prefix sum over (parent, node) range partitions, first within partitions,
+then over the partitions' totals. A node's place is its position and these sums of its ancestors and itself.
 
 Defined results: rows with equal turn number are ordered by role and text; null turns come
 first; null texts and roles count as empty; rows with a null conversation id form one
@@ -118,43 +120,71 @@ def prefix_tree(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     chained = checkpoint(_chain(turns, learn_role))
     paths = chained.select("conv", "depth", "node")
     same = ("parent", "depth", "position", "segment", "tokens", "loss_start", "loss_end")
-    nodes = chained.groupBy("node").agg(*(F.first(c).alias(c) for c in same), F.count(F.lit(1)).alias("conversations"))
-
-    # distinct conversations in depth-first order; ``rank`` grows with it (its upper bits: the partition)
-    ends = (chained.groupBy("conv").agg(F.array_sort(F.collect_list(F.struct("depth", "node", "tokens"))).alias("path"))
-            .groupBy(F.element_at("path", -1)["node"].alias("leaf")).agg(F.first("path").alias("path")))
-    ranked = checkpoint(ends.withColumn("key", F.col("path.node")).repartitionByRange("key").sortWithinPartitions("key")
-                        .select("path", F.monotonically_increasing_id().alias("rank")))
-    steps = ranked.select("rank", F.explode("path").alias("s")).select("rank", "s.depth", "s.node", "s.tokens")
-    owned = steps.groupBy("node").agg(F.min("rank").alias("rank"), F.first("depth").alias("depth"),
-                                      F.first("tokens").alias("tokens"))
-    part = F.shiftright("rank", 33)
-    owned = owned.withColumn("part", part)
-    totals = owned.groupBy("part").agg(F.sum("tokens").alias("total"))          # a row per partition
+    nodes = checkpoint(chained.groupBy("node").agg(*(F.first(c).alias(c) for c in same), F.count(F.lit(1)).alias("conversations"),
+                                                   F.min(F.struct("conv")).alias("owner")))
+    steps = chained.select("conv", "depth", "node", "position", "tokens")
+    owned = steps.join(nodes.select("node", "owner"), "node").withColumn("own", F.col("owner.conv").eqNullSafe(F.col("conv")))
+    sizes = _owned_from(owned).groupBy("node").agg(F.sum("size").alias("size"))
+
+    # sums over the nodes in (parent, node) order; ``rank`` grows with it (its upper bits: the partition)
+    ranked = checkpoint(nodes.select("node", F.coalesce("parent", F.lit("")).alias("parent")).join(sizes, "node")
+                        .repartitionByRange("parent", "node").sortWithinPartitions("parent", "node")
+                        .select("*", F.monotonically_increasing_id().alias("rank"))
+                        .withColumn("size", F.col("size").cast("decimal(28,0)")).withColumn("part", F.shiftright("rank", 33)))
+    totals = ranked.groupBy("part").agg(F.sum("size").alias("total"))           # a row per partition
     totals = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("ahead"))
-    within = Window.partitionBy("part").orderBy("rank", "depth")
-    placed = checkpoint(owned.withColumn("upto", F.sum("tokens").over(within)).join(F.broadcast(totals), "part").select(
-        "node", F.col("rank").alias("owner"), (F.col("ahead") + F.col("upto") - F.col("tokens")).alias("start")))
-    attends = _intervals(steps.join(placed, "node"))
-    return (nodes.join(placed.select("node", "start"), "node").join(attends, "node"), paths)
+    within = Window.partitionBy("part").orderBy("rank")
+    summed = checkpoint(ranked.withColumn("upto", F.sum("size").over(within)).join(F.broadcast(totals), "part")
+                        .select("node", "parent", (F.col("ahead") + F.col("upto") - F.col("size")).alias("before")))
+    eldest = summed.groupBy("parent").agg(F.min("before").alias("first"))
+    beside = summed.join(eldest, "parent").select("node", (F.col("before") - F.col("first")).cast("long").alias("beside"))
+    placed = _places(owned.join(beside, "node"))
+    return nodes.drop("owner").join(placed, "node"), paths
+
+
+def _owned_from(owned: DataFrame) -> DataFrame:
+    """``node`` and ``size`` per turn: tokens of the nodes that its conversation owns from this one on."""
+    schema = T._parse_datatype_string("node string, size bigint")
+    arrow = _arrow(schema)
+
+    def run(batches):
+        last, size = object(), 0
+        for b in batches:
+            out: tuple[list, list] = ([], [])
+            for conv, node, tokens, own in zip(*(b.column(c).to_pylist() for c in range(4))):
+                if conv != last:
+                    last, size = conv, 0
+                if own:
+                    size += tokens
+                if size:                             # else it adds nothing; a node's owner adds its tokens
+                    out[0].append(node)
+                    out[1].append(size)
+            if out[0]:
+                yield out_batch(arrow, list(out))
 
+    return (owned.repartition("conv").sortWithinPartitions("conv", F.desc("depth"))
+            .select("conv", "node", "tokens", "own").mapInArrow(run, schema))
 
-def _intervals(steps: DataFrame) -> DataFrame:
-    """``node`` and ``attends`` of every node, from the paths of the conversations with the places of
-    their nodes."""
-    schema = T._parse_datatype_string("node string, attends array<struct<start:bigint,end:bigint>>")
+
+def _places(steps: DataFrame) -> DataFrame:
+    """``node``, ``start`` and ``attends`` of every node, from the turns of the conversations with the
+    sizes of the subtrees beside them."""
+    schema = T._parse_datatype_string("node string, start bigint, attends array<struct<start:bigint,end:bigint>>")
     arrow = _arrow(schema)
 
     def run(batches):
-        last, before = None, []
+        last, ahead, before = object(), 0, []
         for b in batches:
-            out: tuple[list, list] = ([], [])
-            for rank, node, tokens, owner, start in zip(*(b.column(c).to_pylist() for c in range(5))):
-                if rank != last:
-                    last, before = rank, []
-                if owner == rank:
+            out: tuple[list, list, list] = ([], [], [])
+            for conv, node, position, tokens, beside, own in zip(*(b.column(c).to_pylist() for c in range(6))):
+                if conv != last:
+                    last, ahead, before = conv, 0, []
+                ahead += beside
+                start = position + ahead
+                if own:
                     out[0].append(node)
-                    out[1].append([{"start": s, "end": e} for s, e in before])
+                    out[1].append(start)
+                    out[2].append([{"start": s, "end": e} for s, e in before])
                 if before and before[-1][1] == start:
                     before[-1] = (before[-1][0], start + tokens)
                 else:
@@ -162,8 +192,8 @@ def _intervals(steps: DataFrame) -> DataFrame:
             if out[0]:
                 yield out_batch(arrow, list(out))
 
-    return (steps.repartition("rank").sortWithinPartitions("rank", "depth")
-            .select("rank", "node", "tokens", "owner", "start").mapInArrow(run, schema))
+    return (_by_conversation(steps, "depth").select("conv", "node", "position", "tokens", "beside", "own")
+            .mapInArrow(run, schema))
 
 
 def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:

@@ -66,6 +66,24 @@ def test_tree_layout_and_read_back(spark):
             assert n[r.parent].start < r.start and r.start + size[r.node] <= n[r.parent].start + size[r.parent]
 
 
+def test_no_row_holds_a_whole_conversation(spark, monkeypatch):
+    def gathered(*_):
+        raise AssertionError("a whole path in one row")
+    for name in ("collect_list", "collect_set", "array_agg"):
+        monkeypatch.setattr(F, name, gathered)
+    rows = [(c, k, "user", f"turn {k}" if k < 1500 + 10 * (c or 0) else f"own {c}") for c in (None, 1, 2) for k in range(2000)]
+    nodes, paths = chat_tree.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    order = nodes.orderBy("start").collect()
+    ends = [0]
+    for r in order:
+        assert r.start == ends[-1]
+        ends.append(r.start + r.tokens)
+    assert len(order) == 1520 + 500 + 490 + 480 and paths.count() == 6000
+    by_node = {r.node: r for r in order}
+    assert all(by_node[r.parent].start < r.start for r in order if r.parent)
+    assert all(sum(e - s for s, e in r.attends) == r.position for r in order)
+
+
 def test_no_conversations(spark):
     nodes, paths = chat_tree.prefix_tree(spark.createDataFrame([], "conv_id long, turn int, role string, text string"))
     assert nodes.count() == paths.count() == chat_tree.read_back(nodes, paths).count() == 0
