@@ -63,6 +63,17 @@ class Notice:
                 merged.append((lo, hi))
         return merged
 
+    def _all(self, text: str):
+        """Matches in their order. A search gives the best of a stretch, so the parts before and after it are searched again."""
+        least = len(self.text) - self.edits
+        todo: list = [(0, len(text))]
+        while todo:
+            part = todo.pop()
+            if not isinstance(part, tuple):
+                yield part
+            elif part[1] - part[0] >= least and (m := self.pattern.search(text, *part)):
+                todo += [(m.end(), part[1]), m, (part[0], m.start())]
+
     def matches(self, line: bytes):
         """(start and end in bytes, edits) of the verified matches."""
         for lo, hi in self.places(line):
@@ -71,7 +82,7 @@ class Notice:
             while hi < len(line) and line[hi] & 0xC0 == 0x80:
                 hi += 1
             text = line[lo:hi].decode()
-            for m in self.pattern.finditer(text):
+            for m in self._all(text):
                 start = lo + len(text[:m.start()].encode())
                 yield start, start + len(m.group().encode()), sum(m.fuzzy_counts)
 

@@ -129,6 +129,20 @@ def brute_base(text):
     return len(w), sorted(found)
 
 
+def test_edited_notices_beside_better_ones_are_found():
+    s = notices.scanner(tuple(notices.BASE.items()), tuple(notices.NOTICES))
+    for text, expected in (
+            ("general publik license x general public license", [(0, 2, 1), (4, 6, 0)]),
+            ("general publik license general public license", [(0, 2, 1), (3, 5, 0)]),
+            ("general public license x general publik license", [(0, 2, 0), (4, 6, 1)]),
+            ("genral pubilc license general publik license general public license general publik license",
+             [(3, 5, 1), (6, 8, 0), (9, 11, 1)]),
+            ("é general publik license é general public license é general publi license é",
+             [(1, 3, 1), (5, 7, 0), (9, 11, 1)])):
+        found = [x[1:] for x in s.scan(text)[2] if x[0] == "gpl"]
+        assert found[-len(expected):] == expected and found == sorted(found), text
+
+
 def test_base_places_and_edited_notices(spark):
     rows = ROWS + [
         (20, "CC BY cc-by, cc by cc   by"), (21, "General public license; general public license"),
