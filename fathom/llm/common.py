@@ -84,6 +84,17 @@ def releasing(run):
     return task
 
 
+def common_bound(sizes: dict[int, int], most: int) -> int:
+    """The largest c with sum(min(size, c)) <= ``most`` (1 at least), of ``sizes`` and how often each occurs."""
+    left, count = most, sum(sizes.values())
+    for size in sorted(sizes):
+        if size * count > left:
+            return max(1, left // count)
+        left -= size * sizes[size]
+        count -= sizes[size]
+    return max(sizes, default=1)
+
+
 def slices(batches, max_bytes: int = 4 << 20, text: int = 1):
     """Cut incoming record batches, whose column ``text`` is the text, into slices of
     about ``max_bytes`` of text; a slice holds one row at least."""

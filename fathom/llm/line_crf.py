@@ -7,8 +7,9 @@ The weights are trained in numpy by maximising the conditional likelihood of the
 sequences of labelled documents, each line carrying its document's label.
 
 Training reads a bounded sample: at most ``max_docs`` labelled documents, the least by a hash of
-their id, of which at most ``max_lines`` lines each are kept (defaults 3000 and 400; the bound of what the
-driver holds). Scoring covers every document and every line.
+their id, with all their lines as long as these are at most ``max_lines`` together (defaults 3000 and 1.2 million; the
+bound of what the driver holds). Beyond that the longest texts are thinned to a common number of lines, drawn over
+the whole text; as a text's lines share its label, this leaves the labels of neighbours as they are. Scoring covers every document and every line.
 
 Defined results: a null or empty text is one empty line; a line of white space counts as empty; without labelled
 rows the score is 0.5; null labels and null ids are not learnt from; labels that repeat an
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import out_batch, releasing, ship, slices, texts_of
+from .common import common_bound, out_batch, releasing, ship, slices, texts_of
 
 _CLASSES = ("upper", "lower", "digit", "space", "bar", "bang", "symbol", "other", "wide")
 
@@ -169,7 +170,7 @@ def held_out(id_col: Column, parts: int = 4, part: int = 2) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text",
-        max_docs: int = 3000, max_lines: int = 400) -> Model | None:
+        max_docs: int = 3000, max_lines: int = 1_200_000) -> Model | None:
     """Model learnt from ``labels`` (id and 0/1 label; the caller leaves the held-out ones out)."""
     ship(docs.sparkSession)
     sample = (labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull())
@@ -177,11 +178,17 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
               .orderBy(F.xxhash64("id"), "id", "label").limit(max_docs))
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "id")
 
+    lines = F.length(F.regexp_replace(F.coalesce("text", F.lit("")), "[^\n]", "")) + 1
+    sizes = rows.groupBy(lines.alias("lines")).count().collect()
+    most = common_bound({r["lines"]: r["count"] for r in sizes}, max_lines)
+
     def run(batches):
         for b in slices(batches, _SLICE):
             features, first, _ = line_features(texts_of(b.column(1)))
             for i, label in enumerate(b.column(2).to_pylist()):
-                some = features[first[i]:min(first[i + 1], first[i] + max_lines)]
+                some = features[first[i]:first[i + 1]]
+                if len(some) > most:
+                    some = some[np.sort(np.random.default_rng(len(some)).choice(len(some), most, replace=False))]
                 yield pa.RecordBatch.from_arrays([pa.array([some.astype(np.float32).tobytes()]), pa.array([label])],
                                                  names=["features", "label"])
 

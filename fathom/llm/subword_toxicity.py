@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import out_batch, releasing, ship, slices, texts_of
+from .common import common_bound, out_batch, releasing, ship, slices, texts_of
 
 _BUCKETS = 1 << 17
 _DIM = 8
@@ -201,17 +201,6 @@ def _drawn(text: str, most: int) -> str:
     return " ".join(toks)
 
 
-def _common_bound(sizes: dict[int, int], most: int) -> int:
-    """The largest c with sum(min(size, c)) <= ``most`` (1 at least), of ``sizes`` and how often each occurs."""
-    left, count = most, sum(sizes.values())
-    for size in sorted(sizes):
-        if size * count > left:
-            return max(1, left // count)
-        left -= size * sizes[size]
-        count -= sizes[size]
-    return max(sizes, default=1)
-
-
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
         max_docs: int = 2000, max_windows: int = 2_000_000) -> Model | None:
     """Model learnt from ``labels`` (id and 0/1 label; the caller leaves the held-out ones out)."""
@@ -233,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                                              names=["windows"])
 
     sizes = rows.select("id", "text").mapInArrow(releasing(count), "windows bigint").groupBy("windows").count().collect()
-    most = _common_bound({r["windows"]: r["count"] for r in sizes}, max_windows)
+    most = common_bound({r["windows"]: r["count"] for r in sizes}, max_windows)
 
     def run(batches):
         for b in slices(batches):

@@ -6,7 +6,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from fathom.llm import line_crf, subword_toxicity
+from fathom.llm import common, line_crf, subword_toxicity
 from tests.llm.helpers import ROWS, documents, rows_of
 
 SF = "/root/testdata/sf0.01"
@@ -53,6 +53,17 @@ def test_quality_on_held_out_documents(spark):
     assert kept.columns == docs.columns and 0.7 * docs.count() < kept.count() < docs.count()
 
 
+def test_quality_is_learnt_from_whole_texts(spark):
+    plain, shout = "a plain line of text here", "BUY | NOW!! $$$ 100 % | BUY"
+    rows = [(k, "\n".join([plain] * 450 + [shout if k % 2 else plain] * 450)) for k in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(12)], "doc_id long, quality int")
+    for bound in ({}, {"max_lines": 12 * 300}):           # whole, and drawn over the whole text
+        model = line_crf.fit(docs, labels, "quality", **bound)
+        got = dict(rows_of(line_crf.score(docs, model).select("doc_id", "score")))
+        assert min(got[k] for k in range(0, 12, 2)) > max(got[k] for k in range(1, 12, 2)) + 0.3
+
+
 def test_toxicity_of_unseen_misspellings(spark):
     docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
     out = line_crf.held_out(F.col("doc_id"), 3, 1)
@@ -108,8 +119,8 @@ def test_training_reads_whole_texts(spark):
     model = subword_toxicity.fit(docs, labels, "toxic")
     fresh = [rnd.choice(words) for _ in range(2400)]
     assert (model.score([" ".join(fresh), " ".join([*fresh, "zzyzxq"])]) >= 0.7).tolist() == [False, True]
-    assert subword_toxicity._common_bound({2: 3, 10: 1, 50: 2}, 6 + 10 + 60) == 30
-    assert subword_toxicity._common_bound({2: 3, 10: 1, 50: 2}, 116) == 50
+    assert common.common_bound({2: 3, 10: 1, 50: 2}, 6 + 10 + 60) == 30
+    assert common.common_bound({2: 3, 10: 1, 50: 2}, 116) == 50
     text = " ".join(map(str, range(3001)))
     drawn = [int(t) for t in subword_toxicity._drawn(text, 100).split()]
     assert subword_toxicity._drawn(text, 1001) == text and drawn == sorted(drawn)
