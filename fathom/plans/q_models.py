@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom import constants as K
+from fathom.functions.exprs import ordinal_round
 from fathom.operators import clean
 from fathom.operators.series import describe_series
 from fathom import ml
@@ -53,8 +54,14 @@ def q_train_ordinal(spark, sf_dir):
 
 @query("train_ordinal_pseudo")
 def q_train_ordinal_pseudo(spark, sf_dir):
-    scores, cuts, _ = W.train_regressor(_data(spark, sf_dir), W.Recipe(FEATS, "ridge", {"alpha": 1.0}), pseudo=True)
-    return scores.withColumn("cuts", F.array(*[F.lit(float(c)) for c in cuts]))
+    """Scores of a seeded model on the labelled rows before (split ``train``) and after (split ``refit``) the
+    pseudo-labelled refit, under the same cut points; a row's seed decides which unlabelled rows are kept."""
+    d = _data(spark, sf_dir)
+    r = W.Recipe(FEATS, "random_forest", {"n_estimators": 10, "max_depth": 5})
+    scores, cuts, refitted = W.train_regressor(d, r, pseudo=True)
+    after = W.predict(refitted, clean.keep_labelled(d, K.SII)).withColumn("pc", ordinal_round("pred", cuts))
+    again = W._scores(after, K.SII, "pc", estimator=r.estimator, split="refit")
+    return scores.unionByName(again).withColumn("cuts", F.array(*[F.lit(float(c)) for c in cuts]))
 
 
 @query("train_classifier")

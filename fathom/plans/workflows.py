@@ -152,11 +152,13 @@ def fit(train: DataFrame, r: Recipe, label: str, weight: str | None = None) -> F
 
 
 def predict(fm: Fitted, df: DataFrame, out: str = "pred") -> DataFrame:
-    d = prepare(df, fm.recipe, fm.fill, fm.scaling)
-    p = fm.model.transform(d)
-    keep = [c for c in df.columns]
-    cols = [col_of(c) for c in keep] + [F.col(PRED).cast("double").alias(out)]
-    if "probability" in p.columns:
+    """``df`` as it came, with the prediction ``out`` (and ``probs`` of a model that gives probabilities). The
+    features are imputed and scaled in place, so their own values are carried along under private names."""
+    own = {c: f"__own_{i}" for i, c in enumerate(df.columns) if c in fm.recipe.features}
+    p = fm.model.transform(prepare(df.withColumns({name: col_of(c) for c, name in own.items()}), fm.recipe, fm.fill, fm.scaling))
+    made = {out} | ({"probs"} if "probability" in p.columns else set())
+    cols = [col_of(own.get(c, c)).alias(c) for c in df.columns if c not in made] + [F.col(PRED).cast("double").alias(out)]
+    if "probs" in made:
         cols.append(vector_to_array("probability").alias("probs"))
     return p.select(*cols)
 
@@ -215,12 +217,10 @@ def _reseeded(r: Recipe, seed: int) -> Recipe:
     return Recipe(r.features, r.estimator, {**r.params, "seed": seed}, r.imputer, r.scaler, r.key)
 
 
-def pseudo_label_regressor(df: DataFrame, fm: Fitted, r: Recipe, cls: str, score: str,
-                           runs: int = K.PSEUDO_REFITS, q: float = K.PSEUDO_STD_QUANTILE,
-                           labelled: DataFrame | None = None) -> Fitted:
-    """Refit ``runs`` times on the same rows with other seeds; keep the unlabelled rows whose predictions
-    spread within the lower quartile, label them with the absolute prediction of the model from
-    before, and refit (unweighted) on the union."""
+def pseudo_rows_regressor(df: DataFrame, fm: Fitted, r: Recipe, cls: str, score: str, runs: int = K.PSEUDO_REFITS,
+                          q: float = K.PSEUDO_STD_QUANTILE, labelled: DataFrame | None = None) -> DataFrame | None:
+    """The unlabelled rows on which ``runs`` refits (same rows, other seeds) spread within the ``q`` quantile of the
+    spread, as they came, with the absolute prediction of ``fm`` as their score. None without unlabelled rows."""
     lab = labelled if labelled is not None else clean.keep_labelled(df, cls)
     base = predict(fm, clean.keep_unlabelled(df, cls), "p0")
     weighted = _weights(lab, score)
@@ -228,23 +228,36 @@ def pseudo_label_regressor(df: DataFrame, fm: Fitted, r: Recipe, cls: str, score
     for i, c in enumerate(cols):
         base = predict(fit(weighted, _reseeded(r, i), score, "w"), base, c)
     cut = exact_quantiles(base.select(combine.prediction_spread(cols).alias("s")), ["s"], [q])["s"][0]
-    if cut is None:                                     # no unlabelled rows
-        return fm
-    conf = combine.confident_by_spread(base, cols, "p0", cut, label=score).drop("p0", *cols, "spread")
-    return fit(lab.unionByName(conf, allowMissingColumns=True), r, score)
+    if cut is None:
+        return None
+    return combine.confident_by_spread(base, cols, "p0", cut, label=score).drop("p0", *cols, "spread")
 
 
-def pseudo_label_classifier(df: DataFrame, fm: Fitted, r: Recipe, cls: str, threshold: float = K.PSEUDO_CONFIDENCE,
-                            labelled: DataFrame | None = None) -> Fitted:
-    """Unlabelled rows whose most likely class reaches ``threshold``, and a refit on the union. Raises
-    for a model that gives no probabilities."""
+def pseudo_label_regressor(df: DataFrame, fm: Fitted, r: Recipe, cls: str, score: str,
+                           runs: int = K.PSEUDO_REFITS, q: float = K.PSEUDO_STD_QUANTILE,
+                           labelled: DataFrame | None = None) -> Fitted:
+    """A refit (unweighted) on the labelled rows and the rows of :func:`pseudo_rows_regressor`."""
     lab = labelled if labelled is not None else clean.keep_labelled(df, cls)
+    conf = pseudo_rows_regressor(df, fm, r, cls, score, runs, q, lab)
+    return fm if conf is None else fit(lab.unionByName(conf, allowMissingColumns=True), r, score)
+
+
+def pseudo_rows_classifier(df: DataFrame, fm: Fitted, cls: str, threshold: float = K.PSEUDO_CONFIDENCE) -> DataFrame:
+    """The unlabelled rows, as they came, whose most likely class reaches ``threshold``; that class is their label.
+    Raises for a model that gives no probabilities."""
     p = predict(fm, clean.keep_unlabelled(df, cls).drop(cls))
     if "probs" not in p.columns:
-        raise ValueError(f"{r.estimator} gives no class probabilities to pseudo-label by")
+        raise ValueError(f"{fm.recipe.estimator} gives no class probabilities to pseudo-label by")
     conf = combine.confident_by_probability(p, "probs", threshold, label=cls).drop("probs", "max_prob", "pred")
-    ext = lab.unionByName(conf.withColumn(cls, F.col(cls).cast("double")), allowMissingColumns=True)
-    return fit(_weights(ext, cls), r, cls, "w")
+    return conf.withColumn(cls, F.col(cls).cast("double"))
+
+
+def pseudo_label_classifier(df: DataFrame, fm: Fitted, r: Recipe, cls: str, threshold: float = K.PSEUDO_CONFIDENCE,
+                            labelled: DataFrame | None = None) -> Fitted:
+    """A weighted refit on the labelled rows and the rows of :func:`pseudo_rows_classifier`."""
+    lab = labelled if labelled is not None else clean.keep_labelled(df, cls)
+    conf = pseudo_rows_classifier(df, fm, cls, threshold)
+    return fit(_weights(lab.unionByName(conf, allowMissingColumns=True), cls), r, cls, "w")
 
 
 def cross_validate(df: DataFrame, r: Recipe, kind: str = "regressor", k: int = K.N_FOLDS, seed: int = 0,

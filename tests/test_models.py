@@ -90,11 +90,60 @@ def test_pseudo_labels(spark):
         W.train_classifier(d, W.Recipe(["a", "b", "c"], "xgb_classifier", {"n_estimators": 2}), pseudo=True)
 
 
+def test_predict_returns_the_columns_as_they_came(spark):
+    d = _table(spark).withColumn("pred", F.lit("x"))
+    for imputer, scaler in (("mean", "standard"), ("linear", "power"), ("median", "quantile")):
+        fitted = W.fit(d, W.Recipe(["a", "b", "c"], imputer=imputer, scaler=scaler), "PCIAT-PCIAT_Total")
+        got = W.predict(fitted, d)
+        assert got.columns == d.columns and dict(got.dtypes)["pred"] == "double"
+        assert sorted(map(tuple, got.drop("pred").collect())) == sorted(map(tuple, d.drop("pred").collect()))
+
+
+def test_votes_are_those_of_the_bases_alone(spark):
+    d, bases = _table(spark), ["linear_regression", "decision_tree", "ridge"]
+    lab = d.where("sii IS NOT NULL")
+    both = W.voting(d, ["a", "b", "c"], bases, [0.5, 0.3, 0.2]).orderBy("id").toPandas()
+    votes = []
+    for b in bases:
+        fitted = W.fit(W._weights(lab, "PCIAT-PCIAT_Total"), W.Recipe(["a", "b", "c"], b), "PCIAT-PCIAT_Total", "w")
+        votes.append(W.predict(fitted, lab).orderBy("id").toPandas()["pred"])
+        assert np.allclose(both[f"p_{b}"], votes[-1])
+    assert np.allclose(both["voted"], 0.5 * votes[0] + 0.3 * votes[1] + 0.2 * votes[2])
+
+
+def test_pseudo_labelled_rows_are_their_source_rows(spark):
+    d = _table(spark)
+    source = {r.id: (r.a, r.b, r.c) for r in d.collect()}
+    r = W.Recipe(["a", "b", "c"], "random_forest", {"n_estimators": 5, "max_depth": 3})
+    fitted = W.fit(W._weights(d.where("sii IS NOT NULL"), "PCIAT-PCIAT_Total"), r, "PCIAT-PCIAT_Total", "w")
+    kept = W.pseudo_rows_regressor(d, fitted, r, "sii", "PCIAT-PCIAT_Total").collect()
+    n = d.where("sii IS NULL").count()
+    assert n / 5 < len(kept) < n / 2                       # the quarter with the least spread
+    assert all((x.a, x.b, x.c) == source[x.id] and x.sii is None for x in kept)
+    alone = {x.id: x.pred for x in W.predict(fitted, d).collect()}
+    assert all(abs(abs(alone[x.id]) - x["PCIAT-PCIAT_Total"]) < 1e-9 for x in kept)
+    # a model without a seed does not spread, so all rows stay
+    r = W.Recipe(["a", "b", "c"], "ridge", {"alpha": 1.0})
+    fitted = W.fit(W._weights(d.where("sii IS NOT NULL"), "PCIAT-PCIAT_Total"), r, "PCIAT-PCIAT_Total", "w")
+    lab, base = W._weights(d.where("sii IS NOT NULL"), "PCIAT-PCIAT_Total"), d.where("sii IS NULL")
+    for i in (1, 2):
+        base = W.predict(W.fit(lab, W._reseeded(r, i), "PCIAT-PCIAT_Total", "w"), base, f"p{i}")
+    assert base.where("abs(p1 - p2) > 1e-6").count() == 0
+    r = W.Recipe(["a", "b", "c"], "extra_trees_classifier", {"n_estimators": 5, "max_depth": 4})
+    fitted = W.fit(W._weights(d.where("sii IS NOT NULL"), "sii"), r, "sii", "w")
+    kept = W.pseudo_rows_classifier(d, fitted, "sii", 0.6).collect()
+    assert kept and all((x.a, x.b, x.c) == source[x.id] and x.sii in (0, 1, 2, 3) for x in kept)
+
+
 def test_stacking_predicts_a_test_table(spark):
     d = _table(spark)
     test = d.drop("sii", "PCIAT-PCIAT_Total").where("id % 2 = 0")
-    out = W.stacking(d, ["a", "b", "c"], ["linear_regression", "decision_tree"], k=2, test=test)
-    assert out.count() == 200 and out.where("stacked IS NULL").count() == 0
+    bases = ["linear_regression", "decision_tree"]
+    out = W.stacking(d, ["a", "b", "c"], bases, k=2, test=test).orderBy("id").toPandas()
+    assert len(out) == 200 and not out.stacked.isna().any()
+    for b in bases:
+        fitted = W.fit(W._weights(d.where("sii IS NOT NULL"), "PCIAT-PCIAT_Total"), W.Recipe(["a", "b", "c"], b), "PCIAT-PCIAT_Total", "w")
+        assert np.allclose(out[f"oof_{b}"], W.predict(fitted, test).orderBy("id").toPandas()["pred"])
 
 
 def test_interpolation_of_string_keys_and_many_columns(spark):
