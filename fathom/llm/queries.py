@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (bpe, cap_filters, chat_tree, golay_simhash, line_crf, line_windows, notices, subword_toxicity,
-               token_counts, winnow)
+from . import (bin_packing, bpe, cap_filters, chat_tree, golay_simhash, line_crf, line_windows, notices, spelling,
+               subword_toxicity, token_counts, whitening, winnow)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -141,3 +141,53 @@ def op9_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"), token_counts.public_vocabulary(), limit=512)
+
+
+@query
+def op11_bin_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bin_packing.pack(_table(spark, sf_dir, "documents"), bin_packing.public_vocabulary(), capacity=2048, end=0)
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"), components=4, scale=256.0)
+
+
+@query
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"), least_length=6, least_count=5, one_in=199, ratio=5)
+
+
+ORACLE["op13_spelling"] = r"""
+WITH RECURSIVE t AS (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+r AS (
+  SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run AS s, run, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[a-z\x{C0}-\x{FF}]{6,}')) AS run FROM documents) GROUP BY ALL),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(s, ''),
+           lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)] ELSE [195, unicode(c) - 64] END))),
+         lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1]))) AS h FROM r, t),
+w AS (
+  SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (
+    SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, CAST(h % length(run) AS BIGINT)) || substr(run, CAST(h % length(run) AS BIGINT) + 2)
+           ELSE run END AS word, n FROM h)
+  WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+d AS (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS less
+      FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS p FROM w)),
+near AS (
+  SELECT a.word, a.n, b.word AS other, b.n AS other_n FROM d a JOIN d b ON a.less = b.less AND a.p = b.p AND a.word <> b.word
+  UNION SELECT a.word, a.n, b.word, b.n FROM d a JOIN w b ON a.less = b.word
+  UNION SELECT b.word, b.n, a.word, a.n FROM d a JOIN w b ON a.less = b.word),
+best AS (
+  SELECT word, count(*) AS n_near, first(other ORDER BY other_n DESC, other) AS other, max(other_n) AS other_n FROM near GROUP BY word),
+f AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 5 * w.n THEN other END AS form,
+         CASE WHEN other_n >= 5 * w.n THEN other_n END AS form_n FROM w LEFT JOIN best USING (word)),
+chain AS (
+  SELECT word, word AS at FROM f UNION ALL SELECT chain.word, f.form FROM chain JOIN f ON f.word = chain.at WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, chain.at AS root, f.n, f.n_near, f.form_n
+FROM f JOIN chain ON chain.word = f.word JOIN f AS last ON last.word = chain.at AND last.form IS NULL
+"""
