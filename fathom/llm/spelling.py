@@ -282,7 +282,7 @@ def group(counted: DataFrame, ratio: int = 5, node_rows: int | None = None) -> D
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(path_of(counts_of(b.column(0))))], names=["word", "n", "path"])
 
     vocabulary = checkpoint(counted.select("word", "n").mapInArrow(paths, "word string, n long, path long"))
-    node_rows = node_rows or max(1024, vocabulary.count() // 512)
+    node_rows = node_rows or max(1024, vocabulary.count() // 16384)
     upper = _upper(vocabulary, node_rows)
     groups = _dealt(vocabulary, upper).repartition("trie").sortWithinPartitions("trie")
     best = F.min(F.struct((-F.col("form_n")).alias("less"), "form"))

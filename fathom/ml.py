@@ -59,7 +59,7 @@ class OrdinalCuts(Transformer, HasPredictionCol, HasOutputCol, DefaultParamsRead
 
 class _Preparation(Params):
     features = Param(Params._dummy(), "features", "columns to impute and scale", TypeConverters.toListString)
-    imputer = Param(Params._dummy(), "imputer", "mean, median, most_frequent, lasso, linear, nearest or pchip",
+    imputer = Param(Params._dummy(), "imputer", "mean, median, most_frequent, knn:<neighbours>:<weights>, lasso, linear, nearest or pchip",
                     TypeConverters.toString)
     scaler = Param(Params._dummy(), "scaler", "standard, minmax, maxabs, robust, quantile or power", TypeConverters.toString)
     key = Param(Params._dummy(), "key", "row order of the interpolating imputers", TypeConverters.toString)

@@ -5,6 +5,7 @@ on iterative fits that SQL cannot express). Inputs: the participant fixture
 
 from __future__ import annotations
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from fathom import constants as K
@@ -13,10 +14,12 @@ from fathom.operators import clean
 from fathom.operators.series import describe_series
 from fathom import ml
 from fathom.plans import workflows as W
+from fathom.plans.estimators import KnnRegressor
 from fathom.plans.fixtures import participants, participants_cte, q
+from fathom.plans.q_prep import _knn_mean_sql
 from fathom.plans.q_series import events_prepared
 from fathom.plans.registry import ORACLE, query
-from fathom.plans.tables import round_doubles, table
+from fathom.plans.tables import rnd, round_doubles, table
 from fathom.session import shared_folder
 from fathom.sources import readers, sinks
 from fathom.sources.materialize import materialize
@@ -121,6 +124,34 @@ def q_impute_model(spark, sf_dir):
     return round_doubles(a.unionByName(b).select("id", *[F.col(f"`{c}`") for c in cols]))
 
 
+KNN_FEATS = ["Physical-HeartRate", "BIA-BIA_Fat", "FGC-FGC_CU", "Basic_Demos-Age"]
+KNN = 25
+
+
+def _knn_regressor_sql():
+    names = ", ".join(f"{q(c)} AS c{i}" for i, c in enumerate(KNN_FEATS))
+    cols = ", ".join(f"c{i}" for i in range(len(KNN_FEATS)))
+    total = " + ".join(f"(x.c{i} - d.c{i}) * (x.c{i} - d.c{i})" for i in range(len(KNN_FEATS)))
+    same = " AND ".join(f"x.c{i} = r.c{i}" for i in range(len(KNN_FEATS)))
+    n = len(KNN_FEATS)
+    return (f"WITH {participants_cte()}, r AS (SELECT id, split, {q(K.PCIAT_TOTAL)} AS y, {names} FROM participants), "
+            f"x AS (SELECT row_number() OVER (ORDER BY {cols}) AS key, * FROM (SELECT DISTINCT {cols} FROM r WHERE split = 'test')), "
+            f"d AS (SELECT {cols}, y, least(count(*), {KNN}) AS w FROM r WHERE split = 'train' AND y IS NOT NULL GROUP BY ALL), "
+            f"best AS (SELECT key, unnest(min({{'d2': d2, 'v': y, 'w': w}}, {KNN})) AS s FROM (SELECT key, ({total}) * {n} / {n} AS d2, y, w FROM x, d) GROUP BY key), "
+            f"{_knn_mean_sql(KNN)}\nSELECT r.id, {rnd('uniform')} AS uniform, {rnd('distance')} AS distance FROM r JOIN x ON {same} JOIN filled USING (key) WHERE split = 'test'")
+
+
+@query("knn_regressor", _knn_regressor_sql())
+def q_knn_regressor(spark, sf_dir):
+    """Scores of the test rows by the nearest labelled train rows, both weightings, through the fitted stage."""
+    p = participants(spark, sf_dir).select("id", "split", *[F.col(f"`{c}`") for c in KNN_FEATS], F.col(f"`{K.PCIAT_TOTAL}`").alias("label"))
+    rows = VectorAssembler(inputCols=KNN_FEATS, outputCol="features").transform(p).select("id", "split", "features", "label")
+    train, out = rows.where("split = 'train' AND label IS NOT NULL"), rows.where("split = 'test'").select("id", "features")
+    for weights in ("uniform", "distance"):
+        out = KnnRegressor(nNeighbors=KNN, weights=weights, predictionCol=weights).fit(train).transform(out)
+    return round_doubles(out.drop("features"))
+
+
 @query("pca_embed")
 def q_pca_embed(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")

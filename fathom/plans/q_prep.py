@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from fathom.operators import interpolate as interp
 from fathom.operators import scale
+from fathom.operators.neighbours import impute_knn
 from fathom.plans.fixtures import participants, participants_cte, q
 from fathom.plans.registry import query
 from fathom.plans.tables import rnd, round_doubles, table
@@ -57,6 +58,48 @@ def q_impute_mode(spark, sf_dir):
     return round_doubles(scale.impute(p, COLS, "most_frequent", fit_on=train))
 
 
+KNN_COLS = ["Physical-BMI", "BIA-BIA_BMI", "FGC-FGC_SRR", "BIA-BIA_FMI"]
+KNN = 5
+
+
+def _knn_mean_sql(k: int) -> str:
+    """From ``best`` (keys, ``s``: struct of d2, v, w of the k least rows): both means per key."""
+    return (f"used AS (SELECT key, s.d2 AS d2, s.v AS v, greatest(least(s.w, {k} - coalesce(sum(s.w) OVER (PARTITION BY key ORDER BY s "
+            "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)), 0) AS u, min(s.d2) OVER (PARTITION BY key) AS nearest FROM best), "
+            "filled AS (SELECT key, sum(u * v) / sum(u) AS uniform, CASE WHEN any_value(nearest) = 0 THEN sum(u * v) FILTER (d2 = 0) / sum(u) FILTER (d2 = 0) "
+            "ELSE sum(u * v / sqrt(d2)) / sum(u / sqrt(d2)) END AS distance FROM used GROUP BY key)")
+
+
+def _knn_sql() -> str:
+    names = ", ".join(f"{q(c)} AS c{i}" for i, c in enumerate(KNN_COLS))
+    m = len(KNN_COLS)
+    cols = ", ".join(f"c{i}" for i in range(m))
+    same = " AND ".join(f"x.c{i} IS NOT DISTINCT FROM r.c{i}" for i in range(m))
+    total = " + ".join(f"coalesce((x.c{i} - d.c{i}) * (x.c{i} - d.c{i}), 0.0)" for i in range(m))
+    shared = " + ".join(f"CAST(x.c{i} IS NOT NULL AND d.c{i} IS NOT NULL AS INT)" for i in range(m))
+    best = " UNION ALL ".join(
+        f"SELECT {{'x': x, 't': {t}}} AS key, unnest(min({{'d2': d2, 'v': y{t}, 'w': w}}, {KNN})) AS s FROM pairs WHERE x{t} IS NULL AND y{t} IS NOT NULL GROUP BY x"
+        for t in range(m))
+    pairs = ", ".join(f"x.c{i} AS x{i}, d.c{i} AS y{i}" for i in range(m))
+    out = lambda how: ", ".join(f"{rnd(f'coalesce(r.c{t}, f{t}.{how})')} AS {q(c)}" for t, c in enumerate(KNN_COLS))
+    fills = " ".join(f"LEFT JOIN filled f{t} ON f{t}.key = {{'x': x.n, 't': {t}}}" for t in range(m))
+    return (f"WITH {_P}, r AS (SELECT id, split, {names} FROM participants), "
+            f"x AS (SELECT row_number() OVER (ORDER BY {cols}) AS n, * FROM (SELECT DISTINCT {cols} FROM r WHERE {' OR '.join(f'c{i} IS NULL' for i in range(m))})), "
+            f"d AS (SELECT {cols}, least(count(*), {KNN}) AS w FROM r WHERE split = 'train' GROUP BY ALL), "
+            f"pairs AS (SELECT x.n AS x, {pairs}, w, ({total}) * {m} / ({shared}) AS d2 FROM x JOIN d ON ({shared}) > 0), "
+            f"best AS ({best}), {_knn_mean_sql(KNN)}\n"
+            + " UNION ALL ".join(f"SELECT r.id, r.split, '{how}' AS weights, {out(how)} FROM r LEFT JOIN x ON {same} {fills}" for how in ("uniform", "distance")))
+
+
+@query("impute_knn", _knn_sql())
+def q_impute_knn(spark, sf_dir):
+    """Both weightings of the k-NN imputer; donors are the train rows."""
+    p = participants(spark, sf_dir).select("id", "split", *[F.col(f"`{c}`") for c in KNN_COLS])
+    train = p.filter(F.col("split") == "train")
+    both = [impute_knn(p, train, KNN_COLS, KNN, w).withColumn("weights", F.lit(w)) for w in ("uniform", "distance")]
+    return round_doubles(both[0].unionByName(both[1]))
+
+
 # ------------------------------------------------------------------ scalers
 def _nz(e):
     return f"coalesce(nullif({e}, 0), 1.0)"

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import random
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
@@ -24,9 +25,11 @@ from fathom import constants as K
 from fathom.functions.exprs import col_of, ordinal_round
 from fathom.operators import clean, combine, encode, evaluate, folds, lasso, scale, stats
 from fathom.operators.interpolate import interpolate
+from fathom.operators.neighbours import impute_knn
 from fathom.operators.ordered import exact_quantiles
 from fathom.plans.models import FEATURES, IMPUTER_SPACE, LABEL, PRED, REGISTRY, SCALER_SPACE, SPACES, WEIGHT, \
     effective, importance_vector, make_estimator, sample_params
+from fathom.session import shared_folder
 
 
 # ------------------------------------------------------------------ preprocessing
@@ -58,6 +61,11 @@ ROWS_PER_CHUNK = 1_000_000
 def _impute_fit(train: DataFrame, r: Recipe):
     if r.imputer in ("mean", "median", "most_frequent"):
         return ("simple", scale.fit_impute(train, r.features, r.imputer))
+    if r.imputer.startswith("knn:"):                  # knn:<neighbours>:<weights>; the rows themselves are what is learnt
+        _, k, weights = r.imputer.split(":")
+        path = f"{shared_folder(train.sparkSession)}/fathom-donors-{uuid.uuid4().hex}"
+        train.select(*[col_of(c).cast("double").alias(c) for c in r.features]).write.parquet(path)
+        return ("knn", {"path": path, "k": int(k), "weights": weights})
     if r.imputer == "lasso":
         return ("lasso", fit_model_imputer(train, r.features, na_frac=0.4))
     return ("interp", r.imputer)
@@ -80,6 +88,8 @@ def _impute_apply(df: DataFrame, r: Recipe, fit, means: dict) -> DataFrame:
     kind, p = fit
     if kind == "simple":
         d = stats.fill_with(df, p)
+    elif kind == "knn":
+        d = impute_knn(df, df.sparkSession.read.parquet(p["path"]), r.features, p["k"], p["weights"])
     elif kind == "lasso":
         d = apply_model_imputer(df, p)
     else:
@@ -305,10 +315,10 @@ def mean_scores(cv: DataFrame, split: str = "val") -> DataFrame:
 # ------------------------------------------------------------------ search
 def _imputer_of(p: dict) -> str:
     return {"SimpleImputer": p["imputer_strategy"], "InterpolationTransformer": p["interpolation_method"],
-            "LassoImputer": "lasso"}[p["imputer"]]
+            "KNNImputer": f"knn:{p.get('imputer_neighbors')}:{p.get('imputer_weights')}", "LassoImputer": "lasso"}[p["imputer"]]
 
 
-_PREPARATION = ("imputer", "imputer_strategy", "interpolation_method", "scaler")
+_PREPARATION = ("imputer", "imputer_neighbors", "imputer_weights", "imputer_strategy", "interpolation_method", "scaler")
 _TRIAL_SCHEMA = "trial int, estimator string, params string, value double, features array<string>"
 
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -66,7 +68,6 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not conf_dir:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set; it has to name a folder that all executors share")
-        import tempfile
         conf_dir = tempfile.mkdtemp(prefix="fathom-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
@@ -86,3 +87,25 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the Python workers (once per application), so that a
+    job also runs where the package is not installed on the executors."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    top = os.path.dirname(os.path.abspath(__file__))
+    name = os.path.basename(top)
+    path = os.path.join(tempfile.mkdtemp(prefix=f"{name}-ship-"), f"{name}.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, files in os.walk(top):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(folder, f)
+                    z.write(full, os.path.join(name, os.path.relpath(full, top)))
+    sc.addPyFile(path)
+    _SHIPPED.add(sc.applicationId)
