@@ -11,30 +11,30 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.exprs import col_of
-from fathom.operators.ordered import exact_quantiles
+from fathom.operators.ordered import by_range, chunked_row_number, exact_quantiles
+from fathom.session import cut_lineage
 
 
 # ------------------------------------------------------------------ codes
-def code_table(values: DataFrame, column: str, order: str = "alphabetical",
-               first_seen: Column | None = None) -> DataFrame:
-    """Distinct values of ``column`` -> 0-based integer code.
+def code_tables(values: DataFrame, columns: Sequence[str], order: str = "alphabetical", first_seen: Column | None = None,
+                rows_per_chunk: int = 1_000_000) -> dict[str, DataFrame]:
+    """For every column: its distinct values -> 0-based integer codes (``value``, ``code``).
 
-    ``alphabetical``: ascending, NULL last (deterministic stand-in for the
-    reference's set order). ``first_seen``: by the smallest ``first_seen``
-    order key of each value. The window runs over the *distinct values* only.
+    ``alphabetical``: ascending, NULL last (deterministic stand-in for the reference's set order). ``first_seen``: by
+    the smallest ``first_seen`` order key of each value. The distinct values of all columns are numbered together: laid out
+    by ranges, numbered within a range, plus the totals of the ranges before, so a column may have any number of values.
     """
-    v = col_of(column)
-    if order == "first_seen":
-        d = values.groupBy(v.alias("value")).agg(F.min(first_seen).alias("__first"))
-        w = Window.orderBy(F.col("__first"))
-    else:
-        d = values.select(v.alias("value")).distinct()
-        w = Window.orderBy(F.col("value").asc_nulls_last())
-    return d.select("value", (F.row_number().over(w) - 1).cast("int").alias("code"))
+    seen = first_seen if order == "first_seen" else F.lit(0)
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), col_of(c).alias("value")) for i, c in enumerate(columns)])
+    d = (values.select(F.explode(cells).alias("s"), seen.alias("first")).groupBy("s.c", "s.value").agg(F.min("first").alias("first")))
+    along = [F.col("c"), F.col("first").asc_nulls_last(), F.col("value").asc_nulls_last()]
+    d = by_range(cut_lineage(d), along, rows_per_chunk)
+    d = cut_lineage(chunked_row_number(d, ["c"], along[1:], F.col("__range"), "code"))
+    return {c: d.where(F.col("c") == i).select("value", (F.col("code") - 1).cast("int").alias("code")) for i, c in enumerate(columns)}
 
 
 def apply_codes(df: DataFrame, column: str, codes: DataFrame, out: str | None = None) -> DataFrame:
@@ -54,8 +54,8 @@ def shared_codes(train: DataFrame, test: DataFrame, columns: Sequence[str]) -> t
     All code tables are built from the untouched inputs before any is applied
     (a code table built from an already-coded frame would repeat that frame's
     plan once per column)."""
-    tables = {c: code_table(train.select(col_of(c).alias(c)).union(test.select(col_of(c).alias(c))), c)
-              for c in columns}
+    only = [col_of(c) for c in columns]
+    tables = code_tables(train.select(*only).union(test.select(*only)), columns)
     for c in columns:
         train = apply_codes(train, c, tables[c])
         test = apply_codes(test, c, tables[c])
@@ -67,7 +67,7 @@ def first_seen_codes(df: DataFrame, columns: Sequence[str], order_key: Column,
     """Fill NULL with ``missing`` and code values by first appearance along ``order_key``."""
     filled = df.select(*[F.coalesce(col_of(x), F.lit(missing)).alias(x) if x in columns else col_of(x)
                          for x in df.columns])
-    tables = {c: code_table(filled, c, order="first_seen", first_seen=order_key) for c in columns}
+    tables = code_tables(filled, columns, "first_seen", order_key)
     out = filled
     for c in columns:
         out = apply_codes(out, c, tables[c])

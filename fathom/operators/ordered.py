@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType
 
 from fathom.functions.exprs import col_of
+from fathom.session import cut_lineage
 
 _CH = "__chunk"
 
@@ -34,6 +35,17 @@ def _cols(cs: Sequence[str | Column]) -> list[Column]:
     return [col_of(c) for c in cs]
 
 
+def by_range(df: DataFrame, order_by: Sequence[str | Column], rows_per_chunk: int = 1_000_000, out: str = "__range",
+             rows: int | None = None) -> DataFrame:
+    """``df`` with a chunk number ``out`` that does not fall along ``order_by``: rows are laid out by ranges of it (bounds from
+    Spark's sampled range partitioner, so none are collected or compared row by row) and kept so by a checkpoint. Equal
+    orders share a chunk. ``rows``: the number of rows if it is known; one chunk is not laid out at all."""
+    chunks = -(-(df.count() if rows is None else rows) // rows_per_chunk)
+    if chunks <= 1:
+        return df.withColumn(out, F.lit(0))
+    return cut_lineage(df.repartitionByRange(chunks, *_cols(order_by)).withColumn(out, F.spark_partition_id()))
+
+
 def chunked_row_number(df: DataFrame, partition_by: Sequence[str], order_by: Sequence[str | Column],
                        chunk: Column, out: str = "rn") -> DataFrame:
     """Exact ``row_number() over (partition by P order by O)``.
@@ -154,10 +166,9 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
 
     Cells are counted per (column, value) with map-side combining, so ties -- also
     one value on half of the rows -- are a single row from then on. The distinct
-    values of a column are cut into chunks of about ``rows_per_chunk`` rows (bounds
-    from ``percentile_approx``; a column that fits one chunk needs none); chunk
-    totals tell which chunks hold a wanted rank, and only these are sorted for their
-    prefix counts. The fit result (a few numbers per column) goes to the driver.
+    values are laid out by ranges (see :func:`by_range`; not if every column fits one
+    chunk); chunk totals tell which chunks hold a wanted rank, and only these are sorted for
+    their prefix counts. The fit result (a few numbers per column) goes to the driver.
     """
     cols = list(columns)
     if not cols:
@@ -167,17 +178,8 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
               .groupBy("f", "x").agg(F.count(F.lit(1)).alias("n")))
     rows = df.agg(*[F.count(col_of(c).cast("double")).alias(f"n{i}") for i, c in enumerate(cols)]).first()
     n = [int(rows[f"n{i}"]) for i in range(len(cols))]
-    n_chunks = [-(-k // rows_per_chunk) for k in n]
-    split = [i for i in range(len(cols)) if n_chunks[i] > 1]
-    chunk = F.lit(0)
-    if split:
-        inner = {i: [k / n_chunks[i] for k in range(1, n_chunks[i])] for i in split}
-        bounds = df.agg(*[F.percentile_approx(col_of(cols[i]).cast("double"), inner[i], 10 * n_chunks[i]).alias(f"b{i}")
-                          for i in split]).first()
-        for i in split:
-            at = F.array(*[F.lit(float(b)) for b in sorted(set(bounds[f"b{i}"]))])
-            chunk = F.when(F.col("f") == i, F.size(F.filter(at, lambda b: b <= F.col("x")))).otherwise(chunk)
-    counts = counts.withColumn("chunk", chunk)
+    split = [i for i in range(len(cols)) if n[i] > rows_per_chunk]
+    counts = by_range(counts, ["f", "x"], rows_per_chunk, "chunk", sum(n) if split else 0)
     wanted: dict[int, list[tuple[int, int, float]]] = {}
     for i in range(len(cols)):
         h = [(n[i] - 1) * float(p) for p in probs] if n[i] else []
@@ -216,3 +218,39 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float
             vals.append(a if frac == 0 else a + (b - a) * frac)
         out[c] = vals or [None] * len(probs)
     return out
+
+
+def key_quantiles(df: DataFrame, key: Sequence[str], columns: Sequence[str], probs: Sequence[float],
+                  rows_per_chunk: int = 1_000_000, rows: int | None = None) -> DataFrame:
+    """Exact linear-interpolation quantiles of every (key, column): ``key``, ``f`` (number of the column), ``n`` (values that are
+    not null) and ``q`` (one number per probability). Keys without values have no row.
+
+    Cells are counted per (key, column, value) with map-side combining and laid out by ranges of these three, so
+    also a key of half of all rows, none alike, is spread over tasks. The totals of a key's chunks tell which ones
+    hold its wanted ranks; prefix counts run inside a chunk. No task and no buffer holds a key's values."""
+    K = list(key)
+    cells = F.array(*[F.struct(F.lit(i).alias("f"), col_of(c).cast("double").alias("x")) for i, c in enumerate(columns)])
+    counts = (df.select(*_cols(K), F.explode(cells).alias("s")).select(*_cols(K), "s.f", "s.x").where(F.col("x").isNotNull())
+              .groupBy(*_cols(K), "f", "x").agg(F.count(F.lit(1)).alias("n")))
+    rows = df.count() if rows is None else rows
+    counts = by_range(counts, [*K, "f", "x"], rows_per_chunk, "__range", rows * len(list(columns)))
+    group = [*_cols(K), F.col("f")]
+    totals = counts.groupBy(*group, "__range").agg(F.sum("n").alias("__in"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*group, "__range", "__in", F.coalesce(F.sum("__in").over(before), F.lit(0)).alias("__ahead"), F.sum("__in").over(whole).alias("__all"))
+    h = [(F.col("__all") - 1) * F.lit(float(p)) for p in probs]
+    ranks = F.array(*[r.cast("long") for x in h for r in (F.floor(x) + 1, F.ceil(x) + 1)])
+    here = F.filter(F.array_distinct(ranks), lambda r: (r > F.col("__ahead")) & (r <= F.col("__ahead") + F.col("__in")))
+    totals = totals.withColumn("__ranks", here).where(F.size("__ranks") > 0)
+    inside = Window.partitionBy(*group, "__range").orderBy("x")
+    found = (counts.join(totals, [*K, "f", "__range"]).withColumn("__upto", F.sum("n").over(inside) + F.col("__ahead"))
+             .withColumn("__hit", F.filter("__ranks", lambda r: (r > F.col("__upto") - F.col("n")) & (r <= F.col("__upto"))))
+             .where(F.size("__hit") > 0).select(*group, "__all", "x", F.explode("__hit").alias("__rank")))
+    at = found.groupBy(*group).agg(F.first("__all").alias("__all"),                      # two ranks per probability
+                                   F.map_from_entries(F.collect_list(F.struct("__rank", "x"))).alias("__at"))
+    out = []
+    for x in h:
+        low, high = (F.try_element_at("__at", (r + 1).cast("long")) for r in (F.floor(x), F.ceil(x)))
+        out.append(low + (high - low) * (x - F.floor(x)))
+    return at.select(*group, F.col("__all").alias("n"), F.array(*out).alias("q"))

@@ -9,8 +9,8 @@
 
 Every summary is one ``groupBy(key).agg`` of algebraic aggregates, so Spark
 combines partial aggregates map-side and a hot key costs no more than a cold
-one. The only ordered step, the masked difference, goes through the chunked
-neighbour helper, which keeps each window task bounded by the chunk size.
+one. The ordered steps, exact quantiles and the masked difference, go through the chunked
+helpers of ``ordered``, which keep each window task bounded by the chunk size.
 """
 
 from __future__ import annotations
@@ -21,44 +21,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fathom.functions.exprs import col_of
-from fathom.operators.ordered import chunked_neighbors, nth
+from fathom.operators.ordered import chunked_neighbors, key_quantiles, nth
 
 DESCRIBE_STATS = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
 
 
 def describe_series(df: DataFrame, key: str, columns: Sequence[str], exact: bool = True,
-                    accuracy: int = 10000, stat_prefix: str = "Stat_") -> DataFrame:
+                    accuracy: int = 10000, stat_prefix: str = "Stat_", rows_per_chunk: int = 1_000_000) -> DataFrame:
     """One row per key: the 8 describe statistics of every column, statistic-major.
 
-    Exact quantiles (``percentile``) keep a value->count map per group, bounded
-    by the number of *distinct* values of a series (fixed-precision sensors
-    repeat values heavily); ``exact=False`` switches to the mergeable
-    ``percentile_approx`` sketch for unbounded domains.
+    Exact quantiles come from ranks over counted values (:func:`key_quantiles`), so a hot series is spread over
+    tasks; ``exact=False`` switches to the mergeable ``percentile_approx`` sketch, one pass less.
     """
-    per_col = {}
-    for c in columns:
-        x = col_of(c).cast("double")
-        if exact:
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        else:
-            q = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), accuracy).cast("array<double>")
-        per_col[c] = {"count": F.count(x).cast("double"), "mean": F.avg(x), "std": F.stddev_samp(x),
-                      "min": F.min(x), "q": q, "max": F.max(x)}
+    probs = [0.25, 0.5, 0.75]
     aggs = []
     for c in columns:
-        for s, e in per_col[c].items():
-            aggs.append(e.alias(f"__{c}__{s}"))
+        x = col_of(c).cast("double")
+        aggs += [F.count(x).cast("double").alias(f"__{c}__count"), F.avg(x).alias(f"__{c}__mean"), F.stddev_samp(x).alias(f"__{c}__std"),
+                 F.min(x).alias(f"__{c}__min"), F.max(x).alias(f"__{c}__max")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, F.array(*map(F.lit, probs)), accuracy).cast("array<double>").alias(f"__{c}__q"))
     g = df.groupBy(col_of(key).alias(key)).agg(*aggs)
+    if exact:
+        quantiles = key_quantiles(df.select(col_of(key).alias("__key"), *[col_of(c) for c in columns]), ["__key"], columns, probs, rows_per_chunk)
+        per_key = quantiles.groupBy("__key").agg(*[F.max(F.when(F.col("f") == i, F.col("q"))).alias(f"__{c}__q") for i, c in enumerate(columns)])
+        g = g.join(per_key, col_of(key).eqNullSafe(F.col("__key")), "left")
     out = []
-    i = 0
     for s in DESCRIBE_STATS:
         for c in columns:
-            if s in ("25%", "50%", "75%"):
-                e = F.col(f"`__{c}__q`").getItem(["25%", "50%", "75%"].index(s))
-            else:
-                e = F.col(f"`__{c}__{s}`")
-            out.append(e.alias(f"{stat_prefix}{i}"))
-            i += 1
+            e = F.col(f"`__{c}__q`")[["25%", "50%", "75%"].index(s)] if s.endswith("%") else F.col(f"`__{c}__{s}`")
+            out.append(e.alias(f"{stat_prefix}{len(out)}"))
     return g.select(*out, F.col(key))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions.exprs import col_of
 from fathom.operators.encode import bin_index, fit_quantile_edges
+from fathom.operators.ordered import by_range
 
 # ------------------------------------------------------------------ basics
 
@@ -122,14 +123,6 @@ def erfc_expr(z: Column) -> Column:
     return t * F.exp(-z * z + poly)
 
 
-def _chunk_of(x: Column, bounds: list[float]) -> Column:
-    """Monotone chunk index of ``x`` from sorted boundaries (approximate
-    quantiles): only affects where the prefix-sum work runs, not results."""
-    if not bounds:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= x))
-
-
 #: Classes that a target may have where its values are handled one by one.
 MAX_CLASSES = 1000
 
@@ -149,8 +142,8 @@ def kendall_tau(df: DataFrame, target: str, features: Sequence[str], rows_per_ch
     ``S = C - D`` is computed from counts by (feature, x, class): for each
     distinct x, ``sum_b n_b(x) * sum_{a<b} (2 L_a(x) + n_a(x) - N_a)`` where
     ``L_a(x)`` is the number of class-a rows with a smaller x. ``L_a`` is a
-    prefix sum over x, done as a chunked window (chunks from approximate
-    quantiles of x) plus per-chunk offsets, so no task holds a whole feature.
+    prefix sum over x, done inside ranges of x plus the offsets of the ranges
+    before, so no task holds a whole feature.
     Rows with a NULL feature or target are skipped (pairwise complete).
     """
     y = col_of(target)
@@ -159,24 +152,14 @@ def kendall_tau(df: DataFrame, target: str, features: Sequence[str], rows_per_ch
     cls_idx = F.lit(None).cast("int")
     for i, c in enumerate(classes):
         cls_idx = F.when(y == F.lit(c), F.lit(i)).otherwise(cls_idx)
-    # approximate chunk boundaries per feature (one aggregate pass)
-    # (as many as keep a chunk at about rows_per_chunk rows)
-    n_chunks = -(-df.count() // rows_per_chunk)
-    probs = [i / n_chunks for i in range(1, n_chunks)]
-    qrow = df.agg(*[F.percentile_approx(col_of(f).cast("double"), probs, 10 * n_chunks).alias(f"q{i}")
-                    for i, f in enumerate(features)]).first() if probs else {}
-    chunk_expr = None
-    for i, f in enumerate(features):
-        b = sorted(set(v for v in ((qrow[f"q{i}"] if probs else None) or []) if v is not None))
-        e = _chunk_of(F.col("x"), b)
-        chunk_expr = F.when(F.col("feature") == F.lit(f), e) if chunk_expr is None else chunk_expr.when(F.col("feature") == F.lit(f), e)
     cells = F.array(*[F.struct(F.lit(f).alias("feature"), col_of(f).cast("double").alias("x")) for f in features])
     long = (df.select(cls_idx.alias("cls"), F.explode(cells).alias("s"))
               .select("s.feature", "s.x", "cls").filter(F.col("x").isNotNull() & F.col("cls").isNotNull()))
     # counts per distinct x, one column per class (partial aggregation map-side)
     cnt = long.groupBy("feature", "x").agg(*[F.sum(F.when(F.col("cls") == i, 1).otherwise(0)).cast("double").alias(f"n{i}")
                                              for i in range(K)])
-    cnt = cnt.withColumn("ch", chunk_expr.otherwise(F.lit(0)))
+    rows = df.count()
+    cnt = by_range(cnt, ["feature", "x"], rows_per_chunk, "ch", rows * len(features) if rows > rows_per_chunk else 0)
     # chunked prefix sums: L_a(x) = rows of class a with smaller x in the same feature
     w_in = Window.partitionBy("feature", "ch").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     for i in range(K):
@@ -185,9 +168,7 @@ def kendall_tau(df: DataFrame, target: str, features: Sequence[str], rows_per_ch
     w_ch = Window.partitionBy("feature").orderBy("ch").rowsBetween(Window.unboundedPreceding, -1)
     chunk_off = chunk_tot.select("feature", "ch", *[F.coalesce(F.sum(f"t{i}").over(w_ch), F.lit(0.0)).alias(f"o{i}")
                                                     for i in range(K)])
-    # chunk offsets and per-feature class totals: features x chunks and
-    # features rows -- bounded by parameters, so broadcast (no shuffle of cnt)
-    cnt = cnt.join(F.broadcast(chunk_off), ["feature", "ch"])
+    cnt = cnt.join(chunk_off, ["feature", "ch"])          # a row per range: cnt is already dealt out by these two
     totals = chunk_tot.groupBy("feature").agg(*[F.sum(f"t{i}").alias(f"tot{i}") for i in range(K)])
     cnt = cnt.join(F.broadcast(totals), "feature")
     s_terms = None

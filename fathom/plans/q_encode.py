@@ -68,6 +68,35 @@ def q_first_seen_codes(spark, sf_dir):
     return encode.first_seen_codes(both, ["prio", "status"], ord_key).select("o_orderkey", "split", "prio", "status")
 
 
+_SEASONS = [f"s{i}" for i in range(len(K.SEASON_COLUMNS))]
+_SEASONS_SQL = (f"{participants_cte()}, o AS (SELECT id, split, " + ", ".join(f"{q(c)} AS {s}" for c, s in zip(K.SEASON_COLUMNS, _SEASONS))
+                + " FROM participants), o2 AS (SELECT *, (CASE WHEN split = 'train' THEN 0 ELSE 1 END) * CAST(1000000000000000000 AS BIGINT) + id AS ord FROM o)")
+
+
+def _seasons(spark, sf_dir):
+    return participants(spark, sf_dir).select("id", "split", *[F.col(f"`{c}`").alias(s) for c, s in zip(K.SEASON_COLUMNS, _SEASONS)])
+
+
+def _coded_sql(tables, prefix, value):
+    return (f"WITH {_SEASONS_SQL}, {', '.join(map(tables, _SEASONS))}\nSELECT o2.id, o2.split, "
+            + ", ".join(f"{prefix}_{c}.code AS {c}" for c in _SEASONS) + " FROM o2 "
+            + " ".join(f"LEFT JOIN {prefix}_{c} ON {value(c)} IS NOT DISTINCT FROM {prefix}_{c}.value" for c in _SEASONS))
+
+
+@query("season_codes", _coded_sql(_codes_sql, "v", lambda c: f"o2.{c}"))
+def q_season_codes(spark, sf_dir):
+    """Shared codes of all ten categories of the participant table."""
+    tr, te = encode.shared_codes(*_split(_seasons(spark, sf_dir)), _SEASONS)
+    return tr.unionByName(te)
+
+
+@query("season_codes_first_seen", _coded_sql(_first_seen_sql, "f", lambda c: f"coalesce(o2.{c}, 'Missing')"))
+def q_season_codes_first_seen(spark, sf_dir):
+    rows = _seasons(spark, sf_dir)
+    ord_key = F.when(F.col("split") == "train", F.lit(0)).otherwise(F.lit(1)) * F.lit(10 ** 18) + F.col("id")
+    return encode.first_seen_codes(rows, _SEASONS, ord_key)
+
+
 @query("distinct_union",
        f"WITH {_ORDERS_SQL} SELECT DISTINCT prio FROM (SELECT prio FROM o WHERE split = 'train' "
        "UNION ALL SELECT prio FROM o WHERE split = 'test')")

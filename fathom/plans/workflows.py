@@ -26,7 +26,7 @@ from fathom.functions.exprs import col_of, ordinal_round
 from fathom.operators import clean, combine, encode, evaluate, folds, lasso, scale, stats
 from fathom.operators.interpolate import interpolate
 from fathom.operators.neighbours import impute_knn
-from fathom.operators.ordered import exact_quantiles
+from fathom.operators.ordered import by_range, exact_quantiles
 from fathom.plans.models import FEATURES, IMPUTER_SPACE, LABEL, PRED, REGISTRY, SCALER_SPACE, SPACES, WEIGHT, \
     effective, importance_vector, make_estimator, sample_params
 from fathom.session import shared_folder
@@ -71,19 +71,6 @@ def _impute_fit(train: DataFrame, r: Recipe):
     return ("interp", r.imputer)
 
 
-def _key_chunk(df: DataFrame, key: str) -> Column:
-    """A chunk number that does not fall along the order of ``key`` (of any orderable type):
-    bounds are keys of a hashed sample, about one per ``ROWS_PER_CHUNK`` rows."""
-    n = df.count()
-    chunks = -(-n // ROWS_PER_CHUNK)
-    if chunks <= 1:
-        return F.lit(0)
-    bounds = sorted(r[0] for r in df.where(col_of(key).isNotNull()).select(col_of(key).alias("k"))
-                    .where(F.pmod(F.xxhash64("k"), F.lit(ROWS_PER_CHUNK // 8)) == 0).collect())[7::8]
-    at = F.array(*[F.lit(b) for b in bounds])
-    return F.when(col_of(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(at, lambda b: b <= col_of(key))))
-
-
 def _impute_apply(df: DataFrame, r: Recipe, fit, means: dict) -> DataFrame:
     kind, p = fit
     if kind == "simple":
@@ -93,9 +80,9 @@ def _impute_apply(df: DataFrame, r: Recipe, fit, means: dict) -> DataFrame:
     elif kind == "lasso":
         d = apply_model_imputer(df, p)
     else:
-        # interpolate down the rows in key order (one global series, chunked by key bounds)
-        d = interpolate(df.withColumn("__one", F.lit(0)), r.features, p, ["__one"], [col_of(r.key)], _key_chunk(df, r.key))
-        d = d.drop("__one")
+        # interpolate down the rows in key order (one global series, in ranges of the key)
+        laid = by_range(df.withColumn("__one", F.lit(0)), [col_of(r.key).asc_nulls_first()], ROWS_PER_CHUNK)
+        d = interpolate(laid, r.features, p, ["__one"], [col_of(r.key)], F.col("__range")).drop("__one", "__range")
     return stats.fill_with(d, means)     # anything still missing: train mean
 
 
