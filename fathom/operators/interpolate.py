@@ -9,7 +9,10 @@ for a hot partition); the interpolant is then a closed-form column expression:
   known range, the line through the two nearest (extrapolation);
 * ``nearest`` -- nearest known point, half-way ties to the earlier point;
 * ``pchip``   -- monotone cubic Hermite (Fritsch-Butland harmonic slopes,
-  three-point edge slopes), extrapolated with the end pieces.
+  three-point edge slopes), extrapolated with the end pieces;
+* ``akima``   -- Hermite cubic whose slopes weigh the secants on either side by how
+  little the secants beyond them turn; two secants are continued past each end of
+  the known points, and nothing is extrapolated.
 
 A partition with fewer than two known values is left unchanged. Known
 values are never modified.
@@ -25,7 +28,7 @@ from pyspark.sql import functions as F
 from fathom.functions.exprs import col_of
 from fathom.operators.ordered import chunked_neighbors, chunked_row_number, nth
 
-METHODS = ("linear", "nearest", "pchip")
+METHODS = ("linear", "nearest", "pchip", "akima")
 
 
 def _pt(arr: str, i: int):
@@ -91,6 +94,35 @@ def _pchip_columns(d: DataFrame, x: Column, out: str) -> DataFrame:
                   "__xa", "__ya", "__xb", "__yb", "__xc", "__yc", "__xd", "__yd")
 
 
+def _akima_slope(m: Sequence[Column]) -> Column:
+    """Slope at a point from the two secants before it and the two after it; their mean turn decides, or, where
+    neither side turns, the outer two are averaged."""
+    after, before = F.abs(m[3] - m[2]), F.abs(m[1] - m[0])
+    turns = after + before > F.lit(1e-9) * (F.abs(m[0]) + F.abs(m[1]) + F.abs(m[2]) + F.abs(m[3]))
+    return F.when(turns, (after * m[1] + before * m[2]) / (after + before)).otherwise(F.lit(0.5) * (m[3] + m[0]))
+
+
+def _akima_columns(d: DataFrame, x: Column, P, N, out: str) -> DataFrame:
+    """Akima's value between the nearest known points (NULL outside), one projection step after the other. ``P`` and
+    ``N``: the three known points on either side, nearest first."""
+    secant = lambda a, b: (b[1] - a[1]) / (b[0] - a[0])
+    c = lambda n: F.col(n)
+    two = F.lit(2.0)
+    d = d.withColumns({"__s0": secant(P[2], P[1]), "__s1": secant(P[1], P[0]), "__s2": secant(P[0], N[0]),
+                       "__s3": secant(N[0], N[1]), "__s4": secant(N[1], N[2])})
+    # past an end secants go on by the last difference; between two points alone all are the one there is
+    d = d.withColumns({"__m1": F.coalesce(c("__s1"), two * c("__s2") - c("__s3"), c("__s2")),
+                       "__m3": F.coalesce(c("__s3"), two * c("__s2") - c("__s1"), c("__s2"))})
+    d = d.withColumns({"__m0": F.coalesce(c("__s0"), two * c("__m1") - c("__s2")), "__m4": F.coalesce(c("__s4"), two * c("__m3") - c("__s2"))})
+    d = d.withColumns({"__ta": _akima_slope([c("__m0"), c("__m1"), c("__s2"), c("__m3")]),
+                       "__tb": _akima_slope([c("__m1"), c("__s2"), c("__m3"), c("__m4")])})
+    d = d.withColumns({"__h": N[0][0] - P[0][0], "__t": x - P[0][0]})
+    square = (F.lit(3.0) * c("__s2") - two * c("__ta") - c("__tb")) / c("__h")
+    cube = (c("__ta") + c("__tb") - two * c("__s2")) / (c("__h") * c("__h"))
+    d = d.withColumn(out, P[0][1] + c("__t") * (c("__ta") + c("__t") * (square + c("__t") * cube)))
+    return d.drop("__h", "__t", "__ta", "__tb", *[f"__s{i}" for i in range(5)], *[f"__m{i}" for i in (0, 1, 3, 4)])
+
+
 def interpolate(df: DataFrame, columns: Sequence[str], method: str, partition_by: Sequence[str],
                 order_by: Sequence[str | Column], chunk: Column) -> DataFrame:
     """Fill NULLs of ``columns`` by interpolation within each partition.
@@ -99,7 +131,7 @@ def interpolate(df: DataFrame, columns: Sequence[str], method: str, partition_by
     neighbour pass, whatever their number."""
     if method not in METHODS:
         raise ValueError(f"unknown interpolation method {method!r}")
-    k = 3 if method == "pchip" else 2
+    k = 3 if method in ("pchip", "akima") else 2
     cols, P = list(columns), list(partition_by)
     d = chunked_row_number(df, P, order_by, chunk, out="__pos")
     x = F.col("__pos").cast("double")
@@ -141,6 +173,9 @@ def _fill(d: DataFrame, known: str, x: Column, v: Column, field: str, method: st
     elif method == "nearest":
         est = (F.when(has_p & has_n, F.when((x - P[0][0]) <= (N[0][0] - x), P[0][1]).otherwise(N[0][1]))
                 .when(has_n, N[0][1]).otherwise(P[0][1]))
+    elif method == "akima":
+        d = _akima_columns(d, x, P, N, "__est")
+        est = F.col("__est")
     else:
         # segment (A, B, C, D): interior, left end piece, or right end piece
         none = F.lit(None).cast("double")

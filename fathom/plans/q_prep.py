@@ -248,6 +248,25 @@ def _pchip_sql(A, B, C, D):
             f"+ (-2.0 * {t}*{t}*{t} + 3.0 * {t}*{t}) * {yc} + ({t}*{t}*{t} - {t}*{t}) * {hbc} * {dc})")
 
 
+def _akima_sql():
+    """Statement of its own: the secants and slopes are named step by step."""
+    secant = lambda a, b: f"({b}y - {a}y) / ({b}x - {a}x)"
+
+    def slope(m):
+        after, before = f"abs({m[3]} - {m[2]})", f"abs({m[1]} - {m[0]})"
+        size = " + ".join(f"abs({v})" for v in m)
+        return (f"CASE WHEN {after} + {before} > CAST(1e-9 AS DOUBLE) * ({size}) THEN ({after} * {m[1]} + {before} * {m[2]}) / ({after} + {before}) "
+                f"ELSE 0.5 * ({m[3]} + {m[0]}) END")
+
+    est = "p1y + t * (ta + t * ((3.0 * s2 - 2.0 * ta - tb) / h + t * ((ta + tb - 2.0 * s2) / (h * h))))"
+    return (f"WITH {_EVH}, sec AS (SELECT *, {secant('p3', 'p2')} AS s0, {secant('p2', 'p1')} AS s1, {secant('p1', 'n1')} AS s2, "
+            f"{secant('n1', 'n2')} AS s3, {secant('n2', 'n3')} AS s4, n1x - p1x AS h, pos - p1x AS t FROM nb), "
+            "ext AS (SELECT *, coalesce(s1, 2.0 * s2 - s3, s2) AS m1, coalesce(s3, 2.0 * s2 - s1, s2) AS m3 FROM sec), "
+            "ext2 AS (SELECT *, coalesce(s0, 2.0 * m1 - s2) AS m0, coalesce(s4, 2.0 * m3 - s2) AS m4 FROM ext), "
+            f"sl AS (SELECT *, {slope(['m0', 'm1', 's2', 'm3'])} AS ta, {slope(['m1', 's2', 'm3', 'm4'])} AS tb FROM ext2)\n"
+            f"SELECT event_id, user_id, {rnd(f'CASE WHEN v IS NOT NULL OR nk < 2 THEN v ELSE {est} END')} AS v FROM sl")
+
+
 _NONE = ("CAST(NULL AS DOUBLE)", "CAST(NULL AS DOUBLE)")
 _PCHIP = (f"CASE WHEN p1x IS NOT NULL AND n1x IS NOT NULL THEN "
           f"{_pchip_sql(('p2x', 'p2y'), ('p1x', 'p1y'), ('n1x', 'n1y'), ('n2x', 'n2y'))} "
@@ -255,8 +274,8 @@ _PCHIP = (f"CASE WHEN p1x IS NOT NULL AND n1x IS NOT NULL THEN "
           f"ELSE {_pchip_sql(('p3x', 'p3y'), ('p2x', 'p2y'), ('p1x', 'p1y'), _NONE)} END")
 
 
-def _interp_query(name, method, est):
-    @query(name, _interp_sql(est))
+def _interp_query(name, method, sql):
+    @query(name, sql)
     def run(spark, sf_dir):
         ev = _events_holes(spark, sf_dir)
         out = interp.interpolate(ev, ["v"], method, ["user_id"], ["ts", "event_id"], F.date_trunc("day", F.col("ts")))
@@ -264,6 +283,7 @@ def _interp_query(name, method, est):
     return run
 
 
-_interp_query("interp_linear", "linear", _LINEAR)
-_interp_query("interp_nearest", "nearest", _NEAREST)
-_interp_query("interp_pchip", "pchip", _PCHIP)
+_interp_query("interp_linear", "linear", _interp_sql(_LINEAR))
+_interp_query("interp_nearest", "nearest", _interp_sql(_NEAREST))
+_interp_query("interp_pchip", "pchip", _interp_sql(_PCHIP))
+_interp_query("interp_akima", "akima", _akima_sql())

@@ -153,3 +153,46 @@ def test_tune_cuts_beats_initial_cuts(spark):
     base = evaluate.quadratic_weighted_kappa(df.withColumn("p", ordinal_round("pred", [0.5, 1.5, 2.5])), "y", "p")
     assert best.cut_1 < best.cut_2 < best.cut_3
     assert best.Kappa >= base.first()[0] - 1e-12
+
+
+def _akima(xs, ys, x):
+    """By the textbook, with the secants written out."""
+    n = len(xs)
+    m = [(b - a) / (d - c) for a, b, c, d in zip(ys, ys[1:], xs, xs[1:])]
+    m = [m[0]] * 2 + m + [m[0]] * 2 if n == 2 else [3 * m[0] - 2 * m[1], 2 * m[0] - m[1], *m, 2 * m[-1] - m[-2], 3 * m[-1] - 2 * m[-2]]
+    i = next(j for j in range(n - 1) if xs[j] <= x <= xs[j + 1])
+
+    def slope(j):
+        a, b, c, d = m[j:j + 4]
+        w, v = abs(d - c), abs(b - a)
+        return (w * b + v * c) / (w + v) if w + v > 1e-9 * (abs(a) + abs(b) + abs(c) + abs(d)) else (a + d) / 2
+
+    h, t, s, p, q = xs[i + 1] - xs[i], x - xs[i], m[i + 2], slope(i), slope(i + 1)
+    return ys[i] + p * t + (3 * s - 2 * p - q) / h * t ** 2 + (p + q - 2 * s) / h ** 2 * t ** 3
+
+
+def test_akima_against_its_definition_and_without_extrapolation(spark):
+    import numpy as np
+    from fathom.operators.interpolate import interpolate
+    rng = np.random.default_rng(8)
+    rows = []
+    for g, n in enumerate((60, 60, 5, 4, 3, 30)):
+        v = [None if rng.random() < 0.5 else float(rng.normal()) for _ in range(n)]
+        if g == 2:
+            v = [None, 1.0, None, 3.0, None]                 # two points: a line
+        elif g == 3:
+            v = [None, 1.0, None, None]                      # one: unchanged
+        elif g == 5:
+            v = [None if i % 3 else float(i) for i in range(n)]     # no turn anywhere
+        rows += [(g, i, x) for i, x in enumerate(v)]
+    d = spark.createDataFrame(rows, "g int, i int, v double").repartition(4)
+    got = {(r.g, r.i): r.v for r in interpolate(d, ["v"], "akima", ["g"], ["i"], F.floor(F.col("i") / 7)).collect()}
+    for g in range(6):
+        known = [(i + 1, x) for h, i, x in rows if h == g and x is not None]
+        for h, i, x in rows:
+            if h != g:
+                continue
+            if x is not None or len(known) < 2 or not known[0][0] <= i + 1 <= known[-1][0]:
+                assert got[g, i] == x
+            else:
+                assert abs(got[g, i] - _akima([k for k, _ in known], [v for _, v in known], i + 1)) < 1e-9
