@@ -192,8 +192,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, codes: int = 4,
               .repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi"))
     found = checkpoint(_verified(groups, threshold, lists, distinct.schema["node"], codes * directions ** 2))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
-    roots = connected_components(found.where(F.col("other").isNotNull()).select(
-        F.col("node").alias("u"), F.col("other").alias("v")))
+    edges = found.where(F.col("other").isNotNull()).select(F.col("node").alias("u"), F.col("other").alias("v"))
+    # an id with several vectors is one node: its vectors' nodes are tied to it
+    hashes = F.struct(F.xxhash64("vec"), F.hash("vec"))
+    several = checkpoint(rows.where(F.col("vec").isNotNull()).groupBy("id").agg(F.min(hashes).alias("a"), F.max(hashes).alias("b"))
+                         .where(F.col("a") != F.col("b")).select("id"))
+    if not several.isEmpty():
+        ties = rows.where(F.col("vec").isNotNull()).join(several, "id").join(distinct, "vec").select(F.col("id").alias("u"), F.col("node").alias("v"))
+        edges = edges.unionByName(ties)
+    roots = connected_components(edges)
     named = (distinct.join(links, "node", "left").join(roots, "node", "left").select(
         "vec", F.coalesce("links", F.lit(0)).alias("links"), "weight", F.coalesce("root", "node").alias("root")))
     return (rows.join(named, "vec", "left").select(

@@ -11,6 +11,10 @@ their id, with all their lines as long as these are at most ``max_lines`` togeth
 bound of what the driver holds). Beyond that the longest texts are thinned to a common number of lines, drawn over
 the whole text; as a text's lines share its label, this leaves the labels of neighbours as they are. Scoring covers every document and every line.
 
+A text over a megabyte is read in stretches (which see the lines around them) and its messages are passed over blocks of
+lines, so that scoring holds a few numbers per line and the features of one stretch; a single line is held whole, at
+some 30 bytes for each of its own. The driver holds the sampled lines once, in single precision (``max_lines`` rows of 69 numbers).
+
 Defined results: a null or empty text is one empty line; a line of white space counts as empty; without labelled
 rows the score is 0.5; null labels and null ids are not learnt from; labels that repeat an
 id each count; extra columns are ignored (scores) or pass through (:func:`keep_good`).
@@ -18,6 +22,7 @@ id each count; extra columns are ignored (scores) or pass through (:func:`keep_g
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -32,7 +37,7 @@ _CLASSES = ("upper", "lower", "digit", "space", "bar", "bang", "symbol", "other"
 
 
 def _class_table() -> np.ndarray:
-    table = np.full(256, _CLASSES.index("wide"))
+    table = np.full(256, _CLASSES.index("wide"), np.uint8)
     for b in range(128):
         c = chr(b)
         kind = ("upper" if c.isupper() else "lower" if c.islower() else "digit" if c.isdigit() else
@@ -43,6 +48,7 @@ def _class_table() -> np.ndarray:
 
 
 _TABLE = _class_table()
+_SPACES = "".join(c for c in map(chr, range(128)) if c.isspace())
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _SLICE = 1 << 20                           # bytes of text whose features are held at once
 _OWN = 22                                   # features of a line itself
@@ -62,8 +68,9 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     kind = _TABLE[data]
 
     def count(mask: np.ndarray) -> np.ndarray:
-        total = np.concatenate([[0], np.cumsum(mask)])
-        return total[ends] - total[starts]
+        total = np.zeros(len(mask) + 1, np.int32 if len(mask) < 1 << 31 else np.int64)
+        np.cumsum(mask, out=total[1:])
+        return (total[ends] - total[starts]).astype(np.int64)
 
     counts = {c: count(kind == i) for i, c in enumerate(_CLASSES)}
     solid = kind != _CLASSES.index("space")
@@ -80,6 +87,8 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     hashes = total[word_end] - total[word_at]
     again = np.zeros(len(data), bool)
     again[word_at[1:]] = hashes[1:] == hashes[:-1]
+    begins = np.searchsorted(word_at, text_starts[:-1])
+    again[word_at[begins[begins < len(word_at)]]] = False           # a text's first word repeats none
     last = np.zeros(len(data), np.uint8)
     last[word_end] = data[word_end - 1]
     marked = count((last == 33) | np.isin(last, np.frombuffer(b"#$%&*", np.uint8)))
@@ -101,13 +110,18 @@ def line_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.concatenate([own, prev, nxt, edges], axis=1), first, length
 
 
+def _rows(features: np.ndarray, most: int = 1 << 17):
+    """Blocks of rows, so that only one at a time is held in double precision."""
+    return [features[lo:lo + most] for lo in range(0, max(1, len(features)), most)]
+
+
 @dataclass
 class Model:
     weights: np.ndarray           # unary weight of "good"
     transitions: np.ndarray       # [label, label of the next line]
 
     def unary(self, features: np.ndarray) -> np.ndarray:
-        return features @ self.weights
+        return np.concatenate([f.astype(np.float64) @ self.weights for f in _rows(features)])
 
 
 def _columns(first: np.ndarray):
@@ -118,6 +132,76 @@ def _columns(first: np.ndarray):
     return order, np.searchsorted(-n[order], -np.arange(longest), side="left")
 
 
+def stretches(texts: list[str], most: int):
+    """The lines of the texts in their order, some at a time: :func:`line_features`' features, with the first line of every text that
+    begins here and its lines' lengths. A text over ``most`` bytes comes in stretches of about so many (one line at least), which see the
+    line before and after them, so that its features are never held together. Yields (features, first lines of texts, lengths)."""
+    for text in texts if any(len(t) * 4 > most for t in texts) else [None]:
+        if text is None or len(text) * 4 <= most:
+            features, first, length = line_features(texts if text is None else [text])
+            yield features, first[:-1], length
+            continue
+        lo = 0
+        while lo <= len(text):
+            hi = text.find("\n", lo + most // 4)
+            hi = len(text) if hi < 0 else hi
+            after = text.find("\n", hi + 1) if hi < len(text) else hi
+            part = text[lo:len(text) if after < 0 else after]
+            if lo:                                 # the line before, and before it the word that its first word may repeat
+                before = text.rfind("\n", 0, lo - 1) + 1
+                earlier = text[:before].rstrip(_SPACES)
+                part = earlier[max(map(earlier.rfind, _SPACES)) + 1:] + "\n" + text[before:lo] + part
+            features, _, length = line_features([part])
+            own = slice(2 if lo else 0, len(features) - (hi < len(text)))
+            yield features[own], np.zeros(0 if lo else 1, np.int64), length[own]
+            lo = hi + 1
+
+
+_LONG = 20_000                             # lines of a text whose messages are passed block by block
+
+
+def _messages(unary: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Log odds of "good" by the forward messages (with the line's own weight) along one long text, over about as many blocks as a
+    block has lines: all blocks are walked at once, first to see what each does to either state that may enter it, then with
+    what does enter."""
+    n = len(unary)
+    side = math.isqrt(n) + 1
+    blocks = -(-n // side)
+    u = np.concatenate([unary, np.zeros(blocks * side - n)]).reshape(blocks, side)
+
+    def step(message: np.ndarray, own: np.ndarray) -> np.ndarray:
+        message = np.logaddexp(message[..., :1] + transitions[0], message[..., 1:] + transitions[1])
+        message[..., 1] += own
+        return message
+
+    effect = np.tile(np.array([[0.0, -np.inf], [-np.inf, 0.0]]), (blocks, 1, 1))
+    for t in range(side):
+        effect = step(effect, u[:, t, None])
+    begin = np.array([0.0, u[0, 0]])
+    message = begin
+    for t in range(1, side):
+        message = step(message, u[0, t])
+    entering = np.zeros((blocks, 2))
+    for b in range(1, blocks):
+        entering[b] = message
+        message = np.logaddexp(message[0] + effect[b, 0], message[1] + effect[b, 1])
+    odds = np.empty((blocks, side))
+    for t in range(side):
+        entering = step(entering, u[:, t])
+        if t == 0:
+            entering[0] = begin                    # no line before the first
+        odds[:, t] = entering[:, 1] - entering[:, 0]
+    return odds.ravel()[:n]
+
+
+def _marginals(unary: np.ndarray, transitions: np.ndarray) -> np.ndarray:
+    """Marginals of "good" of one long text: messages from its begin and, read backwards, from its end."""
+    odds = _messages(unary, transitions)
+    odds += _messages(unary[::-1], transitions.T)[::-1]
+    odds -= unary
+    return 1 / (1 + np.exp(-odds))
+
+
 def forward_backward(unary: np.ndarray, transitions: np.ndarray, first: np.ndarray):
     """Marginals of "good", expected transitions, and log partition of every text."""
     order, alive = _columns(first)
@@ -156,7 +240,8 @@ def train(features: np.ndarray, first: np.ndarray, labels: np.ndarray, steps: in
     m, v = ([np.zeros_like(p) for p in params] for _ in range(2))
     for step in range(1, steps + 1):
         good, expected, _ = forward_backward(model.unary(features), model.transitions, first)
-        grads = [features.T @ (truth - good), same - expected]
+        miss = truth - good
+        grads = [sum(f.astype(np.float64).T @ m for f, m in zip(_rows(features), _rows(miss))), same - expected]
         for k, (p, g) in enumerate(zip(params, grads)):
             g = g / len(features) - decay * p
             m[k] = 0.9 * m[k] + 0.1 * g
@@ -184,30 +269,46 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
     def run(batches):
         for b in slices(batches, _SLICE):
-            features, first, _ = line_features(texts_of(b.column(1)))
-            for i, label in enumerate(b.column(2).to_pylist()):
-                some = features[first[i]:first[i + 1]]
-                if len(some) > most:
-                    some = some[np.sort(np.random.default_rng(len(some)).choice(len(some), most, replace=False))]
-                yield pa.RecordBatch.from_arrays([pa.array([some.astype(np.float32).tobytes()]), pa.array([label])],
-                                                 names=["features", "label"])
-
-    got = rows.select("id", "text", "label").mapInArrow(releasing(run), "features binary, label double").toPandas()
-    if not len(got):
+            for text, label in zip(texts_of(b.column(1)), b.column(2).to_pylist()):
+                n = text.count("\n") + 1
+                chosen = np.arange(n) if n <= most else np.sort(np.random.default_rng(n).choice(n, most, replace=False))
+                lines, some = 0, []
+                for features, _, _ in stretches([text], _SLICE):
+                    at = chosen[np.searchsorted(chosen, lines):np.searchsorted(chosen, lines + len(features))] - lines
+                    some.append(features[at].astype(np.float32).tobytes())
+                    lines += len(features)
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(some)]), pa.array([label])], names=["features", "label"])
+
+    got = rows.select("id", "text", "label").mapInArrow(releasing(run), "features binary, label double").toArrow().combine_chunks()
+    if not got.num_rows:
         return None
-    got = got.sort_values(["label", "features"])             # one order, however the tasks end
-    blocks = [np.frombuffer(f, np.float32).reshape(-1, N_FEATURES) for f in got.features]
-    first = np.cumsum([0, *map(len, blocks)])
-    return train(np.concatenate(blocks).astype(np.float64), first, got.label.to_numpy())
+    blocks, label = got.column("features").to_pylist(), got.column("label").to_numpy()
+    del got
+    order = sorted(range(len(label)), key=lambda i: (label[i], blocks[i]))       # one order, however the tasks end
+    first = np.cumsum([0, *(len(blocks[i]) // (4 * N_FEATURES) for i in order)])
+    features = np.empty((first[-1], N_FEATURES), np.float32)
+    for k, i in enumerate(order):
+        features[first[k]:first[k + 1]] = np.frombuffer(blocks[i], np.float32).reshape(-1, N_FEATURES)
+        blocks[i] = b""
+    return train(features, first, label[order])
 
 
 def _document_scores(texts: list[str], model: Model | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Scores of the texts, marginals of all their lines, and the first line of every text (and the end)."""
-    features, first, length = line_features(texts)
+    unary, first, length, lines = [], [], [], 0
+    for features, begins, sizes in stretches(texts, _SLICE):
+        unary.append(np.zeros(len(features)) if model is None else model.unary(features))
+        first.append(begins + lines)
+        length.append(sizes.astype(np.int32))
+        lines += len(features)
+    unary, length = np.concatenate(unary), np.concatenate(length)
+    first = np.concatenate([*first, [lines]])
     if model is None:
-        good = np.full(len(features), 0.5)
+        good = np.full(lines, 0.5)
+    elif len(texts) == 1 and lines > _LONG:
+        good = _marginals(unary, model.transitions)
     else:
-        good, _, _ = forward_backward(model.unary(features), model.transitions, first)
+        good, _, _ = forward_backward(unary, model.transitions, first)
     weight = length + 1.0
     scores = np.add.reduceat(weight * good, first[:-1]) / np.add.reduceat(weight, first[:-1])
     return np.clip(scores, 0, 1), good, first

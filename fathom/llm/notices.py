@@ -4,7 +4,8 @@ A text becomes its words (A-Z lower-cased) joined by single spaces. Base phrases
 exactly, at word boundaries. A notice that may hold up to ``e`` edits is split into ``e + 1``
 pieces; by pigeonhole one of them stands unedited in every match, so the pieces are searched
 as exact seeds and only the places around them are given to the regex library, whose
-bounded-error matching verifies the edits. Places that overlap are verified together, so a
+bounded-error matching verifies the edits. Places that overlap are verified together and walked once from
+left to right, every match taken with the fewest edits it can have there, so a
 text full of seeds costs no more than its length times the number of notices.
 
 Defined results: null and wordless texts have no words, no labels and score 0; rows are
@@ -43,7 +44,7 @@ class Notice:
         cuts = [round(k * len(words) / (edits + 1)) for k in range(edits + 2)]
         self.seeds = [(lo, self.text[lo:hi]) for lo, hi in zip(cuts, cuts[1:])]
         self.pattern = regex.compile(r"(?<= )(?:%s){e<=%d}(?= )" % (regex.escape(words, literal_spaces=True), edits),
-                                     regex.BESTMATCH)
+                                     regex.ENHANCEMATCH)
 
     def places(self, line: bytes) -> list[tuple[int, int]]:
         """Disjoint stretches of ``line`` that hold every match."""
@@ -63,28 +64,20 @@ class Notice:
                 merged.append((lo, hi))
         return merged
 
-    def _all(self, text: str):
-        """Matches in their order. A search gives the best of a stretch, so the parts before and after it are searched again."""
-        least = len(self.text) - self.edits
-        todo: list = [(0, len(text))]
-        while todo:
-            part = todo.pop()
-            if not isinstance(part, tuple):
-                yield part
-            elif part[1] - part[0] >= least and (m := self.pattern.search(text, *part)):
-                todo += [(m.end(), part[1]), m, (part[0], m.start())]
-
     def matches(self, line: bytes):
-        """(start and end in bytes, edits) of the verified matches."""
+        """(start and end in bytes, edits) of the verified matches, from left to right: every stretch is walked once."""
         for lo, hi in self.places(line):
             while lo and line[lo] & 0xC0 == 0x80:            # begin and end at a character
                 lo -= 1
             while hi < len(line) and line[hi] & 0xC0 == 0x80:
                 hi += 1
             text = line[lo:hi].decode()
-            for m in self._all(text):
-                start = lo + len(text[:m.start()].encode())
-                yield start, start + len(m.group().encode()), sum(m.fuzzy_counts)
+            at, start = 0, lo                                # characters and bytes passed
+            for m in self.pattern.finditer(text):
+                start += len(text[at:m.start()].encode())
+                size = len(m.group().encode())
+                yield start, start + size, sum(m.fuzzy_counts)
+                at, start = m.end(), start + size
 
 
 class Scanner:
@@ -109,9 +102,12 @@ class Scanner:
                 at = line.find(phrase, at + 1)
         spans = []
         for notice in self.notices:
+            seen, first = 0, -1
             for start, end, edits in notice.matches(line):
-                first = line.count(b" ", 0, start) - 1
-                spans.append((notice.label, first, first + line.count(b" ", start, end), edits))
+                first += line.count(b" ", seen, start)
+                last = first + line.count(b" ", start, end)
+                spans.append((notice.label, first, last, edits))
+                seen, first = end, last
         return len(words), base, spans
 
     def score(self, base, spans) -> float:

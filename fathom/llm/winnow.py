@@ -9,10 +9,12 @@ same offset on both sides, so joining the fingerprints finds every occurrence. E
 is then extended to the window it came from and compared word by word, so a hash
 collision never counts.
 
-Plan: documents are exploded only to their fingerprints (about ``2 / (w + 1)`` of the
-words); the join's other side is the benchmark, broadcast when its measured size is under
-``broadcast_bytes`` and shuffled otherwise; both sides aggregate before they meet again.
-A passage that a third of all documents share makes one row per document and window.
+Plan: one pass over the documents explodes the fingerprints for all window lengths (about ``2 / (w + 1)``
+of the words; every word where few different ones repeat) and meets the benchmark's distinct (length, hash, offset),
+so a k-gram that many items share counts once per offset. A meeting names a place; the words there are
+joined with the distinct windows before anything is gathered, so what a document gathers is at most
+its own words. The benchmark's side is broadcast while its measured size is under ``broadcast_bytes``, and texts are then
+never shuffled; beyond it, places are shuffled and brought back to their texts.
 
 Defined results: null or empty texts have no words and no hits; null items and items without
 words have no windows; rows with equal id and text are one document (each row is
@@ -80,56 +82,63 @@ def item_windows(bench: DataFrame, span: int = 10, id_col: str = "item_id", text
             .distinct())
 
 
+def _places(words: DataFrame, windows: DataFrame, lengths: list[int], broadcast: bool) -> DataFrame:
+    """``key``, ``at``, ``len`` and ``win`` (the words there) of every place of ``words`` (key, words) whose fingerprint, for one of
+    the window lengths, is that of a window of ``windows`` (win, len)."""
+    def prints(column: Column, length: int, around: bool = False) -> Column:
+        k = (length + 1) // 2
+        w = length - k + 1
+        # with the words of every window that could have chosen the k-gram: a text is never repeated per fingerprint
+        begin = lambda f: F.greatest(f["p"] - (w - 1), F.lit(0))
+        more = lambda f: [begin(f).alias("begin"), F.slice(column, begin(f) + 1, w - 1 + length).alias("around")]
+        return F.transform(fingerprints(column, k, w), lambda f: F.struct(
+            F.lit(length).alias("len"), f["h"].alias("h"), f["p"].alias("p"), *(more(f) if around else ())))
+
+    def first(at: Column) -> Column:
+        """One-based; also for places before the text, which Spark may look at before it drops them."""
+        return F.greatest(at + 1, F.lit(1))
+
+    own = reduce(DataFrame.unionByName, [windows.where(F.col("len") == n).select(F.explode(prints(F.col("win"), n)).alias("f"))
+                                         for n in lengths])
+    own = own.select("f.len", "f.h", F.col("f.p").alias("q")).distinct()
+    every = F.flatten(F.array(*[prints(F.col("words"), n, broadcast) for n in lengths]))
+    found = words.select("key", F.explode(every).alias("f")).select("key", "f.*")
+    met = found.join(F.broadcast(own) if broadcast else own, ["len", "h"]).where(F.col("p") >= F.col("q")).withColumn("at", F.col("p") - F.col("q"))
+    if broadcast:
+        return met.select("key", "at", "len", F.slice("around", first(F.col("at") - F.col("begin")), F.col("len")).alias("win"))
+    met = met.select("key", F.struct("len", "at").alias("f")).distinct().groupBy("key").agg(F.collect_list("f").alias("places"))   # some per word
+    there = F.transform("places", lambda f: F.struct(f["len"].alias("len"), f["at"].alias("at"),
+                                                     F.slice("words", first(f["at"]), f["len"]).alias("win")))
+    return words.dropDuplicates(["key"]).join(met, "key").select("key", F.explode(there).alias("f")).select("key", "f.at", "f.len", "f.win")
+
+
 def contamination(docs: DataFrame, bench: DataFrame, span: int = 10, id_col: str = "doc_id", text_col: str = "text",
                   item_col: str = "item_id", item_text_col: str = "text",
                   broadcast_bytes: int = 64 << 20) -> DataFrame:
     """One row per row of ``docs``: ``id_col``, ``key`` (see :func:`row_key`), ``n_words``,
     ``hit_words`` (sorted positions of the words inside occurrences of item windows) and
     ``item_ids`` (sorted strings)."""
-    rows = docs.select(F.col(id_col), F.col(text_col), row_key(id_col, text_col).alias("key"))
-    windows = item_windows(bench, span, item_col, item_text_col)
-    distinct_windows = windows.select("win", "len").distinct()
-    measured = (distinct_windows.groupBy("len").agg(F.sum(F.octet_length(F.array_join("win", " ")) + 64).alias("b"))
+    rows = docs.select(F.col(id_col), row_key(id_col, text_col).alias("key"), words_of(F.col(text_col)).alias("words"))
+    owned = checkpoint(item_windows(bench, span, item_col, item_text_col))
+    windows = checkpoint(owned.select("win", "len").distinct()).withColumn("wid", F.monotonically_increasing_id())
+    measured = (windows.groupBy("len").agg(F.sum(F.octet_length(F.array_join("win", " ")) + 64).alias("b"))
                 .collect())                                    # at most ``span`` rows
-    size = sum(r["b"] for r in measured)
-
-    def candidates(length: int) -> DataFrame:
-        k = (length + 1) // 2
-        w = length - k + 1
-        prints = (rows.select("key", F.explode(fingerprints(words_of(F.col(text_col)), k, w)).alias("f"))
-                  .select("key", F.col("f.h").alias("h"), F.col("f.p").alias("p")))
-        items = (distinct_windows.where(F.col("len") == length)
-                 .select("win", F.explode(fingerprints(F.col("win"), k, w)).alias("f"))
-                 .select("win", F.col("f.h").alias("h"), F.col("f.p").alias("q")))
-        if size <= broadcast_bytes:
-            items = F.broadcast(items)
-        return prints.join(items, "h").where(F.col("p") >= F.col("q")).select(
-            "key", F.struct((F.col("p") - F.col("q")).alias("at"), "win").alias("hit"))
-
-    plain = rows.select(F.col(id_col), F.col(text_col), "key")
-    if measured:
-        found = reduce(DataFrame.unionByName, [candidates(r["len"]) for r in sorted(measured, key=lambda r: r["len"])])
-        found = found.groupBy("key").agg(F.collect_set("hit").alias("hits"))
-        joined = plain.join(found, "key", "left")
-    else:
-        joined = plain.withColumn("hits", F.lit(None).cast("array<struct<at:int,win:array<string>>>"))
-
-    def extend(ws):
-        """Hits whose window stands there word for word."""
-        return F.struct(F.size(ws).alias("n_words"), F.filter(
-            F.coalesce(F.col("hits"), F.array().cast("array<struct<at:int,win:array<string>>>")),
-            lambda x: F.slice(ws, x["at"] + 1, F.size(x["win"])) == x["win"]).alias("hits"))
-
-    checked = joined.select(F.col(id_col), "key", _let(words_of(F.col(text_col)), extend).alias("x")).select(
-        F.col(id_col), "key", F.col("x.n_words").cast("long").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.transform(
-            "x.hits", lambda x: F.sequence(x["at"], x["at"] + F.size(x["win"]) - 1))))).alias("hit_words"),
-        F.array_distinct(F.transform("x.hits", lambda x: x["win"])).alias("wins"))
-    checked = checkpoint(checked)                              # read twice below; small
-    items = (checked.select("key", F.explode("wins").alias("win")).distinct().join(windows, "win")
+    plain = rows.select(F.col(id_col), "key", F.size("words").cast("long").alias("n_words"))
+    none = {"hit_words": F.array().cast("array<int>"), "item_ids": F.array().cast("array<string>")}
+    if not measured:
+        return plain.withColumns(none)
+    small = sum(r["b"] for r in measured) <= broadcast_bytes
+    places = _places(rows.select("key", "words"), windows, sorted(r["len"] for r in measured), small)
+    hits = places.join(F.broadcast(windows) if small else windows, ["win", "len"])
+    found = checkpoint(hits.groupBy("key").agg(F.collect_set(F.struct("at", "len")).alias("places"), F.collect_set("wid").alias("wids")))
+    positions = F.array_sort(F.array_distinct(F.flatten(F.transform(
+        "places", lambda x: F.sequence(x["at"], x["at"] + x["len"] - 1)))))
+    owners = owned.join(windows, ["win", "len"]).select("wid", "item")
+    items = (found.select("key", F.explode("wids").alias("wid")).join(owners, "wid")
              .groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("item_ids")))
-    return checked.drop("wins").join(items, "key", "left").withColumn(
-        "item_ids", F.coalesce("item_ids", F.array().cast("array<string>")))
+    found = found.select("key", positions.alias("hit_words")).join(items, "key")
+    return plain.join(found, "key", "left").select(
+        F.col(id_col), "key", "n_words", *[F.coalesce(c, e).alias(c) for c, e in none.items()])
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, span: int = 10, id_col: str = "doc_id",

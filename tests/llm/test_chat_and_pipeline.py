@@ -108,9 +108,24 @@ COLUMNS = {
     "op10": ["doc_id", "n_bytes", "n_tokens", "over_limit"]}
 
 
+NEW_COLUMNS = {
+    "op11": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
+    "op12": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op13": ["word", "form", "root", "n", "n_near", "form_n"],
+}
+
+
+def test_packing_whitening_and_spelling_have_their_queries(spark):
+    names = {n.split("_")[0]: n for n in queries.QUERIES}
+    got = {op: queries.QUERIES[names[op]](spark, SF) for op in NEW_COLUMNS}
+    assert {op: df.columns for op, df in got.items()} == NEW_COLUMNS
+    docs, vectors = (spark.read.parquet(f"{SF}/{t}.parquet").count() for t in ("documents", "embeddings"))
+    assert got["op11"].where("piece = 0").count() == docs and got["op12"].count() == 4 * vectors and got["op13"].count() > 100
+
+
 def test_every_operator_has_its_query(spark):
     names = {n.split("_")[0]: n for n in queries.QUERIES}
-    assert set(names) == set(COLUMNS)
+    assert set(names) == set(COLUMNS) | set(NEW_COLUMNS)
     for op, columns in COLUMNS.items():
         got = queries.QUERIES[names[op]](spark, SF)
         assert got.columns == columns

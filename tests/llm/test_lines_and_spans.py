@@ -113,6 +113,19 @@ def test_every_shared_span_is_found(spark):
     assert sorted(rows_of(kept.select("doc_id", "text")), key=repr) == sorted(clean, key=repr)
 
 
+def test_few_different_words_against_many_items_that_share_them(spark):
+    """Every place of such a text has a fingerprint that thousands of items share; nothing but verified places is gathered."""
+    rows = [(1, "a " * 5000), (2, "x y z " * 4000), (3, "a a a a a w7")]
+    items = [(i, f"a a a a a w{i}") for i in range(3000)] + [(-1, "z x y z x y z x y z")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    for limit in (64 << 20, 0):
+        got = {r.doc_id: r for r in winnow.contamination(bare(spark, rows), bench, broadcast_bytes=limit).collect()}
+        assert [got[i].n_words for i in (1, 2, 3)] == [5000, 12000, 6]
+        assert (list(got[1].hit_words), list(got[1].item_ids)) == ([], [])
+        assert list(got[2].hit_words) == list(range(2, 12000)) and list(got[2].item_ids) == ["-1"]
+        assert list(got[3].hit_words) == list(range(6)) and list(got[3].item_ids) == ["7"]
+
+
 def test_winnowing_of_empty_tables(spark):
     bench = spark.createDataFrame([], "item_id int, text string")
     got = winnow.contamination(bare(spark, [(1, "a b"), (2, None)]), bench).collect()
@@ -143,6 +156,20 @@ def test_edited_notices_beside_better_ones_are_found():
         assert found[-len(expected):] == expected and found == sorted(found), text
 
 
+def test_long_rows_of_edited_notices_are_walked_once():
+    import time
+    s = notices.scanner(tuple(notices.BASE.items()), tuple(notices.NOTICES))
+    for label, words, edits in notices.NOTICES:
+        at = [i for i, c in enumerate(words) if c != " "][1:-1][::5][:edits]
+        edited = "".join("x" if i in at else c for i, c in enumerate(words))
+        n = 200_000 // len(words)
+        began = time.process_time()
+        found = [x for x in s.scan(" ".join([edited] * n))[2] if x[0] == label]
+        assert time.process_time() - began < 5
+        each = words.count(" ") + 1
+        assert [x[1:] for x in found] == [(i * each, (i + 1) * each - 1, len(at)) for i in range(n)], label
+
+
 def test_base_places_and_edited_notices(spark):
     rows = ROWS + [
         (20, "CC BY cc-by, cc by cc   by"), (21, "General public license; general public license"),

@@ -129,6 +129,10 @@ def test_vectors_that_repeat_or_have_no_id(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (None, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 1.0])]
     got = sorted(rows_of(cap_filters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))), key=repr)
     assert got == sorted([(1, 2, 1, True), (1, 2, 1, True), (None, 0, None, False), (2, 2, 1, False), (3, 0, 3, True)], key=repr)
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    rows = [(3, a), (5, a), (5, b), (9, b), (7, [-1.0, 0.0])]             # an id with two vectors joins their classes
+    got = sorted(rows_of(cap_filters.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))))
+    assert got == [(3, 1, 3, True), (5, 1, 3, False), (5, 1, 3, False), (7, 0, 7, True), (9, 1, 3, False)]
     assert cap_filters.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
