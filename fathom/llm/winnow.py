@@ -32,6 +32,8 @@ from pyspark.sql import functions as F
 from .common import checkpoint, row_key
 
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_BITS = 30                     # of a position; a string has fewer words
+_PLACE = (1 << _BITS) - 1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -49,24 +51,25 @@ def _let(value: Column, body) -> Column:
 
 
 def _grams(words: Column, k: int) -> Column:
-    """(hash, position) of every k-gram; none if there are fewer than k words."""
+    """Every k-gram as one number: the high bits of its hash, then its position; none if there are fewer than k words."""
     return F.when(F.size(words) >= k, F.transform(
         F.sequence(F.lit(1), F.size(words) - (k - 1)),
-        lambda i: F.struct(F.xxhash64(F.slice(words, i, k)).alias("h"), (i - 1).alias("p")))
-    ).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))
+        lambda i: F.xxhash64(F.slice(words, i, k)).bitwiseAND(F.lit(~_PLACE)).bitwiseOR((i - 1).cast("long")))
+    ).otherwise(F.array().cast("array<bigint>"))
 
 
 def fingerprints(words: Column, k: int, w: int) -> Column:
-    """Chosen (hash, position) of every sliding window of ``k + w - 1`` words, equal
-    neighbours once."""
-    empty = F.array().cast("array<struct<h:bigint,p:int>>")
-
+    """The chosen k-gram (see :func:`_grams`) of every sliding window of ``k + w - 1`` words, equal neighbours once. As the hash
+    comes first, the least number of a window is its least hash, the leftmost of equals."""
     def chosen(grams):
+        if w == 1:
+            return grams
         return F.when(F.size(grams) >= w, F.transform(
-            F.sequence(F.lit(1), F.size(grams) - (w - 1)), lambda i: F.array_min(F.slice(grams, i, w)))).otherwise(empty)
+            F.sequence(F.lit(0), F.size(grams) - w), lambda i: F.least(*[F.get(grams, i + j) for j in range(w)]))
+        ).otherwise(F.array().cast("array<bigint>"))
 
     def once(picks):
-        return F.filter(picks, lambda x, i: (i == 0) | (x["p"] != F.get(picks, i - 1)["p"]))
+        return F.filter(picks, lambda x, i: (i == 0) | (x != F.get(picks, i - 1)))
 
     return _let(words, lambda ws: _let(_grams(ws, k), lambda g: _let(chosen(g), once)))
 
@@ -89,10 +92,11 @@ def _places(words: DataFrame, windows: DataFrame, lengths: list[int], broadcast:
         k = (length + 1) // 2
         w = length - k + 1
         # with the words of every window that could have chosen the k-gram: a text is never repeated per fingerprint
-        begin = lambda f: F.greatest(f["p"] - (w - 1), F.lit(0))
+        place = lambda f: f.bitwiseAND(F.lit(_PLACE)).cast("int")
+        begin = lambda f: F.greatest(place(f) - (w - 1), F.lit(0))
         more = lambda f: [begin(f).alias("begin"), F.slice(column, begin(f) + 1, w - 1 + length).alias("around")]
         return F.transform(fingerprints(column, k, w), lambda f: F.struct(
-            F.lit(length).alias("len"), f["h"].alias("h"), f["p"].alias("p"), *(more(f) if around else ())))
+            F.lit(length).alias("len"), F.shiftright(f, _BITS).alias("h"), place(f).alias("p"), *(more(f) if around else ())))
 
     def first(at: Column) -> Column:
         """One-based; also for places before the text, which Spark may look at before it drops them."""
