@@ -15,9 +15,11 @@ conversation needs no memory of its length; nodes are aggregated with map-side c
 so a first turn that a third of all conversations share is one row per task.
 Depth-first order needs neither recursion nor whole paths: a node belongs to the least conversation that
 passes it, so a conversation owns the end of its path, and a subtree's size is the sum, over the
-conversations that pass its root, of the tokens they own from there on. Siblings are ordered by node id; the
-sizes of those before a node are a prefix sum over (parent, node) range partitions, first within partitions,
-then over the partitions' totals. A node's place is its position and these sums of its ancestors and itself.
+conversations that pass its root, of the tokens they own from there on. Siblings are ordered by falling subtree size
+(then node id): whoever does not stand right behind its parent has at most half of the subtree, so a node's ancestors lie in
+at most log2(tokens) intervals. The sizes of the siblings before a node are a prefix sum over range partitions in this order,
+first within partitions, then over the partitions' totals. A node's place is its position and these sums of its
+ancestors and itself.
 
 Defined results: rows with equal turn number are ordered by role and text; null turns come
 first; null texts and roles count as empty; rows with a null conversation id form one
@@ -126,9 +128,9 @@ def prefix_tree(conversations: DataFrame, conv_col: str = "conv_id", turn_col: s
     owned = steps.join(nodes.select("node", "owner"), "node").withColumn("own", F.col("owner.conv").eqNullSafe(F.col("conv")))
     sizes = _owned_from(owned).groupBy("node").agg(F.sum("size").alias("size"))
 
-    # sums over the nodes in (parent, node) order; ``rank`` grows with it (its upper bits: the partition)
+    # sums over the nodes by parent, the larger subtree first; ``rank`` grows with it (its upper bits: the partition)
     ranked = checkpoint(nodes.select("node", F.coalesce("parent", F.lit("")).alias("parent")).join(sizes, "node")
-                        .repartitionByRange("parent", "node").sortWithinPartitions("parent", "node")
+                        .repartitionByRange("parent", F.desc("size"), "node").sortWithinPartitions("parent", F.desc("size"), "node")
                         .select("*", F.monotonically_increasing_id().alias("rank"))
                         .withColumn("size", F.col("size").cast("decimal(28,0)")).withColumn("part", F.shiftright("rank", 33)))
     totals = ranked.groupBy("part").agg(F.sum("size").alias("total"))           # a row per partition
@@ -199,25 +201,40 @@ def _places(steps: DataFrame) -> DataFrame:
 def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """What the formatted output says of every conversation: ``conv``, ``n_turns``, ``turns_sha256``
     (of role, newline, text, newline per turn), ``loss_chars`` and ``loss_sha256`` (of the unescaped
-    text under the loss mask), ``formatted_chars``."""
-    joined = paths.join(nodes.select("node", "segment", "loss_start", "loss_end"), "node")
+    text under the loss mask), ``formatted_chars``.
+
+    Read from the layout: a conversation's segments follow in the order of their places in the sequence. Position ids
+    have to go on without gaps, and the places up to the last segment have to be the intervals which that segment attends
+    to; a layout that says otherwise raises ``ValueError``."""
+    laid = nodes.select("node", "segment", "loss_start", "loss_end", "start", "tokens", "position", "attends")
+    joined = paths.select("conv", "node").join(laid, "node")
     schema = T.StructType([paths.schema["conv"], *T._parse_datatype_string(
         "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint").fields])
     arrow = _arrow(schema)
 
     def run(batches):
         state, last, rows = None, object(), []
+        seen, earlier, attends = [], [], []          # intervals up to the last segment, before it, and what it attends to
 
         def close():
             if state is not None:
                 conv, n, turns, chars, loss, size = state
+                if earlier != attends:
+                    raise ValueError(f"conversation {conv}: its last turn attends to {attends}, its turns before stand at {earlier}")
                 rows.append((conv, n, turns.hexdigest(), chars, loss.hexdigest(), size))
 
         for b in batches:
-            for conv, piece, lo, hi in zip(*(b.column(c).to_pylist() for c in range(4))):
+            for conv, piece, lo, hi, start, tokens, position, to in zip(*(b.column(c).to_pylist() for c in range(8))):
                 if conv != last:
                     close()
-                    last, state = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
+                    last, state, seen = conv, [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0], []
+                if position != state[5] or tokens != len(piece):
+                    raise ValueError(f"conversation {conv}: the turn at place {start} has position {position}, not {state[5]}")
+                earlier, attends = list(seen), [(x["start"], x["end"]) for x in to]
+                if seen and seen[-1][1] == start:
+                    seen[-1] = (seen[-1][0], start + tokens)
+                else:
+                    seen.append((start, start + tokens))
                 for role, text in parse(piece):
                     state[1] += 1
                     state[2].update(f"{role}\n{text}\n".encode())
@@ -232,4 +249,5 @@ def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
         if rows:
             yield out_batch(arrow, [list(c) for c in zip(*rows)])
 
-    return _by_conversation(joined, "depth").select("conv", "segment", "loss_start", "loss_end").mapInArrow(run, schema)
+    return (_by_conversation(joined, "start").select("conv", "segment", "loss_start", "loss_end", "start", "tokens", "position", "attends")
+            .mapInArrow(run, schema))

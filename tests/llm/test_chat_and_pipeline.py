@@ -2,6 +2,7 @@
 
 import hashlib
 import importlib.util
+import math
 import os
 import random
 
@@ -108,6 +109,30 @@ COLUMNS = {
     "op10": ["doc_id", "n_bytes", "n_tokens", "over_limit"]}
 
 
+def test_a_wrong_layout_is_not_read_back(spark):
+    turns = spark.createDataFrame([(c, t, "user" if t % 2 == 0 else "assistant", f"turn {t}" if t < 3 else f"own {c} {t}")
+                                   for c in range(6) for t in range(5)], "conv_id long, turn int, role string, text string")
+    nodes, paths = chat_tree.prefix_tree(turns)
+    assert chat_tree.read_back(nodes, paths).count() == 6
+    one = nodes.where("depth = 3").orderBy("start").first().node
+    moved = nodes.withColumn("start", F.when(F.col("node") == one, F.col("start") + 1).otherwise(F.col("start")))
+    later = nodes.withColumn("position", F.when(F.col("node") == one, F.col("position") + 1).otherwise(F.col("position")))
+    blind = nodes.withColumn("attends", F.when(F.col("depth") == 4, F.slice("attends", 1, 0)).otherwise(F.col("attends")))
+    for wrong in (moved, later, blind):
+        with pytest.raises(Exception, match="conversation"):
+            chat_tree.read_back(wrong, paths).collect()
+
+
+def test_attention_intervals_stay_few(spark):
+    """A trunk with a branch at every turn: the trunk, being the larger subtree, stays in one piece."""
+    n = 60
+    rows = [(c, t, "user", f"trunk {t}" if t < c else f"branch {c}") for c in range(1, n) for t in range(c + 1)]
+    nodes, _ = chat_tree.prefix_tree(spark.createDataFrame(rows, "conv_id long, turn int, role string, text string"))
+    tokens = nodes.agg(F.sum("tokens")).first()[0]
+    assert nodes.agg(F.max(F.size("attends"))).first()[0] <= math.log2(tokens)
+    assert nodes.agg(F.sum(F.size("attends"))).first()[0] <= 2 * nodes.count()
+
+
 NEW_COLUMNS = {
     "op11": ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"],
     "op12": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
