@@ -233,6 +233,26 @@ def ks_binary(df: DataFrame, target: str, features: Sequence[str], terms: int =
     return out.select("feature", "D", p.alias("p_value"))
 
 
+def binary_features(df: DataFrame, features: Sequence[str]) -> list[str]:
+    """Features with exactly two values (NULLs aside): ends in one pass, whether anything lies between them in another."""
+    xs = [col_of(f).cast("double") for f in features]
+    ends = df.agg(*[F.min(x).alias(f"a{i}") for i, x in enumerate(xs)], *[F.max(x).alias(f"b{i}") for i, x in enumerate(xs)]).first()
+    two = [i for i in range(len(xs)) if ends[f"a{i}"] is not None and ends[f"a{i}"] < ends[f"b{i}"]]
+    if not two:
+        return []
+    inside = df.agg(*[F.max((xs[i] != F.lit(ends[f"a{i}"])) & (xs[i] != F.lit(ends[f"b{i}"]))).alias(f"m{i}") for i in two]).first()
+    return [list(features)[i] for i in two if not inside[f"m{i}"]]
+
+
+def relevance(df: DataFrame, target: str, features: Sequence[str]) -> DataFrame:
+    """``feature`` and ``p_value`` of its test against an ordinal target: Kolmogorov-Smirnov for a feature of two values,
+    Kendall's tau for any other."""
+    two = binary_features(df, features)
+    rest = [f for f in features if f not in two]
+    parts = [t.select("feature", "p_value") for t in ([kendall_tau(df, target, rest)] if rest else []) + ([ks_binary(df, target, two)] if two else [])]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def fdr_select(pvalues: DataFrame, fdr_level: float = 0.05, independent: bool = False,
                feature: str = "feature", p: str = "p_value") -> DataFrame:
     """Benjamini-Hochberg / -Yekutieli step-up: with the ``m`` p-values in order, the features up to the

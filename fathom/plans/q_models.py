@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathom import constants as K
 from fathom.functions.exprs import ordinal_round
-from fathom.operators import clean
+from fathom.operators import clean, stats
 from fathom.operators.series import describe_series
 from fathom import ml
 from fathom.plans import workflows as W
@@ -94,13 +94,13 @@ def q_rfe_log(spark, sf_dir):
 
 @query("hpo_log")
 def q_hpo_log(spark, sf_dir):
-    trials = W.random_search(_data(spark, sf_dir), FEATS, "ridge", n_trials=2, seed=0)
+    trials = W.random_search(_data(spark, sf_dir), FEATS, "ridge", n_trials=2, seed=57)
     return trials
 
 
 @query("hpo_best")
 def q_hpo_best(spark, sf_dir):
-    return W.best_trial(W.random_search(_data(spark, sf_dir), FEATS, "lasso", n_trials=2, seed=1))
+    return W.best_trial(W.random_search(_data(spark, sf_dir), FEATS, "elastic_net", n_trials=2, seed=6))
 
 
 @query("stacking")
@@ -219,7 +219,7 @@ def q_search_submission(spark, sf_dir):
     p = p.select("id", "split", *[F.col(f"`{c}`") for c in FEATS], F.col(K.SII), F.col(f"`{K.PCIAT_TOTAL}`"))
     root = _folder(spark, sf_dir, "search")
     submission, _ = ml.search_and_submit(p.where("split = 'train'").drop("split"), p.where("split = 'test'").drop("split"), FEATS,
-                                         "linear_regression", n_trials=1, root=root, k=2, seed=1)
+                                         "ridge", n_trials=2, root=root, k=2, seed=57)
     scores = spark.read.parquet(f"{root}/scores/train").count()
     return submission.agg(F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col(K.SII).between(0, 3), 1)).alias("n_predicted"),
                           F.lit(scores).cast("long").alias("n_scores"))
@@ -249,10 +249,33 @@ def q_series_scan(spark, sf_dir):
     return s.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_event"), F.max("event_id").alias("last_event"))
 
 
-@query("feature_list", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{f}')" for i, f in enumerate(FEATS)) + ") t(pos, feature)")
+LIST_THRESHOLD = 0.05
+
+
+def _feature_list_sql():
+    score = q(K.PCIAT_TOTAL)
+
+    def r(c):
+        x, y = (f"CASE WHEN {q(c)} IS NOT NULL AND {score} IS NOT NULL THEN {v} END" for v in (q(c), score))
+        return f"abs(covar_samp({x}, {y}) / NULLIF(stddev_samp({x}) * stddev_samp({y}), 0))"
+
+    kept = " UNION ALL ".join(f"SELECT {i} AS n, '{c}' AS feature, {r(c)} AS importance FROM lab" for i, c in enumerate(FEATS))
+    counts = " UNION ALL ".join(f"SELECT split, '{c}' AS feature, count({q(c)}) AS n_present, min({q(c)}) AS least FROM participants GROUP BY split" for c in FEATS)
+    return (f"WITH {participants_cte()}, lab AS (SELECT * FROM participants WHERE split = 'train' AND {q(K.SII)} IS NOT NULL), "
+            f"corr AS ({kept}), list AS (SELECT CAST(row_number() OVER (ORDER BY n) - 1 AS INTEGER) AS pos, feature FROM corr WHERE importance >= {LIST_THRESHOLD}), "
+            f"counts AS ({counts}) SELECT split, pos, feature, n_present, {rnd('least')} AS least FROM list JOIN counts USING (feature)")
+
+
+@query("feature_list", _feature_list_sql())
 def q_feature_list(spark, sf_dir):
-    """A feature list written and read back, projected on the table it came from."""
+    """The features that correlate with the score on the train rows: the list written, read back, and both splits
+    projected on it."""
     path = _folder(spark, sf_dir, "features")
-    have = [c for c in participants(spark, sf_dir).columns if c in FEATS]
-    sinks.save_feature_list(spark, [f for f in FEATS if f in have], path)
-    return sinks.feature_list_frame(spark, path)
+    p = participants(spark, sf_dir).select("id", "split", *[F.col(f"`{c}`") for c in FEATS], F.col(K.SII), F.col(f"`{K.PCIAT_TOTAL}`"))
+    importance = stats.corr_importance(clean.keep_labelled(p.where("split = 'train'"), K.SII), K.PCIAT_TOTAL, FEATS)
+    kept = {r.feature for r in clean.filter_features(importance, LIST_THRESHOLD).collect()}       # a row per column
+    sinks.save_feature_list(spark, [f for f in FEATS if f in kept], path)
+    names = sinks.read_feature_list(spark, path)
+    cells = F.posexplode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"`{c}`").alias("v")) for c in names])).alias("pos", "s")
+    return round_doubles(p.select("split", *[F.col(f"`{c}`") for c in names]).select("split", cells).groupBy("split", "pos", "s.feature").agg(
+        F.count("s.v").alias("n_present"), F.min("s.v").alias("least")))

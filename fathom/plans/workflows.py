@@ -539,15 +539,31 @@ def preprocess(train: DataFrame, test: DataFrame, binned: Sequence[str], seasons
 
 def select_features(train: DataFrame, features: Sequence[str], cls: str = K.SII, fdr_level: float = 0.05,
                     corr_threshold: float = 0.0) -> list[str]:
-    """Relevance test (Kendall tau, FDR-controlled) on mean-filled labelled
-    rows, then correlation threshold; returns the kept feature names (a
-    schema-sized list)."""
+    """Relevance tests (Kendall's tau, Kolmogorov-Smirnov for features of two values; FDR-controlled) on mean-filled
+    labelled rows, then correlation threshold; returns the kept feature names (a schema-sized list)."""
+    return _selected(train, features, cls, fdr_level, corr_threshold)[1]
+
+
+def _selected(train: DataFrame, features: Sequence[str], cls: str, fdr_level: float, corr_threshold: float) -> tuple[list[str], list[str]]:
     lab = clean.keep_labelled(train, cls)
-    filled = stats.fill_means(lab, list(features))
-    pv = stats.kendall_tau(filled, cls, list(features))
-    rel = [r.feature for r in stats.fdr_select(pv.select("feature", "p_value"), fdr_level)
-           .filter("relevant").select("feature").collect()]
-    if not rel:
-        return []
-    imp = stats.corr_importance(lab, cls, rel)
-    return [r.feature for r in clean.filter_features(imp, corr_threshold).select("feature").collect()]
+    pv = stats.relevance(stats.fill_means(lab, list(features)), cls, list(features))
+    found = {r.feature for r in stats.fdr_select(pv, fdr_level).filter("relevant").select("feature").collect()}
+    relevant = [f for f in features if f in found]
+    if not relevant:
+        return [], []
+    kept = {r.feature for r in clean.filter_features(stats.corr_importance(lab, cls, relevant), corr_threshold).select("feature").collect()}
+    return relevant, [f for f in relevant if f in kept]
+
+
+def select_and_project(train: DataFrame, test: DataFrame, features: Sequence[str], path: str, cls: str = K.SII, fdr_level: float = 0.05,
+                       corr_threshold: float = 0.0) -> tuple[DataFrame, DataFrame]:
+    """Both selections' lists saved under ``path`` (``univariate``, ``correlation``); ``train`` and ``test`` without the
+    features that the saved correlation list leaves out. Other columns stay."""
+    from fathom.sources import sinks
+    spark, root = train.sparkSession, path.rstrip("/")
+    relevant, kept = _selected(train, features, cls, fdr_level, corr_threshold)
+    sinks.save_feature_list(spark, relevant, f"{root}/univariate")
+    sinks.save_feature_list(spark, kept, f"{root}/correlation")
+    kept = sinks.read_feature_list(spark, f"{root}/correlation")
+    gone = [f for f in features if f not in kept]
+    return tuple(d.select(*[col_of(c) for c in d.columns if c not in gone]) for d in (train, test))

@@ -206,3 +206,23 @@ def test_labels_are_checked_before_they_are_collected(spark):
     from fathom.operators import evaluate
     with pytest.raises(ValueError):
         evaluate.quadratic_weighted_kappa(spark.range(3000).selectExpr("id AS y", "id AS p"), "y", "p")
+
+
+def test_selection_uses_ks_for_two_values_and_projects_both_tables(spark, tmp_path):
+    rng = np.random.default_rng(7)
+    n = 600
+    cls = rng.integers(0, 4, n)
+    rows = [(i, float(c + rng.normal()), float(rng.normal()), float(c > 1), float(rng.random() < 0.5), None if i % 7 == 0 else int(c), "k")
+            for i, c in enumerate(cls)]
+    d = spark.createDataFrame(rows, "id long, good double, noise double, flag double, coin double, sii int, other string").repartition(3)
+    feats = ["good", "noise", "flag", "coin"]
+    assert stats.binary_features(d, feats) == ["flag", "coin"]
+    p = {r.feature: r.p_value for r in stats.relevance(d, "sii", feats).collect()}
+    tau = {r.feature: r.p_value for r in stats.kendall_tau(d, "sii", ["good", "noise"]).collect()}
+    ks = {r.feature: r.p_value for r in stats.ks_binary(d, "sii", ["flag", "coin"]).collect()}
+    assert p == tau | ks
+    train, test = W.select_and_project(d, d.drop("sii"), feats, f"{tmp_path}/lists", corr_threshold=0.2)
+    assert train.columns == ["id", "good", "flag", "sii", "other"] and test.columns == ["id", "good", "flag", "other"]
+    from fathom.sources import sinks
+    assert sinks.read_feature_list(spark, f"{tmp_path}/lists/correlation") == ["good", "flag"]
+    assert set(sinks.read_feature_list(spark, f"{tmp_path}/lists/univariate")) >= {"good", "flag"}
