@@ -14,7 +14,8 @@ of the words; every word where few different ones repeat) and meets the benchmar
 so a k-gram that many items share counts once per offset. A meeting names a place; the words there are
 joined with the distinct windows before anything is gathered, so what a document gathers is at most
 its own words. The benchmark's side is broadcast while its measured size is under ``broadcast_bytes``, and texts are then
-never shuffled; beyond it, places are shuffled and brought back to their texts.
+never shuffled; beyond it, places are shuffled and brought back to their texts. A k-gram is one number (hash bits, then
+position), so the least of a window is a comparison of numbers.
 
 Defined results: null or empty texts have no words and no hits; null items and items without
 words have no windows; rows with equal id and text are one document (each row is
