@@ -1,6 +1,9 @@
 """Scans and sinks round-trip through a scratch folder."""
 
+import glob
+import re
 import tempfile
+import time
 
 from pyspark.sql import functions as F
 
@@ -41,3 +44,30 @@ def test_feature_list_and_materialize(spark):
     assert len(calls) == 1 and a.count() == b.count() == 7
     materialize(spark, f"{root}/m", {"op": "count"}, src.filter("id > 3"), compute)   # content changed
     assert len(calls) == 2
+
+
+def test_series_of_many_keys_are_written_and_listed_by_a_few_tasks_per_core(spark):
+    root, sc = tempfile.mkdtemp(prefix="fathom-series-") + "/s", spark.sparkContext
+    tasks, keys = 4 * sc.defaultParallelism, 4 * sc.defaultParallelism + 40
+    rows = [(i % keys, i, i / 2) for i in range(3 * keys)] + [(None, -1, 0.5), (None, -2, None)]
+    sinks.save_series(spark.createDataFrame(rows, "id long, step long, x double"), root)
+    files = glob.glob(f"{root}/id=*/part-*.parquet")
+    assert len(files) == keys + 1 and len({f.rsplit("/", 1)[0] for f in files}) == keys + 1
+    writers = {re.search(r"part-(\d+)", f).group(1) for f in files}
+    assert len(writers) > sc.defaultParallelism                        # was one task: few bytes, many files
+    listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(listing)
+    sc.setJobGroup("series-listing", "listing of the series folders")
+    try:
+        s = readers.read_series(spark, root, file_name="part-*.parquet")
+        tracker, until = sc.statusTracker(), time.time() + 20
+        while not (jobs := tracker.getJobIdsForGroup("series-listing")) and time.time() < until:
+            time.sleep(0.1)
+        stages = [tracker.getStageInfo(i) for j in jobs for i in tracker.getJobInfo(j).stageIds]
+        assert jobs and max(x.numTasks for x in stages if x) <= tasks  # was a task per key
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert spark.conf.get(listing) == before and s.schema["id"].dataType.typeName() == "string"
+    assert sorted((r.id or "", r.step, r.x) for r in s.collect() if r.x is not None) == sorted(
+        ("" if k is None else str(k), i, x) for k, i, x in rows if x is not None)
+    assert s.where("id IS NULL").count() == 2
