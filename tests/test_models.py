@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from fathom import ml
 from fathom.operators import lasso, ordered, scale, stats
-from fathom.operators.interpolate import METHODS, interpolate
+from fathom.operators.interpolate import INNER_METHODS, METHODS, interpolate
 from fathom.plans import models as M
 from fathom.plans import workflows as W
 
@@ -155,6 +155,19 @@ def test_interpolation_of_string_keys_and_many_columns(spark):
     assert fill.where("a IS NULL OR b IS NULL OR c IS NULL").count() == 0
 
 
+def test_inner_interpolation_of_many_columns_leaves_the_ends_null(spark):
+    d = _table(spark, 120, string_key=True).withColumn("g", F.lit(0))
+    for method in INNER_METHODS:
+        assert method not in METHODS
+        together = interpolate(d, ["a", "b", "c"], method, ["g"], ["id"], F.lit(0)).orderBy("id").toPandas()
+        for c in ("a", "b", "c"):
+            known = d.orderBy("id").toPandas()[c].notna()
+            alone = interpolate(d, [c], method, ["g"], ["id"], F.lit(0)).orderBy("id").toPandas()
+            assert np.allclose(together[c], alone[c], equal_nan=True)
+            inside = known.cummax() & known[::-1].cummax()[::-1]
+            assert (alone[c].notna() == inside).all()
+
+
 def test_quantiles_of_a_column_with_one_value_on_half_of_the_rows(spark):
     rng = np.random.default_rng(3)
     x = np.where(rng.random(5000) < 0.5, 7.0, rng.normal(size=5000) * 10)
