@@ -14,7 +14,7 @@ is its rank within its task's pieces plus the pieces of the tasks before it, and
 Only counts per (task, length) pass a window; no group of equal lengths is gathered.
 
 Tokens: a text is cut at white space, which this kind of vocabulary drops; each distinct part goes
-through the library once per slice and is remembered in a bounded table.
+through the library once per slice and is remembered in a bounded table, which keeps those met last.
 
 Defined results: a null or empty text is one piece of the end id; rows are independent, also with equal or null
 ids; equal lengths are interchangeable; an empty table gives no rows; extra columns are ignored.
@@ -40,12 +40,18 @@ from .common import checkpoint, out_batch, releasing, ship, slices
 
 _MARK = "\x01"                # stands between the parts of a call
 _KEEP_CHARS = 64              # parts up to this long are remembered
-_KEEP_PARTS = 1_500_000       # and so many of them (about 50 bytes each)
-_CALL_CHARS = 1 << 18
-_SLICE = 12 << 20
+_KEEP_PARTS = 300_000         # and so many of them (about 50 bytes each, and as much again while a slice looks them up)
+_CALL_CHARS = 1 << 16
+_SLICE = 2 << 20              # an executor's memory is shared by the workers of all its cores and the JVM
 
 
 # ------------------------------------------------------------------ tokens
+def _runs(flat: np.ndarray, begin: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``size`` values of ``flat`` from each ``begin`` in a row, and where each run begins there (and the end)."""
+    upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(size)])
+    return flat[np.repeat(begin - upto[:-1], size) + np.arange(upto[-1])], upto
+
+
 class Encoder:
     """Ids of texts with one tokenizer file. Parts met before are kept as Arrow strings beside one array of their ids."""
 
@@ -74,6 +80,7 @@ class Encoder:
             self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.known = pa.array([], pa.string())
         self.flat, self.begin = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.met, self.slice = np.zeros(0, np.int64), 0                 # the last slice that each was met in, and this one
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
@@ -133,9 +140,9 @@ class Encoder:
         ends = len(self.flat) + np.cumsum(sizes)
         begin[rows[order]], size[rows[order]] = ends - sizes, sizes
         index = coded.indices.to_numpy()
-        n = size[index]
-        upto = np.concatenate([np.zeros(1, np.int64), np.cumsum(n)])
-        ids = flat[np.repeat(begin[index] - upto[:-1], n) + np.arange(upto[-1])]
+        ids, upto = _runs(flat, begin[index], size[index])
+        self.slice += 1
+        self.met[old] = self.slice
         self._remember(fresh, more, sizes)
         edges = words.offsets.to_numpy().astype(np.int64)
         return ids, upto[edges - edges[0]]
@@ -144,15 +151,14 @@ class Encoder:
         keep = np.fromiter(map(len, fresh), np.int64, len(fresh)) <= _KEEP_CHARS
         if not keep.any():
             return
-        parts = pa.array(fresh, pa.string()).filter(pa.array(keep))
-        ids, sizes = ids[np.repeat(keep, sizes)], sizes[keep]
-        drop = max(0, len(self.known) + len(parts) - _KEEP_PARTS)
-        if drop:                       # the oldest, and as many again, so that this is rare
-            drop = min(len(self.known), drop + _KEEP_PARTS // 4)
-            self.known, self.flat, self.begin = self.known[drop:], self.flat[self.begin[drop]:], self.begin[drop:] - self.begin[drop]
-        self.known = pa.concat_arrays([self.known, parts])
-        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes)])
-        self.flat = np.concatenate([self.flat, ids])
+        self.known = pa.concat_arrays([self.known, pa.array(fresh, pa.string()).filter(pa.array(keep))])
+        self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(sizes[keep])])
+        self.flat = np.concatenate([self.flat, ids[np.repeat(keep, sizes)]])
+        self.met = np.concatenate([self.met, np.full(keep.sum(), self.slice)])
+        if len(self.known) > _KEEP_PARTS:       # those met last stay, and fewer than there may be, so that this is rare
+            stay = np.sort(np.argsort(self.met, kind="stable")[-(_KEEP_PARTS - _KEEP_PARTS // 4):])
+            self.known, self.met = self.known.take(pa.array(stay)), self.met[stay]
+            self.flat, self.begin = _runs(self.flat, self.begin[stay], np.diff(self.begin)[stay])
 
 
 @functools.lru_cache(maxsize=2)
@@ -493,4 +499,4 @@ def pack(docs: DataFrame, path: str, capacity: int = 2048, end: int = 0, id_col:
             own = dict(zip(outer, b.columns[2:])) | {"sequence_id": sequence, "offset": offset}
             yield out_batch(arrow, [own[f.name] for f in schema.fields])
 
-    return ranked.mapInArrow(run, schema)
+    return ranked.mapInArrow(releasing(run), schema)

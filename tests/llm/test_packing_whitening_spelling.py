@@ -34,6 +34,33 @@ def test_encoder_gives_the_library_s_ids(library):
             library.encode(t or "", add_special_tokens=False).ids for t in odd]
 
 
+def test_encoder_s_table_is_bounded_and_keeps_the_parts_met_last(library, monkeypatch):
+    monkeypatch.setattr(bin_packing, "_KEEP_PARTS", 400)
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(9))
+    common = [word() for _ in range(50)]
+    e = bin_packing.Encoder(bin_packing.public_vocabulary())
+    for fresh in (100, 100, 100, 100, 1000, 100, 0):       # one slice alone holds more than the table may
+        words = common + [word() + rng.choice(["", "."]) for _ in range(fresh)]
+        rng.shuffle(words)
+        texts = [" ".join(words[i:i + 40]) for i in range(0, len(words), 40)]
+        ids, edges = e.encode(pa.array(texts))
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+        assert len(e.known) == len(e.met) == len(e.begin) - 1 <= 400 and e.begin[-1] == len(e.flat)
+        if fresh < 400:
+            assert set(common) <= set(e.known.to_pylist())
+        assert len(set(e.known.to_pylist())) == len(e.known)
+
+
+def test_encoder_holds_little_memory():
+    """What stays for later slices and what a slice takes is for all workers of an executor."""
+    assert bin_packing._SLICE <= 4 << 20
+    e = bin_packing.Encoder(bin_packing.public_vocabulary())
+    for k in range(8):                                      # 400,000 parts, each once
+        e.encode(pa.array([" ".join(f"{i:x}" for i in range(k * 50_000 + j, k * 50_000 + j + 1000)) for j in range(0, 50_000, 1000)]))
+    assert e.known.get_total_buffer_size() + e.flat.nbytes + e.begin.nbytes + e.met.nbytes < 16 << 20
+
+
 def _least_bins(items, capacity):
     best = [len(items)]
 
