@@ -40,9 +40,9 @@ from .common import checkpoint, out_batch, releasing, ship, slices
 
 _MARK = "\x01"                # stands between the parts of a call
 _KEEP_CHARS = 64              # parts up to this long are remembered
-_KEEP_PARTS = 300_000         # and so many of them (about 50 bytes each, and as much again while a slice looks them up)
+_KEEP_PARTS = 600_000         # and so many of them (about 50 bytes each, and as much again while a slice looks them up)
 _CALL_CHARS = 1 << 16
-_SLICE = 2 << 20              # an executor's memory is shared by the workers of all its cores and the JVM
+_SLICE = 3 << 20              # an executor's memory is shared by the workers of all its cores and the JVM
 
 
 # ------------------------------------------------------------------ tokens

@@ -5,6 +5,7 @@ import itertools
 import math
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ import pyarrow as pa
 import pytest
 
 from fathom.llm import bin_packing, spelling, whitening
+from fathom.llm.common import slices
 
 from .helpers import ROWS, bare, documents, rows_of
 
@@ -52,13 +54,16 @@ def test_encoder_s_table_is_bounded_and_keeps_the_parts_met_last(library, monkey
         assert len(set(e.known.to_pylist())) == len(e.known)
 
 
-def test_encoder_holds_little_memory():
-    """What stays for later slices and what a slice takes is for all workers of an executor."""
-    assert bin_packing._SLICE <= 4 << 20
+def test_encoder_takes_little_memory_for_a_large_batch():
+    batch = pa.record_batch({"doc_id": list(range(24)), "text": ["the quick brown fox jumps over it " * 30000] * 24})
     e = bin_packing.Encoder(bin_packing.public_vocabulary())
-    for k in range(8):                                      # 400,000 parts, each once
-        e.encode(pa.array([" ".join(f"{i:x}" for i in range(k * 50_000 + j, k * 50_000 + j + 1000)) for j in range(0, 50_000, 1000)]))
-    assert e.known.get_total_buffer_size() + e.flat.nbytes + e.begin.nbytes + e.met.nbytes < 16 << 20
+    tracemalloc.start()
+    try:
+        n = sum(len(e.encode(b.column(1))[0]) for b in slices([batch], bin_packing._SLICE))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 24 * 30000 * 7 and peak < 64 << 20
 
 
 def _least_bins(items, capacity):
