@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from fathom import constants as K
 from fathom.functions.exprs import ordinal_round
 from fathom.operators import encode, evaluate, folds, ordered
+from fathom.plans import q_models as Q
 from fathom.plans import workflows as W
+from fathom.session import stored
 
 
 def _rows(spark, n=400):
@@ -104,3 +106,64 @@ def test_stacked_rows_are_scored_and_joined_once(spark):
     out = W.stacking(_rows(spark), ["a", "b"], ["linear_regression"], k=2)
     assert "Join" not in out._jdf.queryExecution().toString()
     assert out.count() == 320 and out.where("stacked IS NULL").count() == 0
+
+
+def test_pseudo_labelled_training_prepares_rows_once_for_all_refits(spark, monkeypatch, tmp_path):
+    _rows(spark).coalesce(1).write.parquet(f"{tmp_path}/rows")
+    d, calls, prepare = spark.read.parquet(f"{tmp_path}/rows"), [], W.prepare       # one file: a row's draws follow its partition
+    monkeypatch.setattr(W, "prepare", lambda *a: calls.append(1) or prepare(*a))
+    r = W.Recipe(["a", "b"], "random_forest", {"n_estimators": 3, "max_depth": 3})
+    scores, cuts, refitted = W.train_regressor(d, r, pseudo=True)
+    assert len(calls) == 3                                   # labelled rows, unlabelled rows, their union
+    plain, own, fm = W.train_regressor(d, r)
+    assert scores.collect() == plain.collect() and cuts == own
+    kept = W.pseudo_rows_regressor(d, fm, r, K.SII, K.PCIAT_TOTAL)
+    lab = W._needed(d.where(f"{K.SII} IS NOT NULL"), r, K.SII, K.PCIAT_TOTAL)
+    again = W.fit(lab.unionByName(kept, allowMissingColumns=True), r, K.PCIAT_TOTAL)
+    x, y = ([p.pred for p in W.predict(m, d).orderBy("id").collect()] for m in (again, refitted))
+    assert np.allclose(x, y)
+
+
+def test_models_that_share_a_preparation_predict_as_alone(spark):
+    d = _rows(spark).withColumn("q", F.lit("x"))
+    r = W.Recipe(["a", "b"], "decision_tree", {"max_depth": 3})
+    lab = W._weights(d.where(f"{K.SII} IS NOT NULL"), K.PCIAT_TOTAL)
+    one = W.fit(lab, r, K.PCIAT_TOTAL, "w")
+    two = W.fit(lab, W.Recipe(["a", "b"], "ridge", {"alpha": 1.0}), K.PCIAT_TOTAL, "w", preparation=(one.fill, one.scaling))
+    other = W.fit(lab, W.Recipe(["a", "b"], "linear_regression", {}, "median", "minmax"), K.PCIAT_TOTAL, "w")
+    got = W.predict_each({"p": one, "q": two, "o": other}, d)
+    assert set(got.columns) == {*d.columns, "p", "o"} and len(got.columns) == len(d.columns) + 2
+    alone = W.predict(other, W.predict(two, W.predict(one, d, "p"), "q"), "o")
+    assert got.select(alone.columns).orderBy("id").collect() == alone.orderBy("id").collect()
+
+
+def test_the_input_of_a_pseudo_labelled_training_is_read_once(spark, monkeypatch):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    d = _rows(spark)
+    monkeypatch.setattr(Q, "FEATS", ["a", "b"])
+    monkeypatch.setattr(Q, "_data", lambda *_: d.withColumn("a", counted("a")))
+    got = {r.split: r for r in Q.q_train_ordinal_pseudo(spark, "").collect()}
+    assert set(got) == {"train", "refit"} and all(r.Kappa > 0.8 for r in got.values())
+    assert seen.value == 400
+
+
+def test_stored_rows_are_dealt_by_rows_and_go_with_the_block(spark):
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    first = stored(spark.range(1000).repartition(2), 100)
+    a = first.__enter__()
+    second = stored(a.where("id < 500"), 100)
+    b = second.__enter__()
+    assert a.rdd.getNumPartitions() >= 10 and a.count() == 1000 and b.count() == 500
+    first.__exit__(None, None, None)                         # blocks end in any order
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != before and b.count() == 500
+    path = b.inputFiles()[0]
+    second.__exit__(None, None, None)
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder.getParent())
