@@ -112,9 +112,11 @@ def test_pseudo_labelled_training_prepares_rows_once_for_all_refits(spark, monke
     _rows(spark).coalesce(1).write.parquet(f"{tmp_path}/rows")
     d, calls, prepare = spark.read.parquet(f"{tmp_path}/rows"), [], W.prepare       # one file: a row's draws follow its partition
     monkeypatch.setattr(W, "prepare", lambda *a: calls.append(1) or prepare(*a))
+    seeds, reseeded = [], W._reseeded
+    monkeypatch.setattr(W, "_reseeded", lambda r, seed: seeds.append(seed) or reseeded(r, seed))
     r = W.Recipe(["a", "b"], "random_forest", {"n_estimators": 3, "max_depth": 3})
     scores, cuts, refitted = W.train_regressor(d, r, pseudo=True)
-    assert len(calls) == 3                                   # labelled rows, unlabelled rows, their union
+    assert len(calls) == 3 and seeds == [0, 1, 2, 3, 4]      # labelled rows, unlabelled rows, their union
     plain, own, fm = W.train_regressor(d, r)
     assert scores.collect() == plain.collect() and cuts == own
     kept = W.pseudo_rows_regressor(d, fm, r, K.SII, K.PCIAT_TOTAL)
